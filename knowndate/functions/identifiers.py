@@ -60,7 +60,12 @@ def valid_cusip(value: Column) -> Column:
     return F.coalesce(text.rlike(CUSIP_SHAPE) & (cusip_check_digit(text) == digit), F.lit(False))
 
 
-def _luhn_total(digits: Column) -> Column:
+def luhn_total(text: Column) -> Column:
+    """Luhn sum of an upper-case identifier whose letters expand to two digits each."""
+    digits = F.array_join(
+        F.transform(F.split(text, ""), lambda c: _char_value(c).cast("string")), ""
+    )
+
     def term(char, index):
         n = char.cast("int") * F.when(index % 2 == 1, 2).otherwise(1)
         return F.floor(n / 10) + n % 10
@@ -72,14 +77,7 @@ def _luhn_total(digits: Column) -> Column:
 def valid_isin(value: Column) -> Column:
     text = clean(value)
     shaped = text.rlike(ISIN_SHAPE) & F.substring(text, 1, 2).isin(ISIN_COUNTRIES)
-    digits = F.array_join(
-        F.transform(
-            F.split(F.when(shaped, text), ""),
-            lambda c: _char_value(c).cast("string"),
-        ),
-        "",
-    )
-    return F.coalesce(shaped & (_luhn_total(digits) % 10 == 0), F.lit(False))
+    return F.coalesce(shaped & (luhn_total(F.when(shaped, text)) % 10 == 0), F.lit(False))
 
 
 def extract_cusips(text: Column) -> Column:

@@ -313,3 +313,206 @@ LINKS = """links AS (SELECT cik, p || '/' || cik AS security_id, lo AS valid_fro
    CAST(k AS VARCHAR) AS source_identifier
   FROM (SELECT o_custkey AS cik, o_orderpriority AS p, CAST(min(o_orderdate) AS DATE) AS lo,
      CAST(max(o_orderdate) AS DATE) AS hi, min(o_orderkey) AS k FROM orders GROUP BY 1, 2))"""
+
+
+# --- issuers, names, securities ------------------------------------------------
+
+
+def tickers(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return c.select(
+        F.col("c_custkey").alias("cik"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker")
+    )
+
+
+TICKERS = """tickers AS (SELECT c_custkey AS cik, 'T' || c_custkey AS ticker FROM customer
+   WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))"""
+
+
+def _words():
+    return F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+
+
+def names(spark, sf_dir) -> DataFrame:
+    """Historical issuer names: the product words in reverse, with brand and suffix."""
+    first, second = _words()
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 9").select("c_custkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    return c.join(p, c.c_custkey == p.p_partkey).select(
+        F.col("c_custkey").alias("cik"),
+        F.concat_ws(" ", second, first, "p_brand", F.lit("Inc.")).alias("historical_name"),
+    )
+
+
+NAMES = """names AS (SELECT c_custkey AS cik, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)
+   || ' ' || p_brand || ' Inc.' AS historical_name FROM customer JOIN part ON c_custkey = p_partkey
+   WHERE c_custkey % 10 <> 9)"""
+
+
+def filing_names(spark, sf_dir) -> DataFrame:
+    """Names on filings: words in order, joined into one, or reversed; some issuers absent."""
+    first, second = _words()
+    o = table(spark, sf_dir, "orders").filter("o_custkey % 7 <> 6")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    turn = F.col("o_orderkey") % 3
+    name = (
+        F.when(turn == 0, F.concat_ws(" ", first, second, "p_brand", F.lit("Corp")))
+        .when(turn == 1, F.concat(first, second, F.lit(" "), F.col("p_brand")))
+        .otherwise(F.concat_ws(" ", second, first, "p_brand", F.lit("Inc.")))
+    )
+    form = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", "10-K")
+        .when(F.col("o_orderpriority") == "2-HIGH", "8-K")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", "10-Q/A")
+        .otherwise("S-1")
+    )
+    return o.join(p, o.o_custkey == p.p_partkey).select(
+        F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"),
+        F.col("o_orderkey").alias("adsh"),
+        name.alias("name"),
+        F.to_date("o_orderdate").alias("filed"),
+        form.alias("form"),
+    )
+
+
+FILING_NAMES = """fnames AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, o_orderkey AS adsh,
+   CASE o_orderkey % 3 WHEN 0 THEN p_name || ' ' || p_brand || ' Corp'
+     WHEN 1 THEN replace(p_name, ' ', '') || ' ' || p_brand
+     ELSE split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || ' ' || p_brand || ' Inc.' END AS name,
+   CAST(o_orderdate AS DATE) AS filed,
+   CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '8-K' WHEN '3-MEDIUM' THEN '10-Q/A'
+     ELSE 'S-1' END AS form
+   FROM orders JOIN part ON o_custkey = p_partkey WHERE o_custkey % 7 <> 6)"""
+
+
+def cusip_of(number) -> "F.Column":
+    """Nine characters with a right check digit from a number."""
+    from knowndate.functions.identifiers import cusip_check_digit
+
+    body = F.lpad(number.cast("string"), 8, "0")
+    return F.concat(body, cusip_check_digit(body).cast("string"))
+
+
+def us_isin_of(cusip) -> "F.Column":
+    from knowndate.functions.identifiers import luhn_total
+
+    body = F.concat(F.lit("US"), cusip)
+    digit = (10 - luhn_total(F.concat(body, F.lit("0"))) % 10) % 10
+    return F.concat(body, digit.cast("int").cast("string"))
+
+
+def cusip_of_sql(number: str) -> str:
+    from knowndate.plans.sqltext import check_digit
+
+    body = f"lpad(CAST({number} AS VARCHAR), 8, '0')"
+    return f"({body} || CAST({check_digit(body)} AS VARCHAR))"
+
+
+def us_isin_of_sql(cusip: str) -> str:
+    from knowndate.plans.sqltext import luhn_total
+
+    body = f"('US' || {cusip})"
+    return f"({body} || CAST(CAST((10 - {luhn_total(body + chr(39).join(['||', '0', '']))} % 10) % 10 AS INTEGER) AS VARCHAR))"
+
+
+def universe(spark, sf_dir) -> DataFrame:
+    """Securities with names, ISINs (some missing) and a delisting flag (some unknown)."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    suffix = F.when(size % 3 == 0, " Co").when(size % 3 == 1, " Ltd").otherwise("")
+    return p.select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("security_id"),
+        F.concat("p_name", F.lit(" "), "p_brand", suffix).alias("security_name"),
+        F.when(size % 4 != 0, us_isin_of(cusip_of(F.col("p_partkey")))).alias("isin"),
+        F.when(size % 5 != 0, size % 2 == 0).alias("is_delisted"),
+        F.col("p_partkey").alias("ordinal"),
+    )
+
+
+def master(spark, sf_dir) -> DataFrame:
+    from knowndate.operators.identity import identity_master
+
+    return identity_master(cohort(spark, sf_dir), tickers(spark, sf_dir), names(spark, sf_dir))
+
+
+def master_sql() -> str:
+    return f"""{cohort_sql()}, {TICKERS}, {NAMES}, master AS (
+  SELECT lpad(CAST(c.cik AS VARCHAR), 10, '0') AS cik, min(filed) AS first_filing, max(filed) AS last_filing,
+    count(*) AS observations, CAST(COALESCE(sum(label), 0) AS BIGINT) AS distress_observations,
+    c.cik IN (SELECT cik FROM tickers) AS has_current_ticker,
+    c.cik IN (SELECT cik FROM names) AS has_historical_name
+  FROM cohort c GROUP BY c.cik)"""
+
+
+# --- documents with identifiers -----------------------------------------------
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    """Whole document texts followed by a labelled identifier and a security phrase."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    good = cusip_of(F.lit(3780000) + k % 37)
+    broken = F.concat(
+        F.substring(good, 1, 8), ((F.substring(good, 9, 1).cast("int") + 1) % 10).cast("string")
+    )
+    phrase = F.element_at(
+        F.array(*[F.lit(x) for x in PHRASES]), (k % len(PHRASES) + 1).cast("int")
+    )
+    kinds = F.element_at(F.array(*[F.lit(x) for x in DOC_TYPES]), (k % len(DOC_TYPES) + 1).cast("int"))
+    isin = F.when(k % 4 == 1, F.concat(F.lit(" isin: "), us_isin_of(good))).otherwise("")
+    text = F.concat(
+        "text", F.lit(" "), phrase, F.lit(" Cusip No. "), F.when(k % 7 == 0, broken).otherwise(good), isin
+    )
+    return d.select(
+        F.lpad((k % 50).cast("string"), 10, "0").alias("cik"),
+        F.concat(F.lit("A"), F.floor(k / 3).cast("string")).alias("accession"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (k % 1000).cast("int"))
+        .cast("string")
+        .alias("filing_date"),
+        kinds.alias("document_type"),
+        F.concat(F.lit("doc/"), k.cast("string")).alias("source"),
+        F.concat(F.lit("S"), F.floor(k / 2).cast("string")).alias("document_sha256"),
+        F.when(k % 13 != 0, F.concat(F.lit("P"), (k % 50).cast("string"))).alias(
+            "candidate_security_id"
+        ),
+        text.alias("text"),
+    )
+
+
+PHRASES = ["Common Stock par value", "Senior Notes due 2010", "Preferred Stock series", "Units", "Class A"]
+DOC_TYPES = ["10-K", "8-k", "EX-2.1", "EX-21", "EX-4", "S-1"]
+
+
+def documents_sql() -> str:
+    good = cusip_of_sql("(3780000 + doc_id % 37)")
+    phrases = ", ".join(f"'{p}'" for p in PHRASES)
+    kinds = ", ".join(f"'{p}'" for p in DOC_TYPES)
+    return f"""dc AS (SELECT doc_id, text AS body, {good} AS good FROM documents),
+docs AS (SELECT lpad(CAST(doc_id % 50 AS VARCHAR), 10, '0') AS cik, 'A' || (doc_id // 3) AS accession,
+   CAST(DATE '2000-01-01' + CAST(doc_id % 1000 AS INTEGER) AS VARCHAR) AS filing_date,
+   list_extract([{kinds}], CAST(doc_id % {len(DOC_TYPES)} + 1 AS INTEGER)) AS document_type,
+   'doc/' || doc_id AS source, 'S' || (doc_id // 2) AS document_sha256,
+   CASE WHEN doc_id % 13 <> 0 THEN 'P' || (doc_id % 50) END AS candidate_security_id,
+   body || ' ' || list_extract([{phrases}], CAST(doc_id % {len(PHRASES)} + 1 AS INTEGER)) || ' Cusip No. '
+     || CASE WHEN doc_id % 7 = 0 THEN substr(good, 1, 8) || ((CAST(substr(good, 9, 1) AS INTEGER) + 1) % 10)
+        ELSE good END
+     || CASE WHEN doc_id % 4 = 1 THEN ' isin: ' || {us_isin_of_sql('good')} ELSE '' END AS text
+   FROM dc)"""
+
+
+def evidence_sql() -> str:
+    """CTE ``evid``: one row per document and valid identifier with its context."""
+    from knowndate.functions.identifiers import CUSIP_LABEL, ISIN_LABEL
+    from knowndate.plans.sqltext import security_context, valid_cusip, valid_isin
+
+    return f"""{documents_sql()},
+found AS (
+  SELECT d.*, 'CUSIP' AS identifier_type, unnest(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{CUSIP_LABEL}', 1), lambda x: upper(x))))) AS identifier FROM docs d
+  UNION ALL
+  SELECT d.*, 'ISIN', unnest(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{ISIN_LABEL}', 1), lambda x: upper(x))))) FROM docs d),
+valid AS (SELECT * FROM found WHERE CASE identifier_type WHEN 'CUSIP' THEN {valid_cusip('identifier')}
+   ELSE {valid_isin('identifier')} END),
+placed AS (SELECT *, strpos(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), identifier) - 1 AS s FROM valid),
+win AS (SELECT *, substr(text, greatest(s - 220, 0) + 1, s + length(identifier) + 220 - greatest(s - 220, 0)) AS ctx FROM placed),
+evid AS (SELECT *, {security_context('lower(ctx)')} AS security_context FROM win),
+evid2 AS (SELECT *, security_context = 'common_equity' AS common_equity_context FROM evid)"""
