@@ -78,11 +78,10 @@ def exact_or_jaccard(left_key: Column, right_key: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff–Obershelp ratio; the first argument is the alias (order matters)."""
-    return pd.Series(
-        [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)],
-        dtype="float64",
-    )
+    """Ratcliff–Obershelp ratio per row; the first argument is the alias (order matters)."""
+    pairs = zip(left, right)
+    ratio = [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
+    return pd.Series(ratio, dtype="float64")
 
 
 def list_name_key(key: Column, width: int = LIST_NAME_WIDTH) -> Column:

@@ -167,13 +167,11 @@ def quantile_bins(scored: DataFrame, y: str = "y", p: str = "p", bins: int = BIN
     )
 
 
-def calibration_offset(
-    scored: DataFrame, y: str = "y", p: str = "p", trials: int = 32
-) -> float | None:
-    """Offset a with sum(y - sigmoid(logit(p) + a)) = 0, or None without a root.
+def calibration_offset(scored: DataFrame, y: str = "y", p: str = "p") -> float | None:
+    """Offset a with sum(y - sigmoid(logit(p) + a)) = 0 in [-40, 40], or None without a root.
 
-    Each pass evaluates ``trials`` offsets in one aggregation over counts per distinct
-    score and narrows the interval ``trials + 1``-fold.  Eager: one row per pass.
+    Newton steps kept inside a shrinking bracket.  Eager: every step is one aggregation
+    over the persisted counts per distinct score and brings back two numbers.
     """
     counts = score_counts(scored, y, p).select(
         logit(F.col("score")).alias("z"),
@@ -182,31 +180,33 @@ def calibration_offset(
     )
     counts = counts.persist()
 
-    def residuals(offsets):
+    def residual(a: float) -> tuple[float, float]:
+        mean = sigmoid(F.col("z") + F.lit(a))
         row = counts.agg(
-            *[
-                F.sum(F.col("tp") - F.col("n") * sigmoid(F.col("z") + F.lit(a))).alias(f"r{i}")
-                for i, a in enumerate(offsets)
-            ]
+            F.sum(F.col("tp") - F.col("n") * mean).alias("f"),
+            F.sum(F.col("n") * mean * (1 - mean)).alias("d"),
         ).head()
-        return [row[f"r{i}"] for i in range(len(offsets))]
+        return row["f"], row["d"]
 
     try:
         low, high = -40.0, 40.0
-        at_low, at_high = residuals([low, high])
+        at_low, at_high = residual(low)[0], residual(high)[0]
         if at_low is None or at_low < 0 or at_high > 0:
             return None
-        while high - low > 1e-12:
-            width = (high - low) / (trials + 1)
-            inner = [low + width * (i + 1) for i in range(trials)]
-            values = residuals(inner)
-            above = [a for a, v in zip(inner, values) if v > 0]
-            under = [a for a, v in zip(inner, values) if v <= 0]
-            new_low, new_high = max(above, default=low), min(under, default=high)
-            if (new_low, new_high) == (low, high):
-                break
-            low, high = new_low, new_high
-        return 0.5 * (low + high)
+        a = 0.0
+        while True:
+            f, slope = residual(a)
+            if f > 0:
+                low = a
+            else:
+                high = a
+            step = f / slope if slope else float("inf")
+            nxt = a + step
+            if not low <= nxt <= high:
+                nxt = 0.5 * (low + high)
+            if f == 0 or abs(nxt - a) < 1e-12 or high - low < 1e-12:
+                return nxt
+            a = nxt
     finally:
         counts.unpersist()
 

@@ -17,6 +17,9 @@ matched once.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +28,6 @@ from knowndate.functions.names import (
     entity_name_key,
     key_tokens,
     list_name_key,
-    sequence_ratio,
-    token_jaccard,
 )
 
 # Characters of name keys, rare ones first; only the speed depends on the order.
@@ -47,17 +48,23 @@ def _with_tokens(names: DataFrame, key: str, threshold: float) -> DataFrame:
         ),
         lambda s: F.concat(F.lit("w"), s["t"]),
     )
-    chars = F.array_sort(F.filter(F.split(F.col(key), ""), lambda c: c != ""))
-    with_sets = names.withColumns({"words": words, "__chars": chars})
-    numbered = F.transform(
-        F.col("__chars"),
-        lambda c, i: (i + 2 - F.array_position(F.col("__chars"), c)).cast("int") * -64
-        + F.call_function("instr", F.lit(_RARE_FIRST), c),
+    letters = F.array_sort(F.filter(F.split(F.col(key), ""), lambda c: c != ""))
+
+    def numbered(run):
+        """n-th occurrence of a letter as one number, later occurrences and rare letters first."""
+        return F.array_sort(
+            F.transform(
+                run,
+                lambda c, i: (i + 2 - F.array_position(run, c)).cast("int") * -64
+                + F.call_function("instr", F.lit(_RARE_FIRST), c),
+            )
+        )
+
+    # The one-element array binds the sorted letters, so they are not rebuilt per letter.
+    chars = F.transform(F.array(letters), numbered)[0]
+    with_sets = names.withColumns(
+        {"words": words, "chars": F.transform(chars, lambda n: F.concat(F.lit("c"), n.cast("string")))}
     )
-    with_sets = with_sets.withColumn(
-        "chars",
-        F.transform(F.array_sort(numbered), lambda n: F.concat(F.lit("c"), n.cast("string"))),
-    ).drop("__chars")
     length = F.size("chars")
     return with_sets.withColumn(
         "prefix",
@@ -75,8 +82,12 @@ def similar_names(left: DataFrame, right: DataFrame, min_score: float) -> DataFr
     and an upper bound of the ratio are checked in the join, so Python only sees pairs
     that can still reach the threshold.
     """
-    a = _with_tokens(left.filter(F.col("alias_key") != ""), "alias_key", min_score)
-    n = _with_tokens(right.filter(F.col("name_key") != ""), "name_key", min_score)
+    # Few short names make much work, so names are spread over all tasks whatever their size.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    aliases = left.filter(F.col("alias_key") != "").repartition(tasks, "alias_key")
+    names = right.filter(F.col("name_key") != "").repartition(tasks, "name_key")
+    a = _with_tokens(aliases, "alias_key", min_score)
+    n = _with_tokens(names, "name_key", min_score)
     a = a.withColumn("token", F.explode("prefix")).withColumnsRenamed(
         {"words": "aw", "chars": "ac", "prefix": "ap"}
     )
@@ -88,12 +99,20 @@ def similar_names(left: DataFrame, right: DataFrame, min_score: float) -> DataFr
     bound = 2 * F.size(F.array_intersect("ac", "nc")) / (F.size("ac") + F.size("nc"))
     once = F.element_at(F.array_intersect("ap", "np"), 1) == F.col("token")
     reach = (jaccard >= min_score - _SLACK) | (bound >= min_score - _SLACK)
-    pairs = a.join(n, "token").filter(once & reach).select("alias_key", "name_key")
-    score = F.greatest(
-        token_jaccard(F.col("alias_key"), F.col("name_key")),
-        sequence_ratio(F.col("alias_key"), F.col("name_key")),
-    )
-    return pairs.withColumn("score", score).filter(F.col("score") >= min_score)
+    pairs = a.join(n, "token").filter(once & reach)
+    pairs = pairs.select("alias_key", "name_key", jaccard.alias("jaccard"))
+
+    def score(batches):
+        for batch in batches:
+            keys = zip(batch["alias_key"], batch["name_key"])
+            ratio = np.array([SequenceMatcher(None, a, n).ratio() for a, n in keys])
+            best = np.maximum(batch["jaccard"], ratio)
+            keep = best >= min_score
+            yield batch.loc[keep, ["alias_key", "name_key"]].assign(score=best[keep])
+
+    # Scoring costs far more than moving two short texts, so pairs are spread evenly first.
+    spread = pairs.repartition(tasks, "alias_key", "name_key")
+    return spread.mapInPandas(score, "alias_key string, name_key string, score double")
 
 
 def _keyed_aliases(aliases: DataFrame) -> DataFrame:

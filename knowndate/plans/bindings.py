@@ -451,7 +451,7 @@ def documents(spark, sf_dir) -> DataFrame:
     """Whole document texts followed by a labelled identifier and a security phrase."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id")
-    good = cusip_of(F.lit(3780000) + k % 37)
+    good = cusip_of(F.lit(3780000) + k % 25)
     broken = F.concat(
         F.substring(good, 1, 8), ((F.substring(good, 9, 1).cast("int") + 1) % 10).cast("string")
     )
@@ -484,7 +484,7 @@ DOC_TYPES = ["10-K", "8-k", "EX-2.1", "EX-21", "EX-4", "S-1"]
 
 
 def documents_sql() -> str:
-    good = cusip_of_sql("(3780000 + doc_id % 37)")
+    good = cusip_of_sql("(3780000 + doc_id % 25)")
     phrases = ", ".join(f"'{p}'" for p in PHRASES)
     kinds = ", ".join(f"'{p}'" for p in DOC_TYPES)
     return f"""dc AS (SELECT doc_id, text AS body, {good} AS good FROM documents),

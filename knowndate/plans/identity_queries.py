@@ -946,7 +946,7 @@ def validity(spark, sf_dir):
 def _isin_targets(spark, sf_dir):
     """Targets of the evidence issuers: ISINs around the documents' identifiers."""
     d = b.table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("k")).distinct()
-    near = F.lit(3780000) + F.col("k") % 37
+    near = F.lit(3780000) + F.col("k") % 25
     other = F.when(F.col("k") % 3 == 0, near).when(F.col("k") % 3 == 1, near + 1).otherwise(near + 5000)
     return d.select(
         F.lpad(F.col("k").cast("string"), 10, "0").alias("cik"),
@@ -958,7 +958,7 @@ def _isin_targets(spark, sf_dir):
 
 _TSQL = f"""tgt AS (SELECT lpad(CAST(k AS VARCHAR), 10, '0') AS cik, 'P' || k AS sid, CASE WHEN k % 10 <> 9 THEN
    {b.cusip_of_sql('(CASE k % 3 WHEN 0 THEN near WHEN 1 THEN near + 1 ELSE near + 5000 END)')} END AS cc
-   FROM (SELECT DISTINCT doc_id % 50 AS k, 3780000 + (doc_id % 50) % 37 AS near FROM documents)),
+   FROM (SELECT DISTINCT doc_id % 50 AS k, 3780000 + (doc_id % 50) % 25 AS near FROM documents)),
  inter AS (SELECT c.cik, c.candidate_security_id, identifier, cc AS candidate_cusip, CASE WHEN cc IS NULL THEN 'unusable' WHEN identifier = cc THEN 'exact'
    WHEN substr(identifier, 1, 8) = substr(cc, 1, 8) THEN 'same_security_body_check_digit_difference'
    WHEN substr(identifier, 1, 6) = substr(cc, 1, 6) THEN 'same_issuer_root_different_issue' ELSE 'different_issuer_root' END AS identifier_relationship
