@@ -357,6 +357,6 @@ def probability_evidence(
     return out
 
 
-def probabilities(predictions: DataFrame, vector: str = "probability") -> Column:
+def probabilities(vector: str = "probability") -> Column:
     """Probability of class 1 from a Spark ML probability vector."""
     return vector_to_array(F.col(vector))[1]

@@ -82,10 +82,13 @@ def similar_names(left: DataFrame, right: DataFrame, min_score: float) -> DataFr
     and an upper bound of the ratio are checked in the join, so Python only sees pairs
     that can still reach the threshold.
     """
-    # Few short names make much work, so names are spread over all tasks whatever their size.
+    # Few short names make much work, so both sides are spread over all tasks whatever their
+    # size.  The hash keeps Spark from reusing (and coalescing) the shuffle of a distinct.
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    aliases = left.filter(F.col("alias_key") != "").repartition(tasks, "alias_key")
-    names = right.filter(F.col("name_key") != "").repartition(tasks, "name_key")
+    aliases = left.filter(F.col("alias_key") != "").repartition(
+        tasks, F.xxhash64("alias_key")
+    )
+    names = right.filter(F.col("name_key") != "").repartition(tasks, F.xxhash64("name_key"))
     a = _with_tokens(aliases, "alias_key", min_score)
     n = _with_tokens(names, "name_key", min_score)
     a = a.withColumn("token", F.explode("prefix")).withColumnsRenamed(

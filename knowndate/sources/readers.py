@@ -239,7 +239,7 @@ def bankruptcy_events(documents: DataFrame) -> DataFrame:
         recent["accessionNumber"].alias("accession"),
     )
     filings = rows.select(F.coalesce("__d.cik", F.lit("")).alias("cik"), F.inline(zipped))
-    items = F.transform(F.split(F.coalesce("items", F.lit("")), ","), F.trim)
+    items = F.transform(F.split(F.coalesce("items", F.lit("")), ","), lambda x: F.trim(x))
     return filings.filter(
         F.startswith("form", F.lit("8-K")) & F.array_contains(items, BANKRUPTCY_ITEM)
         & F.col("day").isNotNull()
