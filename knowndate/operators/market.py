@@ -30,10 +30,30 @@ TRADING_DAYS = 252
 
 
 class _History:
-    """Window expressions over one price history."""
+    """Window expressions over one price history.
+
+    Spark re-reads a sliding frame for every row, so frames are kept for what needs them
+    (deviation, maximum, minimum); counts and means come from running totals.
+    """
 
     def __init__(self, key: str):
         self.order = W.partitionBy(key).orderBy("date")
+        self.past = self.order.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def counted(self, prices: DataFrame, columns: list[str], summed: list[str]) -> DataFrame:
+        """Add running counts of non-null values and running sums."""
+        return prices.withColumns(
+            {
+                **{f"__n_{c}": F.count(c).over(self.past) for c in columns},
+                **{f"__s_{c}": F.coalesce(F.sum(c).over(self.past), F.lit(0.0)) for c in summed},
+            }
+        )
+
+    def _within(self, running: str, rows: int) -> Column:
+        return F.col(running) - F.coalesce(F.lag(running, rows).over(self.order), F.lit(0))
+
+    def enough(self, column: str, rows: int, least: int) -> Column:
+        return self._within(f"__n_{column}", rows) >= least
 
     def change(self, column: str, rows: int) -> Column:
         """x / x[-rows] - 1; NULL for a zero base."""
@@ -42,32 +62,41 @@ class _History:
     def rolling(self, aggregate, column: str, rows: int, least: int) -> Column:
         """Rolling aggregate over non-null values, NULL below ``least`` of them."""
         frame = self.order.rowsBetween(-(rows - 1), W.currentRow)
-        return F.when(F.count(column).over(frame) >= least, aggregate(column).over(frame))
+        return F.when(self.enough(column, rows, least), aggregate(column).over(frame))
+
+    def mean(self, column: str, rows: int) -> Column:
+        return F.try_divide(
+            self._within(f"__s_{column}", rows), self._within(f"__n_{column}", rows)
+        )
 
     def zscore(self, column: str, rows: int, least: int) -> Column:
-        mean = self.rolling(F.avg, column, rows, least)
         spread = self.rolling(F.stddev_samp, column, rows, least)
-        return F.try_divide(F.col(column) - mean, spread)
+        return F.try_divide(F.col(column) - self.mean(column, rows), spread)
 
     def below_high(self, rows: int, least: int) -> Column:
         return F.try_divide(F.col("close"), self.rolling(F.max, "close", rows, least)) - 1
 
 
+_WORK = [
+    "__daily", "__loss", "__n_close", "__n_volume", "__s_volume", "__n___daily", "__n___loss",
+]
+
+
 def issuer_market_features(prices: DataFrame, key: str = "cik") -> DataFrame:
     """Returns, volatility, distance from the high and volume score per issuer."""
     h = _History(key)
     year = math.sqrt(TRADING_DAYS)
     p = prices.withColumn("__daily", h.change("close", 1))
-    high = h.below_high(252, 20)
-    return p.withColumns(
+    p = h.counted(p, ["close", "volume", "__daily"], ["volume"])
+    out = p.withColumns(
         {
             **{f"ret_{n}d": h.change("close", n) for n in (21, 63, 252)},
             "vol_63d": h.rolling(F.stddev_samp, "__daily", 63, 20) * year,
-            "drawdown_252d": high,
-            "distance_52w_high": high,
+            "drawdown_252d": h.below_high(252, 20),
             "volume_z_63d": h.zscore("volume", 63, 20),
         }
-    ).drop("__daily")
+    )
+    return out.withColumn("distance_52w_high", F.col("drawdown_252d")).drop(*_WORK)
 
 
 def security_market_features(prices: DataFrame, key: str = "security_id") -> DataFrame:
@@ -76,19 +105,20 @@ def security_market_features(prices: DataFrame, key: str = "security_id") -> Dat
     year = math.sqrt(TRADING_DAYS)
     p = prices.withColumn("__daily", h.change("close", 1))
     p = p.withColumn("__loss", F.when(F.col("__daily") < 0, F.col("__daily")))
+    p = h.counted(p, ["close", "volume", "__daily", "__loss"], ["volume"])
     least = {21: max(10, 21 // 3), 63: max(10, 63 // 3)}
-    return p.withColumns(
+    out = p.withColumns(
         {
             **{f"ret_{n}d": h.change("close", n) for n in (5, 21, 63, 126, 252)},
             **{f"vol_{n}d": h.rolling(F.stddev_samp, "__daily", n, m) * year for n, m in least.items()},
             **{f"volume_z_{n}d": h.zscore("volume", n, m) for n, m in least.items()},
             "drawdown_63d": h.below_high(63, 20),
             "drawdown_252d": h.below_high(252, 20),
-            "distance_52w_high": h.below_high(252, 20),
             "downside_vol_63d": h.rolling(F.stddev_samp, "__loss", 63, 20) * year,
             "max_loss_63d": h.rolling(F.min, "__daily", 63, 20),
         }
-    ).drop("__daily", "__loss")
+    )
+    return out.withColumn("distance_52w_high", F.col("drawdown_252d")).drop(*_WORK)
 
 
 def attach_issuer_market(filings: DataFrame, features: DataFrame) -> DataFrame:

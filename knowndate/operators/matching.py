@@ -41,12 +41,16 @@ def _prefix(tokens: Column, needed: Column) -> Column:
 
 
 def _with_tokens(names: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Add word and character token sets and the prefix tokens of a name key."""
+    """Add word and character tokens of a name key as numbers, and its prefix tokens.
+
+    Words become 64-bit hashes; a collision could only add a pair, which the exact score
+    then drops.
+    """
     words = F.transform(
         F.array_sort(
             F.transform(key_tokens(F.col(key)), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))
         ),
-        lambda s: F.concat(F.lit("w"), s["t"]),
+        lambda s: F.xxhash64(s["t"]),
     )
     letters = F.array_sort(F.filter(F.split(F.col(key), ""), lambda c: c != ""))
 
@@ -63,7 +67,7 @@ def _with_tokens(names: DataFrame, key: str, threshold: float) -> DataFrame:
     # The one-element array binds the sorted letters, so they are not rebuilt per letter.
     chars = F.transform(F.array(letters), numbered)[0]
     with_sets = names.withColumns(
-        {"words": words, "chars": F.transform(chars, lambda n: F.concat(F.lit("c"), n.cast("string")))}
+        {"words": words, "chars": F.transform(chars, lambda n: n.cast("bigint"))}
     )
     length = F.size("chars")
     return with_sets.withColumn(
@@ -78,9 +82,9 @@ def _with_tokens(names: DataFrame, key: str, threshold: float) -> DataFrame:
 def similar_names(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
     """All pairs of distinct keys (``alias_key``, ``name_key``) scoring at least ``min_score``.
 
-    A pair is produced once, at its first common prefix token.  The exact word score
-    and an upper bound of the ratio are checked in the join, so Python only sees pairs
-    that can still reach the threshold.
+    A pair is produced once, at its first common prefix token.  The word score and
+    an upper bound of the ratio are checked in the join, so Python only sees pairs that can
+    still reach the threshold.
     """
     # Few short names make much work, so both sides are spread over all tasks whatever their
     # size.  The hash keeps Spark from reusing (and coalescing) the shuffle of a distinct.
@@ -103,13 +107,16 @@ def similar_names(left: DataFrame, right: DataFrame, min_score: float) -> DataFr
     once = F.element_at(F.array_intersect("ap", "np"), 1) == F.col("token")
     reach = (jaccard >= min_score - _SLACK) | (bound >= min_score - _SLACK)
     pairs = a.join(n, "token").filter(once & reach)
-    pairs = pairs.select("alias_key", "name_key", jaccard.alias("jaccard"))
+    pairs = pairs.select("alias_key", "name_key")
+
+    def of_pair(a, n):
+        x, y = set(a.split()), set(n.split())
+        return max(len(x & y) / len(x | y), SequenceMatcher(None, a, n).ratio())
 
     def score(batches):
         for batch in batches:
             keys = zip(batch["alias_key"], batch["name_key"])
-            ratio = np.array([SequenceMatcher(None, a, n).ratio() for a, n in keys])
-            best = np.maximum(batch["jaccard"], ratio)
+            best = np.array([of_pair(a, n) for a, n in keys], dtype="float64")
             keep = best >= min_score
             yield batch.loc[keep, ["alias_key", "name_key"]].assign(score=best[keep])
 
@@ -178,12 +185,13 @@ def discover(
 
 def name_coverage(
     cases: DataFrame, aliases: DataFrame, official: DataFrame, min_score: float = 0.90,
-    floor: float = 1e-6,
+    floor: float = 0.45,
 ) -> DataFrame:
     """Best official list entry per case and whether a normalised name matches exactly.
 
-    ``floor`` is the lowest score looked for; raise it towards ``min_score`` when the
-    best score of cases without a hit is not needed, which prunes far more pairs.
+    Hits do not depend on ``floor``, the lowest score looked for; a case whose best score
+    is lower reports 0.  A floor near zero reports every best score, at the price of
+    scoring all pairs that share a letter; one at ``min_score`` prunes most.
     ``official``: cusip, issuer_name, ordinal.
     """
     keyed = _keyed_aliases(aliases.join(cases.select("cik"), "cik", "left_semi"))
