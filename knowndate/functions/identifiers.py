@@ -37,6 +37,15 @@ CONTEXT_RADIUS = 220
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once.
+
+    An expression that mentions its input many times is otherwise copied with all of
+    its input when Catalyst pushes a filter below a projection.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def clean(value: Column) -> Column:
     return F.upper(F.trim(value))
 
@@ -55,9 +64,13 @@ def cusip_check_digit(body: Column) -> Column:
 
 
 def valid_cusip(value: Column) -> Column:
-    text = clean(value)
-    digit = F.substring(text, 9, 1).try_cast("int")
-    return F.coalesce(text.rlike(CUSIP_SHAPE) & (cusip_check_digit(text) == digit), F.lit(False))
+    def check(text):
+        digit = F.substring(text, 9, 1).try_cast("int")
+        return F.coalesce(
+            text.rlike(CUSIP_SHAPE) & (cusip_check_digit(text) == digit), F.lit(False)
+        )
+
+    return bind(clean(value), check)
 
 
 def luhn_total(text: Column) -> Column:
@@ -75,9 +88,12 @@ def luhn_total(text: Column) -> Column:
 
 
 def valid_isin(value: Column) -> Column:
-    text = clean(value)
-    shaped = text.rlike(ISIN_SHAPE) & F.substring(text, 1, 2).isin(ISIN_COUNTRIES)
-    return F.coalesce(shaped & (luhn_total(F.when(shaped, text)) % 10 == 0), F.lit(False))
+    def check(text):
+        shaped = text.rlike(ISIN_SHAPE) & F.substring(text, 1, 2).isin(ISIN_COUNTRIES)
+        total = luhn_total(F.when(shaped, text))
+        return F.coalesce(shaped & (total % 10 == 0), F.lit(False))
+
+    return bind(clean(value), check)
 
 
 def extract_cusips(text: Column) -> Column:

@@ -387,18 +387,20 @@ FILING_NAMES = """fnames AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS
 
 def cusip_of(number) -> "F.Column":
     """Nine characters with a right check digit from a number."""
-    from knowndate.functions.identifiers import cusip_check_digit
+    from knowndate.functions.identifiers import bind, cusip_check_digit
 
     body = F.lpad(number.cast("string"), 8, "0")
-    return F.concat(body, cusip_check_digit(body).cast("string"))
+    return bind(body, lambda t: F.concat(t, cusip_check_digit(t).cast("string")))
 
 
 def us_isin_of(cusip) -> "F.Column":
-    from knowndate.functions.identifiers import luhn_total
+    from knowndate.functions.identifiers import bind, luhn_total
 
-    body = F.concat(F.lit("US"), cusip)
-    digit = (10 - luhn_total(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.concat(body, digit.cast("int").cast("string"))
+    def complete(body):
+        digit = (10 - luhn_total(F.concat(body, F.lit("0"))) % 10) % 10
+        return F.concat(body, digit.cast("int").cast("string"))
+
+    return bind(F.concat(F.lit("US"), cusip), complete)
 
 
 def cusip_of_sql(number: str) -> str:
