@@ -47,6 +47,7 @@ CONCEPT_TAGS = {
     "operating_income": ["OperatingIncomeLoss"],
     "operating_cash_flow": ["NetCashProvidedByUsedInOperatingActivities"],
 }
+PROVIDER = "EODHD"
 MAX_DOCUMENT_BYTES = 8_000_000
 # ----------------------------------------------------------------------------
 
@@ -322,7 +323,7 @@ def security_master(documents: DataFrame) -> DataFrame:
         F.col("e.Name").alias("security_name"),
         F.lit(None).cast("date").alias("valid_from"),
         F.lit(None).cast("date").alias("valid_to"),
-        F.lit("EODHD").alias("source"),
+        F.lit(PROVIDER).alias("source"),
         ident.alias("source_identifier"),
         code.alias("ticker"),
         F.col("e.Isin").alias("isin"),
@@ -344,7 +345,7 @@ def price_rows(documents: DataFrame, retrieved_at: str) -> DataFrame:
         F.try_to_date("e.date", "yyyy-MM-dd").alias("date"),
         F.when(F.col("a"), F.col("e.adjusted_close")).otherwise(F.col("e.close")).alias("close"),
         F.when(F.col("v"), F.col("e.volume")).otherwise(F.lit(0.0)).alias("volume"),
-        F.lit("EODHD").alias("source"),
+        F.lit(PROVIDER).alias("source"),
         F.lit(retrieved_at).alias("retrieved_at"),
     )
 
