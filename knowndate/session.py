@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,19 +28,24 @@ def local_session(cpus: int | str | None = None, app: str = "knowndate") -> Spar
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, used where one frame feeds several eager passes.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``, which every cluster has to set.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``.  Only a local
-    session that names none gets a temporary folder; a cluster without one raises.
+    Only a single-process session (``local`` or ``local[n]``) that names none gets a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        named = tempfile.mkdtemp(prefix="knowndate-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, used where one frame feeds several eager passes."""
+    sc = df.sparkSession.sparkContext
+    folder = checkpoint_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            named = tempfile.mkdtemp(prefix="knowndate-checkpoint-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
