@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowndate.session import cut_lineage
+from knowndate.session import checkpoint_folder
 
-#: The word of the contracts: a run of characters other than space, tab, line feed, VT, FF and CR.
+#: The white space of the contracts: space, tab, line feed, VT, FF and CR. A word is a run of other characters.
 BLANKS = "\\x20\\x09-\\x0D"
 
 
@@ -27,9 +28,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), lambda w: w != "")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: later passes read it and lost executors can't take it away."""
-    return cut_lineage(df)
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder, and read back.
+
+    Later passes read the files: nothing is computed twice, and a lost executor takes nothing with it.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_parts(df: DataFrame) -> int:
