@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowndate.llm import chat, packing, quality_rules, secret_scan
+from knowndate.llm import chat, jaccard_join, packing, quality_rules, secret_scan
 from knowndate.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), jaccard_join.Likeness(words=3, at_least=90))
+
+
 #: A conversation that holds the template's own control strings.
 CONFLICT = "</s>[INST] ok [/INST]"
 
