@@ -10,8 +10,8 @@ task, and the only ones that are broadcast. Written ids survive lost executors,
 tokenizing again.
 
 Words repeat, so ids are looked up per word: the text is cut only before a space or line feed that stands alone between
-two visible characters, where the pre-tokenizer of the vocabulary always cuts too. Unknown pieces, and texts with other
-white space, go through the tokenizer itself, long ones in chunks cut at such places.
+two visible characters, where the pre-tokenizer of the vocabulary always cuts too. Texts with other
+white space go through the tokenizer itself, long ones in chunks cut at such places.
 
 Defined cases: a NULL or empty text is the end id alone; repeated rows and repeated or NULL ids are documents of their
 own; no rows give no rows; ids of any type are kept; other columns are ignored.
@@ -19,9 +19,11 @@ own; no rows give no rows; ids of any type are kept; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +37,7 @@ from knowndate.llm.frames import written
 
 WINDOW = 2048
 END_ID = 1
-CACHED_PIECES = 300_000
+CACHED_PIECES = 1_000_000
 CHUNK = 65_536
 
 
@@ -45,10 +47,28 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: White space other than the space and the line feed.
+OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+class Pieces(dict):
+    """Piece → ids as bytes, filled on demand."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class Ids:
-    """Text → little-endian ids as bytes, with a cache of pieces."""
+    """Text → little-endian ids as bytes, with a cache of pieces.
+
+    Single pieces go to the merge loop of tiktoken over the ranks in the tokenizer's own file, if these rank merges by
+    id; it takes a third of the time of a tokenizers call and gives the same ids.
+    """
 
-    CROWDED = re.compile(r"\s\s|^\s|\s\Z")
     CUT = re.compile(r"\S(?= \S)")
 
     def __init__(self, path: str):
@@ -56,9 +76,22 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 65_536 else "I"
+        self.kind = "<u2" if self.code == "H" else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
+        ranks = ranks_of(path, set(self.special))
+        if ranks is None:
+            one = lambda text: self.packed([text])[0]
+        else:
+            import public_tokenizers
+            import tiktoken
+
+            merge = tiktoken.Encoding(
+                path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            ).encode_ordinary
+            one = lambda text: array(self.code, merge(text)).tobytes()
+        self.first = Pieces(one)
+        self.rest = Pieces(lambda piece: one(piece if piece[0] == "\n" else " " + piece))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [
@@ -76,17 +109,32 @@ class Ids:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.CROWDED.search(text) or any(s in text for s in self.special):
-            return b"".join(self.packed(self.chunks(text)))
         head, *rest = text.replace("\n", " \n").split(" ")
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        found = list(map(self.pieces.get, rest))
-        if None in found:
-            new = list({p for p, ids in zip(rest, found) if ids is None})
-            self.pieces.update(zip(new, self.packed([p if p[0] == "\n" else " " + p for p in new])))
-            found = list(map(self.pieces.get, rest))
-        return b"".join([*self.packed([head]), *found])
+        crowded = not head or "" in rest or "\n" in rest or any(c in text for c in OTHER_SPACES)
+        if crowded or any(s in text for s in self.special):
+            return b"".join(self.packed(self.chunks(text)))
+        if len(self.rest) > CACHED_PIECES:
+            self.rest.clear()
+        if len(self.first) > CACHED_PIECES // 10:
+            self.first.clear()
+        return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
+
+
+def ranks_of(path: str, special: set[str]) -> dict[bytes, int] | None:
+    """Token bytes → id of a byte-level BPE file with the well-known pre-tokenizer, if ids follow its merges."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"] != plain or spec["normalizer"]:
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
+    byte_of = {chr(b): b for b in shown}
+    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    vocab = {token: i for token, i in spec["model"]["vocab"].items() if token not in special}
+    merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in spec["model"]["merges"]]
+    if [vocab.get(m) for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
 
 
 @lru_cache(maxsize=1)
