@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowndate.llm import chat, jaccard_join, packing, quality_rules, secret_scan
+from knowndate.llm import chat, jaccard_join, packing, quality_rules, secret_scan, toxicity
 from knowndate.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"), jaccard_join.Likeness(words=3, at_least=90))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 #: A conversation that holds the template's own control strings.
 CONFLICT = "</s>[INST] ok [/INST]"
 
