@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowndate.llm import chat, jaccard_join, packing, quality_rules, secret_scan, toxicity
-from knowndate.llm.frames import table
+from knowndate.llm import chat, jaccard_join, mixing, packing, quality_rules, secret_scan, toxicity
+from knowndate.llm.frames import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +74,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, mixing.quality_domains(table(spark, sf_dir, "labels")), mixing.DOMAINS)
+    mixed = written(mixing.with_posteriors(docs, model).drop("text"))
+    steps = mixing.fit_rates(mixed, mixing.DOMAINS, mixing.TARGETS)
+    return mixing.with_rates(mixed, steps).select(
+        "doc_id", "tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)], "rate", "copies"
+    )
+
+
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
