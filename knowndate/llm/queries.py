@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowndate.llm import chat, jaccard_join, mixing, packing, quality_rules, secret_scan, toxicity
+from knowndate.llm import chat, jaccard_join, mixing, packing, quality_rules, relative_lz, secret_scan, suffix_dedup, toxicity
 from knowndate.llm.frames import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op8_relative_lz")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.dedup(table(spark, sf_dir, "documents"))
+
+
 #: A conversation that holds the template's own control strings.
 CONFLICT = "</s>[INST] ok [/INST]"
 
