@@ -13,7 +13,8 @@ node meets the group's smallest node, its hub. What else may link is found per h
 * up to ``SMALL`` nodes around a hub: their pairs, pruned by parity sketches (a lower bound on the difference);
 * more: through the differences to the hub. If x and y link and x doesn't link with the hub, their differences
   d(x), d(y) share at least (|d(x)| + |d(y)| - H(x,y)) / 2 elements, so prefixes of the rarest elements of the
-  differences must meet; nodes that only share the hub's own text never meet again.
+  differences must meet; nodes that only share the hub's own text never meet again. The differences are taken to the
+  node next to the group's consensus.
 
 Every candidate is verified on the sets themselves. Nodes and elements are 64-bit hashes; n nodes collide with odds
 n*n / 2^65 (three in a hundred for 10^9 different sets).
@@ -268,7 +269,7 @@ def around_large_hubs(stars: DataFrame, like: Likeness) -> DataFrame:
         F.col("a").alias("hub"), F.col("b").alias("node"), "link",
         F.when(~F.col("link"), F.size("apart") - need(of_unlinked) + 1).otherwise(0).alias("long_prefix"),
         (F.size("apart") - need(of_any) + 1).alias("prefix"),
-        F.explode("apart").alias("element"),
+        F.size("apart").alias("d"), F.col("n_b").alias("n"), F.explode("apart").alias("element"),
     )
     rows = written(rows)
     rare = rows.groupBy("hub", "element").agg(F.count("*").alias("m")).filter("m > 1")
@@ -277,13 +278,43 @@ def around_large_hubs(stars: DataFrame, like: Likeness) -> DataFrame:
         "place", F.row_number().over(Window.partitionBy("hub", "node").orderBy("m", "element"))
     )
     shared = written(ranked.filter("m > 1 and place <= greatest(prefix, long_prefix)"))
-    a = shared.filter("not link and place <= long_prefix").select("hub", "element", F.col("node").alias("x"))
-    b = shared.filter("place <= prefix").select("hub", "element", F.col("node").alias("y"))
-    return a.join(b, ["hub", "element"]).filter("x <> y").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    a = shared.filter("not link and place <= long_prefix").alias("x")
+    b = shared.filter("place <= prefix").alias("y")
+    # what two nodes share before their first common element is nothing, and behind it no more than the shorter rest
+    most = F.floor(F.lit(like.of - like.at_least) * (F.col("x.n") + F.col("y.n")) / F.lit(like.of + like.at_least))
+    overlap = (F.col("x.d") + F.col("y.d") - most) / 2
+    rest = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place"))
+    meet = (
+        (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element"))
+        & (F.col("x.node") != F.col("y.node")) & (1 + rest >= overlap)
+    )
+    return a.join(b, meet).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     ).distinct()
 
 
+def central_stars(stars: DataFrame) -> DataFrame:
+    """Candidate stars (a, b) around a more central node of each group, for groups with nodes that don't link with the hub.
+
+    The consensus of a group is its hub changed in all elements in which most nodes differ from it. The node next to
+    the consensus links with more of the others, and their differences to it have fewer elements in common.
+    """
+    loose = stars.filter("not link").select("a").distinct()
+    group = stars.join(loose, "a", "left_semi").select(
+        F.col("a").alias("hub"), F.col("b").alias("node"), F.size("apart").alias("d"), "apart"
+    )
+    sizes = group.groupBy("hub").agg(F.count("*").alias("m"))
+    elements = group.select("hub", "node", F.explode("apart").alias("element"))
+    common = elements.groupBy("hub", "element").agg(F.count("*").alias("n")).join(sizes, "hub").filter("2 * n > m")
+    common = common.select("hub", "element")
+    agreed = elements.join(common, ["hub", "element"]).groupBy("hub", "node").agg(F.count("*").alias("agreed"))
+    centre = group.drop("apart").join(agreed, ["hub", "node"], "left").groupBy("hub").agg(
+        F.min(F.struct((F.col("d") - 2 * F.coalesce("agreed", F.lit(0))).alias("off"), "node")).alias("best")
+    ).select("hub", F.col("best.node").alias("centre"))
+    members = group.select("hub", "node").union(group.select("hub", F.col("hub").alias("node")).distinct())
+    return members.join(centre, "hub").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def links(docs: DataFrame, profile: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
     """Written links (a, b) between nodes: enough of them to connect whatever links connect, each of them verified."""
     nodes = written(
@@ -309,11 +340,12 @@ def links(docs: DataFrame, profile: DataFrame, like: Likeness, id_col: str, text
     )
     sets = candidate_sets(docs, nodes, wanted, like, id_col, text_col)
     hubs = written(measured(large, sets, like, differences=True))
-    more = written(pruned(around_large_hubs(hubs, like), nodes, like))
-    return written(
-        measured(near.union(more), sets, like).filter("link").select("a", "b")
-        .union(hubs.filter("link").select("a", "b"))
-    )
+    centres = written(measured(written(central_stars(hubs)), sets, like, differences=True))
+    more = written(pruned(around_large_hubs(centres, like), nodes, like))
+    found = measured(near.union(more), sets, like).select("a", "b", "link")
+    for stars in (hubs, centres):
+        found = found.union(stars.select("a", "b", "link"))
+    return written(found.filter("link").select("a", "b"))
 
 
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,3 +358,17 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest id; rows without words all stay."""
+    profile = profiled(docs, like, id_col, text_col)
+    labels = components(links(docs, profile, like, id_col, text_col))
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    placed = profile.filter("node is not null").join(labels, "node", "left")
+    kept = placed.groupBy(F.coalesce("label", "node")).agg(F.min(F.struct("id", "text_key")).alias("one"))
+    kept = kept.select(named(F.col("one.id")).alias("__id"), F.col("one.text_key").alias("__key"))
+    rows = docs.withColumns({"__id": named(F.col(id_col)), "__key": F.xxhash64(text_col)})
+    worded = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    chosen = rows.filter(worded).join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return chosen.unionByName(rows.filter(~worded)).select(*docs.columns)
