@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowndate.llm import chat, jaccard_join, mixing, packing, quality_rules, relative_lz, secret_scan, suffix_dedup, toxicity
+from knowndate.llm import ann, chat, jaccard_join, mixing, packing, quality_rules, relative_lz, secret_scan, suffix_dedup, toxicity
 from knowndate.llm.frames import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_multi_index_ann")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 @query("op7_suffix_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
