@@ -203,17 +203,25 @@ def fit_rates(
     if keep is not None and (share := weights[domains.index(keep[0])]):
         wished = max(wished, keep[1] * now[domains.index(keep[0])] / share)
     target = wished * weights
-    whitened = np.linalg.pinv(gram, rcond=1e-9)
-    steps: list[np.ndarray] = []
+    whole = np.linalg.pinv(gram, rcond=1e-9)
+    whitened, steps, gaps = whole, [], [np.inf]
     for _ in range(most_steps):
-        if np.abs(now - target).max() <= tolerance * wished:
+        gaps.append(float(np.abs(now - target).max()))
+        if gaps[-1] <= tolerance * wished:
             break
-        steps.append(whitened @ (now - target))
+        # the Gram matrix of the rows that still can move makes longer steps; a step that went too far is followed
+        # by one with the matrix of all rows, which never does
+        steps.append((whitened if gaps[-1] < gaps[-2] else whole) @ (now - target))
         rate = rate_after(F.col("posterior"), steps)
-        sums = mixed.select("tokens", "posterior", rate.alias("rate")).agg(*[
-            F.sum(F.col("rate") * F.col("tokens") * part(i)) for i in range(k)
-        ]).first()
-        now = np.array(sums, dtype=float)
+        sums = mixed.select("tokens", "posterior", rate.alias("rate")).agg(
+            *[F.sum(F.col("rate") * F.col("tokens") * part(i)) for i in range(k)],
+            *[
+                F.sum(F.when(F.col("rate") > 0, F.col("tokens") * part(i) * part(j)).otherwise(0.0))
+                for i in range(k) for j in range(k)
+            ],
+        ).first()
+        now = np.array(sums[:k], dtype=float)
+        whitened = np.linalg.pinv(np.array(sums[k:], dtype=float).reshape(k, k), rcond=1e-9)
     return steps
 
 
