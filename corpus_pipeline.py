@@ -12,10 +12,10 @@ ORACLE_SQL = None  # trained models and tokenizers are not SQL; tests hold the s
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier scores below 0.5."""
+    """Documents that the weakly supervised classifier scores below 0.3."""
     usable = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable)
-    return toxicity.score(docs, model).filter("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model).filter("score < 0.3").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
