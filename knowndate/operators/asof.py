@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def _day_grain(right: DataFrame, by: list[str], day: str, payload: list[str], tie: str | None):
-    """One payload struct per (by, day): the last row by ``tie``, or any if unique."""
+    """One payload struct per (by, day): the last row by ``tie``, equal ones by the largest payload."""
     rows = right.filter(F.col(day).isNotNull()).select(
         *by,
         F.to_date(day).alias("__day"),
@@ -23,8 +23,8 @@ def _day_grain(right: DataFrame, by: list[str], day: str, payload: list[str], ti
     )
     for name in by:
         rows = rows.filter(F.col(name).isNotNull())
-    pick = F.max_by("__payload", "__tie") if tie else F.first("__payload")
-    return rows.groupBy(*by, "__day").agg(pick.alias("__payload"))
+    last = F.max(F.struct("__tie", "__payload"))["__payload"]
+    return rows.groupBy(*by, "__day").agg(last.alias("__payload"))
 
 
 def _matched_days(left_days: DataFrame, history: DataFrame, by: list[str]) -> DataFrame:

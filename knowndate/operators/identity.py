@@ -217,7 +217,7 @@ def candidate_strength(
     )
     at_most_five = F.array_sort(
         F.collect_list(
-            F.struct("rank", "discovery_score", "security_id", "security_name", "isin")
+            F.struct("rank", "discovery_score", "security_id", "security_name", "isin", "name_key")
         )
     )
     rolled = found.groupBy("cik").agg(
@@ -247,6 +247,7 @@ def candidate_strength(
         F.transform(tied_rows, lambda x: x["security_id"]).alias("top_tied_security_ids"),
         F.transform(tied_rows, lambda x: x["security_name"]).alias("top_tied_security_names"),
         F.transform(tied_rows, lambda x: F.coalesce(x["isin"], F.lit(""))).alias("top_tied_isins"),
+        F.transform(tied_rows, lambda x: x["name_key"]).alias("top_tied_name_keys"),
         F.col("t.is_delisted").alias("is_delisted"),
         isin.alias("isin"),
         isin.isNotNull().alias("isin_present"),
@@ -513,7 +514,7 @@ def tie_composition(strength: DataFrame) -> DataFrame:
 
 def _tied_keys(strength: DataFrame) -> tuple[Column, Column, Column]:
     """Name keys, all cleaned ISINs and the non-empty ISINs of a tied list (JVM only)."""
-    names = F.transform("top_tied_security_names", lambda x: entity_name_key(x, ascii_only=True))
+    names = F.col("top_tied_name_keys")
     isins = F.transform("top_tied_isins", clean)
     return names, isins, F.filter(isins, lambda x: x != "")
 

@@ -32,22 +32,17 @@ TRADING_DAYS = 252
 class _History:
     """Window expressions over one price history.
 
-    Spark re-reads a sliding frame for every row, so frames are kept for what needs them
-    (deviation, maximum, minimum); counts and means come from running totals.
+    Spark re-reads a sliding frame for every row, so counts come from running totals; values come from frames, whose
+    errors end with the frame. NaN prices and volumes count as missing.
     """
 
     def __init__(self, key: str):
         self.order = W.partitionBy(key).orderBy("date")
         self.past = self.order.rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    def counted(self, prices: DataFrame, columns: list[str], summed: list[str]) -> DataFrame:
-        """Add running counts of non-null values and running sums."""
-        return prices.withColumns(
-            {
-                **{f"__n_{c}": F.count(c).over(self.past) for c in columns},
-                **{f"__s_{c}": F.coalesce(F.sum(c).over(self.past), F.lit(0.0)) for c in summed},
-            }
-        )
+    def counted(self, prices: DataFrame, columns: list[str]) -> DataFrame:
+        """Add running counts of non-null values."""
+        return prices.withColumns({f"__n_{c}": F.count(c).over(self.past) for c in columns})
 
     def _within(self, running: str, rows: int) -> Column:
         return F.col(running) - F.coalesce(F.lag(running, rows).over(self.order), F.lit(0))
@@ -64,30 +59,29 @@ class _History:
         frame = self.order.rowsBetween(-(rows - 1), W.currentRow)
         return F.when(self.enough(column, rows, least), aggregate(column).over(frame))
 
-    def mean(self, column: str, rows: int) -> Column:
-        return F.try_divide(
-            self._within(f"__s_{column}", rows), self._within(f"__n_{column}", rows)
-        )
-
     def zscore(self, column: str, rows: int, least: int) -> Column:
         spread = self.rolling(F.stddev_samp, column, rows, least)
-        return F.try_divide(F.col(column) - self.mean(column, rows), spread)
+        return F.try_divide(F.col(column) - self.rolling(F.avg, column, rows, least), spread)
 
     def below_high(self, rows: int, least: int) -> Column:
         return F.try_divide(F.col("close"), self.rolling(F.max, "close", rows, least)) - 1
 
 
-_WORK = [
-    "__daily", "__loss", "__n_close", "__n_volume", "__s_volume", "__n___daily", "__n___loss",
-]
+_WORK = ["__daily", "__loss", "__n_close", "__n_volume", "__n___daily", "__n___loss"]
+
+
+def _known(prices: DataFrame) -> DataFrame:
+    """NaN is a missing price or volume."""
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    return prices.withColumns({c: known(c) for c in ("close", "volume")})
 
 
 def issuer_market_features(prices: DataFrame, key: str = "cik") -> DataFrame:
     """Returns, volatility, distance from the high and volume score per issuer."""
     h = _History(key)
     year = math.sqrt(TRADING_DAYS)
-    p = prices.withColumn("__daily", h.change("close", 1))
-    p = h.counted(p, ["close", "volume", "__daily"], ["volume"])
+    p = _known(prices).withColumn("__daily", h.change("close", 1))
+    p = h.counted(p, ["close", "volume", "__daily"])
     out = p.withColumns(
         {
             **{f"ret_{n}d": h.change("close", n) for n in (21, 63, 252)},
@@ -103,9 +97,9 @@ def security_market_features(prices: DataFrame, key: str = "security_id") -> Dat
     """The fourteen trailing features per security."""
     h = _History(key)
     year = math.sqrt(TRADING_DAYS)
-    p = prices.withColumn("__daily", h.change("close", 1))
+    p = _known(prices).withColumn("__daily", h.change("close", 1))
     p = p.withColumn("__loss", F.when(F.col("__daily") < 0, F.col("__daily")))
-    p = h.counted(p, ["close", "volume", "__daily", "__loss"], ["volume"])
+    p = h.counted(p, ["close", "volume", "__daily", "__loss"])
     least = {21: max(10, 21 // 3), 63: max(10, 63 // 3)}
     out = p.withColumns(
         {

@@ -29,10 +29,13 @@ from knowndate.functions.names import (
     key_tokens,
     list_name_key,
 )
+from knowndate.session import cut_lineage
 
 # Characters of name keys, rare ones first; only the speed depends on the order.
 _RARE_FIRST = "QZXJ0987654321KVWYFBGHMPUDCLOTNRAISE "
 _SLACK = 1e-9
+#: Scores at which names without a match are searched again; any shared letter suffices at last.
+WIDER = (0.6, 0.3, 0.001)
 
 
 def _prefix(tokens: Column, needed: Column) -> Column:
@@ -174,6 +177,7 @@ def discover(
             "sec_alias",
             "security_id",
             "security_name",
+            "name_key",
             "discovery_score",
             "isin",
             "is_delisted",
@@ -184,15 +188,13 @@ def discover(
 
 
 def name_coverage(
-    cases: DataFrame, aliases: DataFrame, official: DataFrame, min_score: float = 0.90,
-    floor: float = 0.45,
+    cases: DataFrame, aliases: DataFrame, official: DataFrame, min_score: float = 0.90
 ) -> DataFrame:
     """Best official list entry per case and whether a normalised name matches exactly.
 
-    Hits do not depend on ``floor``, the lowest score looked for; a case whose best score
-    is lower reports 0.  A floor near zero reports every best score, at the price of
-    scoring all pairs that share a letter; one at ``min_score`` prunes most.
-    ``official``: cusip, issuer_name, ordinal.
+    Pairs are looked for at ``min_score`` first.  Only the issuers without any pair are
+    looked for again at lower scores, so the best score is exact and the wide last search
+    sees few names.  ``official``: cusip, issuer_name, ordinal.
     """
     keyed = _keyed_aliases(aliases.join(cases.select("cik"), "cik", "left_semi"))
     entries = (
@@ -200,9 +202,22 @@ def name_coverage(
         .agg(F.min_by("cusip", "ordinal").alias("cusip"), F.min("ordinal").alias("ordinal"))
         .withColumn("name_key", entity_name_key(F.col("issuer_name")))
     )
-    pairs = similar_names(
-        keyed.select("alias_key").distinct(), entries.select("name_key").distinct(), floor
-    )
+    entries = cut_lineage(entries)
+    keyed = cut_lineage(keyed)
+    wanted, pairs = keyed, None
+    for score in (min_score, *(s for s in WIDER if s < min_score)):
+        found = cut_lineage(
+            similar_names(
+                wanted.select("alias_key").distinct(), entries.select("name_key").distinct(), score
+            )
+        )
+        pairs = found if pairs is None else pairs.union(found)
+        matched = wanted.join(found.select("alias_key").distinct(), "alias_key").select("cik")
+        wanted = cut_lineage(wanted.join(matched.distinct(), "cik", "left_anti"))
+        if wanted.isEmpty():
+            break
+    # an alias may have been searched for several issuers, at several scores
+    pairs = pairs.distinct()
     per_name = entries.groupBy("name_key").agg(
         F.min_by(F.struct("ordinal", "issuer_name", "cusip"), "ordinal").alias("entry")
     )

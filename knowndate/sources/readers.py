@@ -375,8 +375,8 @@ def accession_documents(documents: DataFrame) -> DataFrame:
 def document_text(documents: DataFrame, raw: str = "html", url: str = "url") -> DataFrame:
     """Readable text of fetched documents, with digest and sizes.
 
-    Tags of ``.htm``/``.html`` documents become spaces; documents above the size
-    ceiling keep their row with a NULL text and ``oversize`` set.
+    Tags of ``.htm``/``.html`` documents become spaces. ``oversize`` marks documents
+    above the ceiling of the fetch; their text is returned all the same.
     """
     size = F.octet_length(raw)
     markup = F.lower(url).rlike(r"[.]html?$")
@@ -390,6 +390,6 @@ def document_text(documents: DataFrame, raw: str = "html", url: str = "url") ->
         size.alias("bytes"),
         F.sha2(raw, 256).alias("sha256"),
         (size > MAX_DOCUMENT_BYTES).alias("oversize"),
-        F.when(size <= MAX_DOCUMENT_BYTES, text).alias("text"),
+        text.alias("text"),
     )
     return out.withColumn("text_chars", F.length("text"))
