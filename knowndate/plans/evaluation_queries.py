@@ -253,7 +253,7 @@ def bootstrap_points(spark, sf_dir):
 
 @query("m14_cluster_bootstrap")
 def cluster_bootstrap(spark, sf_dir):
-    return bootstrap.paired_cluster_bootstrap(scored(spark, sf_dir), 0.12, 2000, 42, "source")
+    return bootstrap.paired_cluster_bootstrap(scored(spark, sf_dir), 0.12, seed=42, cluster="source")
 
 
 _RUN = """runs AS (SELECT lang, round(avg(y), 6) AS pr_auc, round(max(p), 6) AS lift,
@@ -311,3 +311,20 @@ def ablation(spark, sf_dir):
         s.withColumn("variant", F.lit("financial_macro"))
     )
     return checks.ablation_contract(both, ["doc_id", "y"])
+
+
+@query(
+    "f18_logits",
+    f"""WITH {SCORED}, q AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0.0 WHEN doc_id % 10 = 1 THEN 1.0 ELSE p END AS p FROM scored),
+     c AS (SELECT doc_id, least(greatest(p, 1e-12), 1 - 1e-12) AS a, least(greatest(p, 1e-6), 1 - 1e-6) AS b FROM q)
+    SELECT doc_id, round(ln(a / (1 - a)), 6) AS logit, round(ln(b / (1 - b)), 6) AS platt_logit FROM c""",
+)
+def logits(spark, sf_dir):
+    """Also scores of exactly 0 and 1, which the clips keep finite."""
+    last = F.col("doc_id") % 10
+    q = scored(spark, sf_dir).withColumn("p", F.when(last == 0, 0.0).when(last == 1, 1.0).otherwise(F.col("p")))
+    return q.select(
+        "doc_id",
+        F.round(calibration.logit(F.col("p")), 6).alias("logit"),
+        F.round(calibration.logit(F.col("p"), calibration.PLATT_CLIP), 6).alias("platt_logit"),
+    )

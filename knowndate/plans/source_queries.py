@@ -114,6 +114,16 @@ def line_gate(spark, sf_dir):
     return lists.line_fidelity_gate(fid, 5).select("vintage", "passed")
 
 
+@query(
+    "g11_line_fidelity_gate_default",
+    f"""WITH {_FID} SELECT vintage, min_width = 80 AND max_width = 80 AND security_rows >= 1000
+      AND cusip_valid_rows = security_rows AS passed FROM fid""",
+)
+def line_gate_default(spark, sf_dir):
+    fid = lists.line_fidelity(_fixed_lines(spark, sf_dir), ["vintage"])
+    return lists.line_fidelity_gate(fid).select("vintage", "passed")
+
+
 @query(
     "s16_legacy_text_list",
     f"""WITH {_PARTS} SELECT DISTINCT good AS cusip, rtrim(substr(issuer, 1, 30)) AS issuer_name,
@@ -470,12 +480,12 @@ def accession_index(spark, sf_dir):
        WHEN cik % 2 = 1 AND name NOT IN ('a-index.htm', 'logo.jpg') THEN 'textual_accession_fallback' END AS selection_reason FROM acc WHERE pos <> 9),
      k AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY CASE selection_reason WHEN 'primary_filing' THEN 0 WHEN 'priority_exhibit_filename' THEN 1 ELSE 2 END, pos) AS rn
        FROM r WHERE selection_reason IS NOT NULL)
-    SELECT cik, name, selection_reason FROM k WHERE rn <= 5""",
+    SELECT cik, name, selection_reason FROM k WHERE rn <= 8""",
 )
 def selection(spark, sf_dir):
     docs = readers.accession_documents(_accessions(spark, sf_dir))
     docs = docs.withColumn("primary_document", F.when(F.col("cik") % 2 == 0, "main.htm"))
-    return evidence.select_documents(docs, 5).select("cik", "name", "selection_reason")
+    return evidence.select_documents(docs).select("cik", "name", "selection_reason")
 
 
 @query(
@@ -564,6 +574,53 @@ def manifest(spark, sf_dir):
     return files.file_manifest(spark, sf_dir, "*.parquet").select("name", "bytes", "sha256")
 
 
+_SHELF = f"""{b.FILINGS}, per AS (SELECT year(filed) || 'q' || quarter(filed) AS source_quarter, count(*) AS n FROM filings GROUP BY 1),
+  shelf AS (SELECT source_quarter, source_quarter || '.zip' AS name, CAST(n * CAST(source_quarter[1:4] AS BIGINT) AS BIGINT) AS bytes,
+    sha256(source_quarter) AS sha256 FROM per WHERE source_quarter[6:6] <> '3')"""
+
+
+def _shelf(spark, sf_dir):
+    """Archives of the filings' quarters, all of which the plan names; those of third quarters are absent."""
+    quarter = F.concat(F.year("filed"), F.lit("q"), F.quarter("filed"))
+    per = b.filings(spark, sf_dir).groupBy(quarter.alias("source_quarter")).agg(F.count("*").alias("n"))
+    q = F.col("source_quarter")
+    shelf = per.filter(F.substring(q, 6, 1) != "3").select(
+        F.concat(q, F.lit(".zip")).alias("name"),
+        (F.col("n") * F.substring(q, 1, 4).cast("bigint")).alias("bytes"),
+        F.sha2(q, 256).alias("sha256"),
+    )
+    return per, shelf
+
+
+@query(
+    "s25_cache_audit",
+    f"""WITH {_SHELF} SELECT source_quarter, name IS NOT NULL AS cached, COALESCE(bytes, 0) AS bytes, sha256
+    FROM per LEFT JOIN shelf USING (source_quarter)""",
+)
+def cache_audit(spark, sf_dir):
+    plan, shelf = _shelf(spark, sf_dir)
+    return files.cache_audit(plan, shelf)
+
+
+@query(
+    "s26_snapshot_check",
+    f"""WITH {_SHELF} SELECT name, bytes, bytes % 5 NOT IN (0, 1, 2) AS matches,
+      CASE WHEN bytes % 5 NOT IN (2, 3) THEN CAST(source_quarter[1:4] || '-06-30' AS DATE) END AS observed_through,
+      bytes % 5 = 4 AS passed FROM shelf""",
+)
+def snapshot_check(spark, sf_dir):
+    """Sidecars with another digest, another size, none at all, and without a usable time."""
+    _, shelf = _shelf(spark, sf_dir)
+    k, bytes_ = F.col("bytes") % 5, F.col("bytes")
+    said = F.to_json(F.struct(
+        F.when(k == 0, "other").otherwise(F.col("sha256")).alias("sha256"),
+        F.when(k == 1, bytes_ + 1).otherwise(bytes_).alias("bytes"),
+        F.when(k == 3, "unknown").otherwise(F.concat(F.substring("name", 1, 4), F.lit("-06-30T23:00:00Z"))).alias("acquired_utc"),
+    ))
+    sidecars = shelf.filter(k != 2).select("name", said.alias("value"))
+    return files.snapshot_check(shelf, sidecars).withColumn("passed", F.coalesce("passed", F.lit(False)))
+
+
 @query(
     "s23_report_json",
     """SELECT '{"max_total":' || CAST(CAST(max(o_totalprice) AS BIGINT) AS VARCHAR) || ',"n":' || count(*) || ',"status":"' || o_orderstatus || '"}' AS value
