@@ -136,7 +136,8 @@ def train_boosted_tree(
     """Gradient-boosted trees with positive weight (1 - prevalence) / prevalence.
 
     Early stopping uses a share of the training rows chosen by a hash of ``key``, so the
-    choice survives recomputation.
+    choice survives recomputation. Training ends at the first iteration that doesn't lower
+    their loss: Spark has neither a patience nor an L2 term for leaves.
     """
     present = [c for c in features if c in frame.columns]
     n, tp = _train_counts(frame)
@@ -150,6 +151,7 @@ def train_boosted_tree(
         labelCol="__label",
         weightCol="__weight",
         validationIndicatorCol="__held_out",
+        validationTol=0.0,
         predictionCol="__prediction",
         maxIter=iterations,
         stepSize=LEARNING_RATE,

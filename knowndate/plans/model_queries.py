@@ -64,7 +64,7 @@ def logistic(spark, sf_dir):
 @query("m03_boosted_tree")
 def boosted(spark, sf_dir):
     frame = cut_lineage(modelling_frame(spark, sf_dir))
-    return modelling.evaluate(modelling.train_boosted_tree(frame, FEATURES, iterations=10), frame)
+    return modelling.evaluate(modelling.train_boosted_tree(frame, FEATURES), frame)
 
 
 @query("m04_macro_ablation")
@@ -72,7 +72,7 @@ def ablation(spark, sf_dir):
     frame = modelling_frame(spark, sf_dir)
     with_macro = macro.attach_macro(frame, macro.macro_features(b.macro(spark, sf_dir)))
     with_macro = cut_lineage(with_macro)
-    return modelling.macro_ablation(with_macro, FEATURES, MACRO, iterations=5)
+    return modelling.macro_ablation(with_macro, FEATURES, MACRO)
 
 
 @query("m15_batch_scoring")
