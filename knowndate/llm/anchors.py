@@ -66,12 +66,9 @@ def smallest_in(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(grams: np.ndarray, positions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window and anchor of each segment; a window has ``positions`` gram places."""
-    if len(grams) < positions:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
+def anchors_of(grams: np.ndarray, places: int) -> np.ndarray:
+    """The anchor of each window; a window has ``places`` gram places."""
+    if len(grams) < places:
+        return np.zeros(0, dtype=np.int64)
     placed = (grams & ~PLACE) | np.arange(len(grams), dtype=U)
-    anchor = (smallest_in(placed, positions) & PLACE).astype(np.int64)
-    first = np.flatnonzero(np.diff(anchor, prepend=-1))
-    return first, np.concatenate([first[1:] - 1, [len(anchor) - 1]]), anchor[first]
+    return (smallest_in(placed, places) & PLACE).astype(np.int64)

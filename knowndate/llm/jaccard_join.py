@@ -179,9 +179,10 @@ def signed(docs: DataFrame, like: Likeness, text_col: str) -> DataFrame:
 def candidate_stars(docs: DataFrame, like: Likeness, text_col: str) -> DataFrame:
     """Written (hub, node): every node that shares a signature with the smallest node of its group."""
     sigs = signed(docs, like, text_col)
-    shared = sigs.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig")
+    # written, so that adaptive joins can split a signature that many nodes have
+    shared = written(sigs.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"))
     members = written(sigs.join(shared, "sig").distinct())
-    hubs = members.groupBy("sig").agg(F.min("node").alias("hub"))
+    hubs = written(members.groupBy("sig").agg(F.min("node").alias("hub")))
     return written(members.join(hubs, "sig").filter("node <> hub").select("hub", "node").distinct())
 
 
@@ -353,7 +354,7 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
     profile = profiled(docs, like, id_col, text_col)
     labels = components(links(docs, profile, like, id_col, text_col))
     placed = profile.join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
-    smallest = placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
+    smallest = written(placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id")))
     return placed.join(smallest, "label", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),

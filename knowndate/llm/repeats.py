@@ -17,7 +17,6 @@ nothing but the amount of work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowndate.llm.anchors import PART, Stretches, gram_hashes, segments
+from knowndate.llm.anchors import PART, Stretches, anchors_of, gram_hashes
 from knowndate.llm.frames import written
 from knowndate.llm.hashing import K1, K3, U, eights, mix, raw, word_hashes
 
@@ -40,7 +39,6 @@ class Bytes:
     gram: int = 3
     stride: int = 8
     cell: int = 24
-    unit_bytes: int = 1
 
     @property
     def units(self) -> int:
@@ -50,16 +48,11 @@ class Bytes:
     def places(self) -> int:
         return self.window - self.gram * self.stride + 1
 
-    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
-        data, offsets = raw(column)
-        for k in range(len(column)):
-            yield data[offsets[k] : offsets[k + 1]]
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return raw(column)
 
-    def unit_array(self, text: np.ndarray) -> np.ndarray:
-        return mix(eights(text)[: max(len(text) - 7, 0)])
-
-    def windows_in(self, text: np.ndarray) -> int:
-        return len(text) - self.window + 1
+    def unit_array(self, flat: np.ndarray) -> np.ndarray:
+        return mix(eights(flat)[: max(len(flat) - 7, 0)])
 
 
 @dataclass(frozen=True)
@@ -79,31 +72,62 @@ class Words:
     def places(self) -> int:
         return self.window - self.gram + 1
 
-    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
-        words, at = word_hashes(column)
-        for k in range(len(column)):
-            yield words[at[k] : at[k + 1]]
-
-    def unit_array(self, text: np.ndarray) -> np.ndarray:
-        return text
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return word_hashes(column)
 
-    def windows_in(self, text: np.ndarray) -> int:
-        return len(text) - self.window + 1
+    def unit_array(self, flat: np.ndarray) -> np.ndarray:
+        return flat
 
 
-def parts(kind, text: np.ndarray):
-    """(offset, text part) such that each window lies in exactly one part."""
-    n = kind.windows_in(text)
-    for at in range(0, max(n, 0), PART):
-        yield at, text[at : min(at + PART, n) + kind.window - 1]
+def stretches_of(flat: np.ndarray, offsets: np.ndarray, use: np.ndarray, window: int):
+    """(part, offsets in it, numbers of its texts, windows left out before it): whole texts together, or a part of one.
 
-
-def cut(kind, part: np.ndarray):
-    """(grams, first window, last window, anchor, hashes of stretches) of one part."""
-    units = kind.unit_array(part)
+    Parts of a long text overlap such that each window lies in exactly one of them. Texts not in use have no length.
+    """
+    k, n = 0, len(offsets) - 1
+    while k < n:
+        last = max(int(np.searchsorted(offsets, offsets[k] + PART, side="right")) - 1, k + 1)
+        text = flat[offsets[k] : offsets[last]]
+        if len(text) <= PART:
+            if use[k:last].any():
+                yield text, offsets[k : last + 1] - offsets[k], np.arange(k, last), 0
+        elif use[k]:
+            windows = len(text) - window + 1
+            for at in range(0, windows, PART):
+                part = text[at : min(at + PART, windows) + window - 1]
+                yield part, np.array([0, len(part)]), np.array([k]), at
+        k = last
+
+
+def cut(kind, flat: np.ndarray, offsets: np.ndarray, use: np.ndarray):
+    """(first window, last window, anchor, gram at the anchor, hashes of stretches) of the segments of all used texts."""
+    units = kind.unit_array(flat)
     grams = gram_hashes(units, kind.gram, kind.stride)
-    lo, hi, at = segments(grams, kind.places)
-    return grams, lo, hi, at, Stretches(units)
+    anchor = anchors_of(grams, kind.places)
+    start, end = offsets[:-1], offsets[1:] - kind.window + 1
+    some = use & (end > start)
+    edge = np.zeros(len(anchor) + 1, dtype=np.int32)
+    np.add.at(edge, start[some], 1)
+    np.add.at(edge, end[some], -1)
+    inside = np.cumsum(edge[: len(anchor)]) > 0  # windows that lie in one text
+    new = inside & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~inside[:-1]])[: len(anchor)]
+    lo = np.flatnonzero(new)
+    hi = np.flatnonzero(inside & ~np.concatenate([inside[1:] & ~new[1:], [False]])[: len(anchor)])
+    return lo, hi, anchor[lo], grams[anchor[lo]], Stretches(units)
+
+
+def segments_of(kind, keys: np.ndarray, column: pa.Array, seen: set[int]):
+    """Per part: (key, first window, last window, anchor) as places in the text, grams, content hashes, and the same
+    windows as places in the part with the part itself. A text whose key was seen is left out."""
+    flat, offsets = kind.flat(column)
+    use = np.array([key not in seen and not seen.add(key) for key in keys.tolist()], dtype=bool)
+    for part, starts, numbers, shift in stretches_of(flat, offsets, use, kind.window):
+        lo, hi, at, grams, hashes = cut(kind, part, starts, use[numbers])
+        if len(lo):
+            text = np.searchsorted(starts, lo, side="right") - 1
+            move = shift - starts[text]
+            f = content_hash(kind, hashes, lo, hi, at)
+            yield keys[numbers[text]], lo + move, hi + move, at + move, grams, f, lo, hi, part
 
 
 def content_hash(kind, hashes: Stretches, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -125,17 +149,10 @@ def segment_rows(kind, docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), kind.texts(batch.column(1))):
-                if kind.windows_in(text) < 1 or key in seen:
-                    continue
-                seen.add(key)
-                for offset, part in parts(kind, text):
-                    grams, lo, hi, at, hashes = cut(kind, part)
-                    f = content_hash(kind, hashes, lo, hi, at)
-                    out.append((grams[at].view(np.int64), f.view(np.int64), np.full(len(lo), key), lo + offset, hi + offset, at + offset))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["c", "f", "key", "lo", "hi", "at"])
+            for key, lo, hi, at, grams, f, *_ in segments_of(kind, batch.column(0).to_numpy(), batch.column(1), seen):
+                yield pa.RecordBatch.from_arrays(
+                    list(map(pa.array, (grams.view(np.int64), f.view(np.int64), key, lo, hi, at))), ["c", "f", "key", "lo", "hi", "at"]
+                )
 
     return written(keyed(docs, text_col).mapInArrow(run, "c long, f long, key long, lo long, hi long, at long"))
 
@@ -143,7 +160,8 @@ def segment_rows(kind, docs: DataFrame, text_col: str) -> DataFrame:
 def decided(rows: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
     """From rows (c, f, key, lo, hi, extra): the repeated stretches (key, lo, hi), and one row of each content in doubt."""
     shared = rows.groupBy("c").agg(F.count("*").alias("n"), F.min("f").alias("least"), F.max("f").alias("most"))
-    shared = shared.filter("n > 1").select("c", (F.col("least") != F.col("most")).alias("mixed"))
+    # written, so that adaptive joins can split a gram that many rows have
+    shared = written(shared.filter("n > 1").select("c", (F.col("least") != F.col("most")).alias("mixed")))
     rows = written(rows.join(shared, "c"))
     doubt = rows.filter("mixed").groupBy("c", "f").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", *extra)).alias("one")
@@ -188,18 +206,13 @@ def doubtful_segments(kind, docs: DataFrame, doubt: DataFrame, text_col: str) ->
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), kind.texts(batch.column(1))):
-                if kind.windows_in(text) < 1 or key in seen:
-                    continue
-                seen.add(key)
-                for offset, part in parts(kind, text):
-                    _, lo, hi, at, _ = cut(kind, part)
-                    for k in np.flatnonzero(passes(bits.value, item(np.full(len(lo), key), lo + offset))):
-                        content = part[lo[k] : hi[k] + kind.window].tobytes()
-                        out.append((key, int(lo[k]) + offset, int(hi[k]) + offset, int(at[k]) + offset, content))
-            if out:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out))), ["key", "lo", "hi", "at", "content"])
+            for key, lo, hi, at, _, _, first, last, part in segments_of(kind, batch.column(0).to_numpy(), batch.column(1), seen):
+                some = np.flatnonzero(passes(bits.value, item(key, lo)))
+                content = [part[first[k] : last[k] + kind.window].tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[some]) for x in (key, lo, hi, at)), pa.array(content, pa.binary())],
+                    ["key", "lo", "hi", "at", "content"],
+                )
 
     rows = keyed(docs, text_col).mapInArrow(run, "key long, lo long, hi long, at long, content binary")
     return written(rows.dropDuplicates(["key", "lo"]))
@@ -209,26 +222,39 @@ def cell_rows(kind, segs: DataFrame, width: int) -> DataFrame:
     """(c, f, key, lo, hi, seg) of the cells of segments; with a column ``only`` of (lo, hi), of those windows alone."""
     some = "only" in segs.columns
 
-    def run(batches):
+    def cells(key, lo, hi, at, content: pa.Array, only: pa.Array | None):
         form = np.uint8 if isinstance(kind, Bytes) else U
+        flat = np.frombuffer(b"".join(content.to_pylist()), dtype=form)
+        size = np.frombuffer(content.buffers()[1], dtype=np.int32)[content.offset : content.offset + len(content) + 1]
+        base = (size[:-1] - size[0]) // flat.itemsize - lo  # from a place in the text to one in ``flat``
+        seg = np.arange(len(key))
+        a, b = lo, hi
+        if only is not None:
+            seg = np.repeat(seg, [len(x) for x in only.to_pylist()])
+            each = only.flatten()
+            a, b = each.field("lo").to_numpy(), each.field("hi").to_numpy()
+        n = (at[seg] - a) // width - (at[seg] - b) // width + 1
+        row = np.repeat(np.arange(len(n)), n)
+        cell = (at[seg] - b)[row] // width + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        seg, a, b = seg[row], a[row], b[row]
+        late = at[seg] - cell * width  # last and first window that a whole cell has
+        early = late - width + 1
+        first, last, move = np.maximum(early, a), np.minimum(late, b), base[seg]
+        hashes = Stretches(kind.unit_array(flat))
+        c = mix(hashes(late + move, early + kind.units + move) ^ mix((cell + 1).astype(U) * K1))
+        f = content_hash(kind, hashes, first + move, last + move, at[seg] + move)
+        return [pa.array(x) for x in (c.view(np.int64), f.view(np.int64), key[seg], first, last, lo[seg])]
+
+    def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            columns = [batch.column(names.index(n)).to_pylist() for n in ("key", "lo", "hi", "at", "content")]
-            chosen = batch.column(names.index("only")).to_pylist() if some else [None] * len(batch)
-            out = []
-            for key, lo, hi, at, content, only in zip(*columns, chosen):
-                hashes = Stretches(kind.unit_array(np.frombuffer(content, dtype=form)))
-                for a, b in [(lo, hi)] if only is None else [(x["lo"], x["hi"]) for x in only]:
-                    cell = np.arange((at - b) // width, (at - a) // width + 1)
-                    first = np.maximum(at - cell * width - width + 1, a) - lo  # windows of the cell, counted from lo
-                    last = np.minimum(at - cell * width, b) - lo
-                    late, early = at - cell * width - lo, at - cell * width - width + 1 - lo
-                    c = mix(hashes(late, early + kind.units) ^ mix((cell + 1).astype(U) * K1))
-                    f = content_hash(kind, hashes, first, last, np.full(len(cell), at - lo))
-                    n = len(cell)
-                    out.append((c.view(np.int64), f.view(np.int64), np.full(n, key), first + lo, last + lo, np.full(n, lo)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["c", "f", "key", "lo", "hi", "seg"])
+            for k in range(0, len(batch), 2000):
+                part = batch.slice(k, 2000)
+                names = part.schema.names
+                column = lambda name: part.column(names.index(name))
+                numbers = (column(name).to_numpy() for name in ("key", "lo", "hi", "at"))
+                yield pa.RecordBatch.from_arrays(
+                    cells(*numbers, column("content"), column("only") if some else None), ["c", "f", "key", "lo", "hi", "seg"]
+                )
 
     return segs.mapInArrow(run, "c long, f long, key long, lo long, hi long, seg long")
 
@@ -246,7 +272,7 @@ def repeated_windows(kind, docs: DataFrame, text_col: str = "text") -> DataFrame
         only = doubt.groupBy("key", F.col("seg").alias("lo")).agg(F.collect_list(F.struct("lo", "hi")).alias("only"))
         segs = segs.join(only, ["key", "lo"])
     last = written(cell_rows(kind, segs, 1).select("c", "key", "lo"))
-    twice = last.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
+    twice = written(last.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"))
     single = last.join(twice, "c", "left_semi").select("key", "lo", F.col("lo").alias("hi"))
     return hits.union(single)
 
