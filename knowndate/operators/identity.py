@@ -205,7 +205,7 @@ def candidate_strength(
     universe: DataFrame,
     min_score: float = 0.45,
 ) -> DataFrame:
-    """Top candidate per hard case: score, margin, ties (at most five candidates each)."""
+    """Top candidate per hard case: score, margin, number of ties (five of them shown)."""
     found = discover(case_aliases(cases, names, filing_names), universe, min_score, 5)
     top = F.max(F.when(F.col("rank") == 1, F.col("discovery_score")))
     second = F.max(F.when(F.col("rank") == 2, F.col("discovery_score")))
@@ -225,6 +225,7 @@ def candidate_strength(
         top.alias("top_score"),
         second.alias("second_score"),
         first_row.alias("t"),
+        F.max("top_ties").alias("top_ties"),
         at_most_five.alias("c"),
     )
     joined = cases.select("cik").join(rolled, "cik", "left")
@@ -243,7 +244,7 @@ def candidate_strength(
         margin.alias("margin"),
         F.coalesce(F.abs(gap) < 1e-12, false).alias("top_score_tied"),
         F.coalesce(gap < NEAR_TIE, false).alias("top_score_near_tied"),
-        F.greatest(F.size(tied_rows), F.lit(0)).alias("top_tied_candidate_count"),
+        F.coalesce("top_ties", F.lit(0)).alias("top_tied_candidate_count"),
         F.transform(tied_rows, lambda x: x["security_id"]).alias("top_tied_security_ids"),
         F.transform(tied_rows, lambda x: x["security_name"]).alias("top_tied_security_names"),
         F.transform(tied_rows, lambda x: F.coalesce(x["isin"], F.lit(""))).alias("top_tied_isins"),

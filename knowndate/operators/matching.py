@@ -142,6 +142,7 @@ def discover(
     ``aliases``: cik, alias.  ``universe``: security_id, security_name, isin,
     is_delisted, ordinal (its input order).  Order: score, delisted first, unknown
     status last, ordinal.  Among aliases of equal score the first in text order counts.
+    ``top_ties``: how many securities share the issuer's best score.
     """
     keyed = _keyed_aliases(aliases)
     names = universe.select("security_name").distinct()
@@ -168,8 +169,18 @@ def discover(
     per_issuer = W.partitionBy("cik").orderBy(
         F.col("discovery_score").desc(), delisted_first, "ordinal"
     )
+    # ties are counted over all securities, not over the rows that are returned
+    held = universe.join(names, "security_name").groupBy("name_key").agg(F.count(F.lit(1)).alias("__held"))
+    ties = (
+        best.join(held, "name_key")
+        .groupBy("cik", "discovery_score")
+        .agg(F.sum("__held").alias("n"))
+        .groupBy("cik")
+        .agg(F.max_by("n", "discovery_score").alias("top_ties"))
+    )
     return (
         best.join(top_of_name, "name_key")
+        .join(ties, "cik")
         .withColumn("rank", F.row_number().over(per_issuer))
         .filter(F.col("rank") <= limit)
         .select(
@@ -182,6 +193,7 @@ def discover(
             "isin",
             "is_delisted",
             "rank",
+            "top_ties",
             F.lit(True).alias("discovery_only"),
         )
     )

@@ -431,6 +431,12 @@ def universe(spark, sf_dir) -> DataFrame:
     )
 
 
+UNIVERSE = f"""universe AS (SELECT 'P' || p_partkey AS security_id,
+   p_name || ' ' || p_brand || CASE p_size % 3 WHEN 0 THEN ' Co' WHEN 1 THEN ' Ltd' ELSE '' END AS security_name,
+   CASE WHEN p_size % 4 <> 0 THEN {us_isin_of_sql(cusip_of_sql('p_partkey'))} END AS isin,
+   CASE WHEN p_size % 5 <> 0 THEN p_size % 2 = 0 END AS is_delisted, p_partkey AS ordinal FROM part)"""
+
+
 def master(spark, sf_dir) -> DataFrame:
     from knowndate.operators.identity import identity_master
 

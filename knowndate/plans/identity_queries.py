@@ -172,7 +172,11 @@ def jaccard(spark, sf_dir):
     return keyed.select("cik", F.round(names.token_jaccard(F.col("a"), F.col("n")), 8).alias("jaccard"))
 
 
-@query("f03_name_similarity")
+@query(
+    "f03_name_similarity",
+    f"""WITH RECURSIVE {_PAIRS}, keys AS (SELECT DISTINCT a, n FROM pairs WHERE a <> '' AND n <> ''), {q.name_scores("keys")}
+    SELECT cik, p.a, p.n, round(coalesce(score, 0), 8) AS score FROM pairs p LEFT JOIN scores USING (a, n)""",
+)
 def similarity(spark, sf_dir):
     keyed = _name_pairs(spark, sf_dir).withColumns(
         {
@@ -496,6 +500,61 @@ def incremental_report(spark, sf_dir):
 # --- matching -------------------------------------------------------------------------------
 
 
+def _match(limit: int, least: float, filing_names: bool = True, cases: str = "hard") -> str:
+    """CTEs up to ``found``: the best ``limit`` securities per hard case at ``least`` or more."""
+    extra = f"UNION SELECT cik, name, FALSE FROM fnames WHERE {q.name_key('name')} <> ''" if filing_names else ""
+    every = f"hardest AS (SELECT * FROM master WHERE distress_observations > 0 AND NOT has_current_ticker)"
+    return f"""{_HARD}, {every}, {b.FILING_NAMES}, {b.UNIVERSE},
+  said AS (SELECT cik, alias, bool_or(old) AS old FROM (
+    SELECT lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, historical_name AS alias, TRUE AS old FROM names {extra}) GROUP BY ALL),
+  keyed AS (SELECT cik, alias, old, {q.name_key('alias')} AS a FROM said SEMI JOIN {cases} USING (cik)),
+  unames AS (SELECT *, {q.name_key('security_name')} AS n FROM universe),
+  keys AS (SELECT a, n FROM (SELECT DISTINCT a FROM keyed WHERE a <> ''), (SELECT DISTINCT n FROM unames WHERE n <> '')
+    WHERE greatest(2.0 * least(len(a), len(n)) / (len(a) + len(n)),
+      len(list_intersect(string_split(a, ' '), string_split(n, ' '))) / 1.0) >= {least}),
+  {q.name_scores("keys")},
+  best AS (SELECT cik, n, max(score) AS score, arg_min(alias, struct_pack(s := -score, alias := alias)) AS sec_alias
+    FROM keyed JOIN scores USING (a) WHERE score >= {least} GROUP BY cik, n),
+  candidates AS (SELECT cik, sec_alias, security_id, security_name, n AS name_key, score, isin, is_delisted, ordinal,
+      count(*) FILTER (WHERE score = top) OVER (PARTITION BY cik) AS top_ties,
+      row_number() OVER (PARTITION BY cik ORDER BY score DESC, is_delisted DESC NULLS LAST, ordinal) AS rank
+    FROM (SELECT *, max(score) OVER (PARTITION BY cik) AS top FROM best) JOIN unames USING (n)),
+  found AS (SELECT * FROM candidates WHERE rank <= {limit})"""
+
+
+_STRENGTH = f"""{_match(5, 0.45)},
+  rolled AS (SELECT cik, count(*) AS n, max(score) FILTER (WHERE rank = 1) AS top_score,
+      max(score) FILTER (WHERE rank = 2) AS second_score, any_value(top_ties) AS top_ties FROM found GROUP BY cik),
+  tied AS (SELECT f.cik, string_agg(f.security_id, ',' ORDER BY f.rank) AS ids, string_agg(f.security_name, ',' ORDER BY f.rank) AS names,
+      string_agg(COALESCE(f.isin, ''), ',' ORDER BY f.rank) AS isins, string_agg(f.name_key, ',' ORDER BY f.rank) AS name_keys,
+      count(*) AS shown, count(DISTINCT f.security_id) AS n_ids, count(DISTINCT f.name_key) AS n_names,
+      count(NULLIF(f.isin, '')) AS filled, count(DISTINCT NULLIF(f.isin, '')) AS n_isins, count(DISTINCT COALESCE(f.isin, '')) AS n_any
+    FROM found f JOIN found t ON t.cik = f.cik AND t.rank = 1 AND t.score = f.score GROUP BY f.cik),
+  strength AS (SELECT h.cik, COALESCE(n, 0) AS candidate_count, t.security_id AS top_security_id, t.security_name AS top_security_name,
+      top_score, second_score, COALESCE(top_score - second_score, top_score) AS margin,
+      COALESCE(abs(top_score - second_score) < 1e-12, FALSE) AS top_score_tied,
+      COALESCE(top_score - second_score < {identity.NEAR_TIE}, FALSE) AS top_score_near_tied,
+      COALESCE(r.top_ties, 0) AS top_tied_candidate_count, ids AS top_tied_security_ids, names AS top_tied_security_names,
+      isins AS top_tied_isins, name_keys AS top_tied_name_keys, t.is_delisted, t.isin, t.isin IS NOT NULL AS isin_present,
+      COALESCE(top_score >= {identity.HIGH_SCORE} AND COALESCE(top_score - second_score, top_score) >= {identity.HIGH_MARGIN}, FALSE) AS high_margin,
+      tied.* EXCLUDE (cik, ids, names, isins, name_keys)
+    FROM hard h LEFT JOIN rolled r USING (cik) LEFT JOIN found t ON t.cik = h.cik AND t.rank = 1 LEFT JOIN tied ON tied.cik = h.cik)"""
+
+_DETAIL = f"""{_match(5, 0.45, False)}, detail AS (SELECT h.cik, rank, security_id, score,
+  CASE WHEN rank = 1 THEN score - COALESCE(lead(score) OVER (PARTITION BY h.cik ORDER BY rank), 0) END AS margin
+  FROM hard h LEFT JOIN found USING (cik))"""
+
+
+def _first_discovered(n: int) -> str:
+    return f"""{_match(10, 0.72, False, "hardest")}, discovered AS (SELECT f.*, first_filing, last_filing FROM found f JOIN (
+      SELECT cik, first_filing, last_filing FROM hardest SEMI JOIN found USING (cik)
+      ORDER BY first_filing, distress_observations DESC, cik LIMIT {n}) USING (cik))"""
+
+
+_FOUND = """cik, sec_alias, security_id, security_name, name_key, round(score, 8) AS discovery_score, isin, is_delisted, rank,
+  CAST(top_ties AS BIGINT) AS top_ties, TRUE AS discovery_only"""
+
+
 def _strength(spark, sf_dir):
     return identity.candidate_strength(
         identity.hard_cases(b.master(spark, sf_dir)),
@@ -505,7 +564,7 @@ def _strength(spark, sf_dir):
     )
 
 
-@query("j14_discover_candidates")
+@query("j14_discover_candidates", f"WITH RECURSIVE {_match(10, 0.72)} SELECT {_FOUND} FROM found")
 def discover(spark, sf_dir):
     cases = identity.hard_cases(b.master(spark, sf_dir))
     aliases = identity.case_aliases(cases, b.names(spark, sf_dir), b.filing_names(spark, sf_dir))
@@ -514,7 +573,19 @@ def discover(spark, sf_dir):
     )
 
 
-@query("j15_name_coverage")
+@query(
+    "j15_name_coverage",
+    f"""WITH RECURSIVE {_match(1, 0.001)},
+      entries AS (SELECT upper(security_name) AS issuer_name, arg_min(substr(isin, 3, 9), ordinal) AS cusip, min(ordinal) AS ordinal,
+        any_value(n) AS n FROM unames GROUP BY 1),
+      heads AS (SELECT n, arg_min(struct_pack(o := ordinal, name := issuer_name, cusip := cusip), ordinal) AS e FROM entries GROUP BY n),
+      hit AS (SELECT cik, arg_max(e, struct_pack(s := score, o := -e.o)) AS e, max(score) AS score, bool_or(a = n) AS exact
+        FROM keyed JOIN scores USING (a) JOIN heads USING (n) WHERE score >= 0.001 GROUP BY cik),
+      told AS (SELECT cik, count(*) AS c FROM keyed GROUP BY cik)
+    SELECT h.cik, COALESCE(c, 0) AS alias_count, COALESCE(score, 0) AS best_score, e.name AS best_official_name, e.cusip AS best_cusip,
+      COALESCE(exact, FALSE) AS exact_normalized_name_hit, COALESCE(score, 0) >= 0.9 AS candidate_hit
+    FROM hard h LEFT JOIN told USING (cik) LEFT JOIN hit USING (cik)""",
+)
 def name_coverage(spark, sf_dir):
     cases = identity.hard_cases(b.master(spark, sf_dir))
     aliases = identity.case_aliases(cases, b.names(spark, sf_dir), b.filing_names(spark, sf_dir))
@@ -524,68 +595,135 @@ def name_coverage(spark, sf_dir):
     return matching.name_coverage(cases, aliases, official)
 
 
-@query("a11_candidate_strength")
+_SHOWN = """cik, candidate_count, top_security_id, top_security_name, round(top_score, 8) AS top_score, round(second_score, 8) AS second_score,
+  round(margin, 8) AS margin, top_score_tied, top_score_near_tied, CAST(top_tied_candidate_count AS BIGINT) AS top_tied_candidate_count,
+  top_tied_security_ids, top_tied_security_names, top_tied_isins, top_tied_name_keys, is_delisted, isin, isin_present, high_margin"""
+
+
+@query("a11_candidate_strength", f"WITH RECURSIVE {_STRENGTH} SELECT {_SHOWN} FROM strength")
 def strength(spark, sf_dir):
     out = _strength(spark, sf_dir)
     return out.withColumns(
         {
             c: F.array_join(c, ",")
-            for c in ("top_tied_security_ids", "top_tied_security_names", "top_tied_isins")
+            for c in ("top_tied_security_ids", "top_tied_security_names", "top_tied_isins", "top_tied_name_keys")
         }
-    )
+    ).withColumns({c: F.round(c, 8) for c in ("top_score", "second_score", "margin")})
 
 
-@query("a11_strength_report")
+@query(
+    "a11_strength_report",
+    f"""WITH RECURSIVE {_STRENGTH} SELECT count(*) AS issuers, count(*) FILTER (WHERE candidate_count > 0) AS with_candidate,
+      count(*) FILTER (WHERE top_score >= {identity.HIGH_SCORE}) AS top_score_ge_090, count(*) FILTER (WHERE high_margin) AS high_margin_candidates,
+      count(*) FILTER (WHERE top_score_tied) AS top_score_ties, count(*) FILTER (WHERE top_score_near_tied) AS top_score_near_ties_lt_002,
+      count(*) FILTER (WHERE is_delisted) AS delisted_top_candidates, count(*) FILTER (WHERE isin_present) AS top_candidates_with_isin,
+      round(median(top_score), 8) AS top_score_median, round(median(margin), 8) AS margin_median FROM strength""",
+)
 def strength_report(spark, sf_dir):
-    return identity.strength_report(_strength(spark, sf_dir))
+    out = identity.strength_report(_strength(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 8) for c in ("top_score_median", "margin_median")})
 
 
-@query("a12_discovery_comparison")
+@query(
+    "a12_discovery_comparison",
+    f"""WITH RECURSIVE {_match(5, 0.45)},
+      told AS (SELECT cik, count(*) FILTER (WHERE old) AS b, count(*) AS c FROM keyed GROUP BY cik),
+      pairs AS (SELECT cik, n, max(score) FILTER (WHERE old) AS b, max(score) AS c FROM keyed JOIN scores USING (a)
+        WHERE score >= 0.45 GROUP BY cik, n),
+      sides AS (SELECT cik, least(5, count(b)) AS b_n, max(b) AS b_top, least(5, count(*)) AS c_n, max(c) AS c_top
+        FROM pairs JOIN unames USING (n) GROUP BY cik)
+    SELECT h.cik, COALESCE(b, 0) AS before_aliases, COALESCE(b_n, 0) AS before_candidates, round(b_top, 8) AS before_top_score,
+      COALESCE(c, 0) AS after_aliases, COALESCE(c_n, 0) AS after_candidates, round(c_top, 8) AS after_top_score,
+      COALESCE(b_n, 0) = 0 AND COALESCE(c_n, 0) > 0 AS new_candidate, COALESCE(c_n, 0) > COALESCE(b_n, 0) AS candidate_count_increased,
+      c_top IS NOT NULL AND (b_top IS NULL OR c_top > b_top) AS top_score_improved
+    FROM hard h LEFT JOIN told USING (cik) LEFT JOIN sides USING (cik)""",
+)
 def comparison(spark, sf_dir):
-    return identity.compare_discovery(
+    out = identity.compare_discovery(
         identity.hard_cases(b.master(spark, sf_dir)),
         b.names(spark, sf_dir),
         b.filing_names(spark, sf_dir),
         b.universe(spark, sf_dir),
     )
+    return out.withColumns({c: F.round(c, 8) for c in ("before_top_score", "after_top_score")})
+
+
+_BANDS = ", ".join(
+    f"count(*) FILTER (WHERE rank = 1 AND score >= {lo} AND score < {hi}) AS band_{int(lo * 100):03d}_{int(min(hi, 1) * 100):03d}"
+    for lo, hi in identity.SCORE_BANDS
+)
 
 
-@query("a13_discovery_summary")
+@query(
+    "a13_discovery_summary",
+    f"""WITH RECURSIVE {_DETAIL} SELECT count(*) FILTER (WHERE rank = 1 OR rank IS NULL) AS issuers_examined,
+      count(*) FILTER (WHERE rank = 1) AS with_candidates, count(*) FILTER (WHERE rank IS NULL) AS without_candidates, {_BANDS},
+      round(median(score) FILTER (WHERE rank = 1), 8) AS top_score_median, round(max(score) FILTER (WHERE rank = 1), 8) AS top_score_max,
+      round(median(margin), 8) AS margin_median FROM detail""",
+)
 def summary(spark, sf_dir):
     detail = identity.discovery_detail(
         identity.hard_cases(b.master(spark, sf_dir)), b.names(spark, sf_dir), b.universe(spark, sf_dir)
     )
-    return identity.discovery_summary(detail)
+    out = identity.discovery_summary(detail)
+    return out.withColumns({c: F.round(c, 8) for c in ("top_score_median", "top_score_max", "margin_median")})
 
 
-@query("w11_candidate_margins")
+@query(
+    "w11_candidate_margins",
+    f"""WITH RECURSIVE {_DETAIL} SELECT cik, security_id, round(score, 8) AS score, round(margin, 8) AS margin FROM detail WHERE rank = 1""",
+)
 def margins(spark, sf_dir):
     return identity.discovery_detail(
         identity.hard_cases(b.master(spark, sf_dir)), b.names(spark, sf_dir), b.universe(spark, sf_dir)
     ).filter("rank = 1").select("cik", "security_id", _r("score"), _r("margin"))
 
 
-@query("k01_k02_hard_case_discovery")
+@query(
+    "k01_k02_hard_case_discovery",
+    f"WITH RECURSIVE {_first_discovered(10)} SELECT {_FOUND}, first_filing, last_filing FROM discovered",
+)
 def hard_discovery(spark, sf_dir):
-    return identity.discovery_for_hard_cases(
+    out = identity.discovery_for_hard_cases(
         b.master(spark, sf_dir), b.names(spark, sf_dir), b.universe(spark, sf_dir)
     )
+    return out.withColumn("discovery_score", F.round("discovery_score", 8))
 
 
-@query("p16_depth_probe")
+@query(
+    "p16_depth_probe",
+    f"""WITH RECURSIVE {_first_discovered(20)}, led AS (SELECT *, COALESCE(lead(score) OVER (PARTITION BY cik ORDER BY rank), 0) AS second_score FROM discovered)
+    SELECT {_FOUND}, first_filing, last_filing, round(second_score, 8) AS second_score,
+      'high-margin-discovery-access-test-only' AS candidate_basis FROM led
+    WHERE rank = 1 AND score >= {identity.HIGH_SCORE} AND score - second_score >= {identity.HIGH_MARGIN} ORDER BY first_filing, cik LIMIT 3""",
+)
 def depth(spark, sf_dir):
     found = identity.discovery_for_hard_cases(
         b.master(spark, sf_dir), b.names(spark, sf_dir), b.universe(spark, sf_dir), 20
     )
-    return identity.depth_probe(found)
+    out = identity.depth_probe(found)
+    return out.withColumns({c: F.round(c, 8) for c in ("discovery_score", "second_score")})
 
 
-@query("a18_tie_composition")
+@query(
+    "a18_tie_composition",
+    f"""WITH RECURSIVE {_STRENGTH} SELECT cik, CASE WHEN n_ids < shown THEN 'duplicate_security_id' WHEN n_isins < filled THEN 'duplicate_isin'
+        WHEN n_names = 1 THEN 'same_normalized_name_distinct_security' ELSE 'distinct_normalized_names' END AS tie_composition,
+      CAST(top_tied_candidate_count AS BIGINT) AS top_tied_candidate_count FROM strength WHERE top_score_tied""",
+)
 def ties(spark, sf_dir):
     return identity.tie_composition(_strength(spark, sf_dir))
 
 
-@query("a19_entity_collapse")
+@query(
+    "a19_entity_collapse",
+    f"""WITH RECURSIVE {_STRENGTH} SELECT count(*) AS tied_issuers, count(*) FILTER (WHERE n_names = 1) AS all_same_normalized_name,
+      count(*) FILTER (WHERE filled > 0 AND n_isins = 1) AS all_nonempty_isins_same,
+      count(*) FILTER (WHERE n_names = 1 AND n_isins > 1) AS same_name_distinct_isins,
+      count(*) FILTER (WHERE n_names > 1 AND filled > n_isins) AS different_names_shared_isin,
+      count(*) FILTER (WHERE filled < shown) AS ties_with_missing_isin,
+      count(*) FILTER (WHERE filled > n_isins) AS ties_with_duplicate_isin FROM strength WHERE top_score_tied""",
+)
 def collapse(spark, sf_dir):
     return identity.tie_collapse_report(identity.tie_collapse_keys(_strength(spark, sf_dir)))
 

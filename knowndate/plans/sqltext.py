@@ -85,3 +85,29 @@ def list_key(x: str) -> str:
 
 def padded(x: str) -> str:
     return f"lpad(CAST({x} AS VARCHAR), 10, '0')"
+
+
+_BEST_BLOCK = """list_max(flatten(list_transform(range(1, len(x.a) + 1), lambda i: list_transform(
+  list_filter(range(1, len(x.b) + 1), lambda j: substr(x.b, j, 1) = substr(x.a, i, 1)), lambda j: struct_pack(
+    k := list_max(list_filter(range(1, least(len(x.a) - i, len(x.b) - j) + 2), lambda k: substr(x.a, i, k) = substr(x.b, j, k))),
+    i := -i, j := -j)))))"""
+
+
+def name_scores(pairs: str) -> str:
+    """CTEs ``ratios`` and ``scores`` (a, n, score) over distinct key pairs; needs WITH RECURSIVE.
+
+    Each step takes the longest common block of two strings (the first in a, then in n) and goes on with what lies
+    before and behind it; the ratio is twice the blocks' length over both lengths.
+    """
+    words = "list_distinct(string_split({}, ' '))"
+    a, n = words.format("a"), words.format("n")
+    return f"""blocks AS (
+  SELECT s.a AS pa, s.n AS pn, x.a, x.b, {_BEST_BLOCK} AS m FROM {pairs} s, LATERAL (SELECT s.a AS a, s.n AS b) x
+  UNION ALL
+  SELECT pa, pn, x.a, x.b, {_BEST_BLOCK} AS m FROM (
+    SELECT pa, pn, unnest([struct_pack(a := substr(a, 1, -m.i - 1), b := substr(b, 1, -m.j - 1)),
+       struct_pack(a := substr(a, m.k - m.i), b := substr(b, m.k - m.j))]) AS x FROM blocks WHERE m IS NOT NULL) u
+  WHERE x.a <> '' AND x.b <> ''),
+ratios AS (SELECT pa AS a, pn AS n, 2.0 * coalesce(sum(m.k), 0) / (len(pa) + len(pn)) AS ratio FROM blocks GROUP BY pa, pn),
+scores AS (SELECT a, n, greatest(ratio, len(list_intersect({a}, {n})) / len(list_distinct(list_concat({a}, {n})))) AS score
+  FROM ratios)"""
