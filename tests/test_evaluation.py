@@ -103,3 +103,20 @@ def test_fit_guard(spark):
     assert not checks.fit_partition_guard(f, ["y", "p"]).first().passed
     g = spark.createDataFrame(data + [("test", 0, 0.2)], "split string, y int, p double")
     assert checks.fit_partition_guard(g, ["y", "p"]).first().passed
+
+
+def test_missing_prices_leave_the_window(spark):
+    """One NaN, or one huge volume, early in a history changes nothing once it has left the window."""
+    import datetime
+
+    from knowndate.operators.market import security_market_features
+
+    day = datetime.date(2020, 1, 1)
+    rows = [("s", day + datetime.timedelta(days=k), 10.0 + k % 7, 100.0 + k % 5) for k in range(200)]
+    odd = [(s, d, c, float("nan") if k == 2 else 1e17 if k < 8 else v) for k, (s, d, c, v) in enumerate(rows)]
+    schema = "security_id string, date date, close double, volume double"
+    last = [
+        security_market_features(spark.createDataFrame(x, schema)).orderBy("date").collect()[-1].volume_z_63d
+        for x in (rows, odd)
+    ]
+    assert last[0] is not None and abs(last[0] - last[1]) < 1e-9

@@ -158,3 +158,31 @@ def test_isin_flag_without_value(rows):
     s = rows("isin string, isin_present boolean", [(" ", True)])
     with pytest.raises(ValueError):
         checks.require(identity.isin_flag_check(s), "isin flags")
+
+
+def test_ties_are_counted_over_all_securities_and_by_full_keys(spark):
+    from knowndate.operators import identity
+
+    names = ["Zürich Bau AG", "Zörich Bau AG", *["Zürich Bau AG"] * 5]
+    universe = spark.createDataFrame(
+        [(f"S{k}", n, None, None, k) for k, n in enumerate(names)],
+        "security_id string, security_name string, isin string, is_delisted boolean, ordinal int",
+    )
+    cases = spark.createDataFrame([("0000000001",)], "cik string")
+    hist = spark.createDataFrame([(1, "Zürich Bau AG")], "cik int, historical_name string")
+    filed = spark.createDataFrame([], "cik string, name string")
+    got = identity.candidate_strength(cases, hist, filed, universe).first()
+    assert got.top_tied_candidate_count == 6 and len(got.top_tied_security_ids) == 5
+    two = universe.filter("ordinal < 2")
+    keys = [r.security_name for r in two.collect()]
+    assert len(keys) == 2
+    both = identity.candidate_strength(cases, hist, filed, two).first()
+    assert not both.top_score_tied  # the umlauts differ in the full key
+
+
+def test_best_name_is_found_at_any_score(spark):
+    cases = spark.createDataFrame([("0000000001",)], "cik string")
+    aliases = spark.createDataFrame([("0000000001", "Zebra Quartz")], "cik string, alias string")
+    official = spark.createDataFrame([("C1", "Blue Mint Foods", 1)], "cusip string, issuer_name string, ordinal int")
+    got = matching.name_coverage(cases, aliases, official).first()
+    assert abs(got.best_score - 0.2222) < 1e-3 and got.best_cusip == "C1" and not got.candidate_hit

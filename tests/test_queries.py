@@ -12,7 +12,10 @@ SAMPLE = [
     "j08_forward_label", "a03_censoring_inventory", "a01_submission_matrix", "w04_security_market_features",
     "j11_market_asof_security", "j12_security_interval_join", "w08_trailing_sequences", "m05_ranking_metrics",
     "k05_alert_budget", "j04_identity_master", "a04_ticker_coverage", "a09_corroboration", "s15_fixed_width_list",
-    "s18_positioned_words", "s19_list_source_index", "g08_identifier_promotion",
+    "s18_positioned_words", "s19_list_source_index", "g08_identifier_promotion", "w03_issuer_market_features",
+    "f03_name_similarity", "j15_name_coverage", "a11_candidate_strength", "a12_discovery_comparison", "a18_tie_composition",
+    "k01_k02_hard_case_discovery", "p16_depth_probe", "s21_document_text", "s25_cache_audit", "s26_snapshot_check",
+    "f18_logits", "w12_document_selection", "g11_line_fidelity_gate_default",
 ]
 NAMES = sorted(entry_points.oracle_sql()) if os.environ.get("KNOWNDATE_ALL_QUERIES") else SAMPLE
 
