@@ -313,6 +313,20 @@ def ablation(spark, sf_dir):
     return checks.ablation_contract(both, ["doc_id", "y"])
 
 
+@query(
+    "g15_ablation_contract_unequal",
+    f"""WITH {SCORED} SELECT CAST(2 AS BIGINT) AS variants, count(*) FILTER (WHERE doc_id % 10 <> 0) AS min_rows, count(*) AS max_rows,
+      'pr_auc' AS primary_metric, FALSE AS passed FROM scored""",
+)
+def ablation_unequal(spark, sf_dir):
+    """The second variant was scored on fewer rows."""
+    s = scored(spark, sf_dir).select("doc_id", "y")
+    both = s.withColumn("variant", F.lit("financial")).unionByName(
+        s.filter("doc_id % 10 <> 0").withColumn("variant", F.lit("financial_macro"))
+    )
+    return checks.ablation_contract(both, ["doc_id", "y"])
+
+
 @query(
     "f18_logits",
     f"""WITH {SCORED}, q AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0.0 WHEN doc_id % 10 = 1 THEN 1.0 ELSE p END AS p FROM scored),

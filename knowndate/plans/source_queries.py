@@ -660,6 +660,35 @@ def price_contract(spark, sf_dir):
     return checks.price_contract(b.prices(spark, sf_dir)).select("rows", "duplicate_key_rows", "passed")
 
 
+@query(
+    "g02_price_contract_duplicates",
+    f"""WITH {b.PRICES}, twice AS (FROM prices UNION ALL (FROM prices WHERE close > 200000))
+    SELECT count(*) AS rows, count(*) - count(DISTINCT (security_id, date)) AS duplicate_key_rows,
+      count(*) = count(DISTINCT (security_id, date)) AS passed FROM twice""",
+)
+def price_contract_duplicates(spark, sf_dir):
+    """Rows of high prices come twice."""
+    prices = b.prices(spark, sf_dir)
+    out = checks.price_contract(prices.unionByName(prices.filter("close > 200000")))
+    return out.select("rows", "duplicate_key_rows", "passed")
+
+
+@query(
+    "g03_delisting_contract_duplicates",
+    f"""WITH {_DELIST}, twice AS (FROM d UNION ALL (FROM d WHERE delist_return IS NULL))
+    SELECT count(*) AS rows, round(avg((delist_return IS NULL)::INT), 8) AS null_rate_delist_return,
+      count(*) - count(DISTINCT (security_id, delist_date)) AS duplicate_key_rows,
+      count(*) = count(DISTINCT (security_id, delist_date)) AS passed FROM twice""",
+)
+def delisting_contract_duplicates(spark, sf_dir):
+    """Delistings without a return come twice."""
+    d = delisting_table(spark, sf_dir)
+    out = checks.delisting_contract(d.unionByName(d.filter("delist_return IS NULL")))
+    return out.select(
+        "rows", F.round("null_rate_delist_return", 8).alias("null_rate_delist_return"), "duplicate_key_rows", "passed"
+    )
+
+
 @query(
     "g03_delisting_contract",
     f"""WITH {_DELIST} SELECT count(*) AS rows, round(avg((delist_return IS NULL)::INT), 8) AS null_rate_delist_return,
