@@ -35,18 +35,15 @@ def _compatibility_upper(names: pd.Series) -> pd.Series:
     return names.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).upper())
 
 
-def entity_name_key(name: Column, ascii_only: bool = False) -> Column:
+def entity_name_key(name: Column) -> Column:
     """Upper-case key of a company name without legal suffixes.
 
     ASCII names stay inside the JVM.  Only names with other characters carry a
     value into the one Python step, compatibility decomposition, which Spark has
-    no function for; ``ascii_only`` leaves that step out of the plan.
+    no function for.
     """
-    if ascii_only:
-        upper = F.upper(name)
-    else:
-        foreign = name.rlike(r"[^\x00-\x7F]")
-        upper = F.when(foreign, _compatibility_upper(F.when(foreign, name))).otherwise(F.upper(name))
+    foreign = name.rlike(r"[^\x00-\x7F]")
+    upper = F.when(foreign, _compatibility_upper(F.when(foreign, name))).otherwise(F.upper(name))
     spaced = F.regexp_replace(upper, "[^A-Z0-9 ]+", " ")
     tokens = F.filter(F.split(spaced, " +"), lambda t: (t != "") & ~t.isin(LEGAL_SUFFIXES))
     return F.array_join(tokens, " ")

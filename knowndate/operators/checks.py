@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -343,7 +342,3 @@ def require_no_invalid(df: DataFrame, column: str, what: str) -> None:
     """Eager: raise when ``column`` holds NULLs (an unusable key, for example)."""
     check = df.agg(F.count_if(F.col(column).isNull()).alias("invalid"))
     require(check.withColumn("passed", F.col("invalid") == 0), what)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
