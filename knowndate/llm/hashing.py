@@ -61,6 +61,13 @@ def hash_runs(loads: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return h
 
 
+def sliced(batches, rows: int = 1000):
+    """The record batches in slices of few rows, so that working arrays stay small."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def runs(member: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; a run also ends before each position in ``breaks``."""
     cut = np.zeros(len(member) + 1, dtype=bool)

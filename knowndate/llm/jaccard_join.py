@@ -35,12 +35,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowndate.llm.bloom import likely, passes, sent
 from knowndate.llm.components import components
 from knowndate.llm.frames import written
-from knowndate.llm.hashing import K1, K2, K3, U, mix, multipliers, shingle_set, word_hashes
+from knowndate.llm.hashing import K1, K2, K3, U, mix, multipliers, shingle_set, sliced, word_hashes
 
 SMALL = 8
 SKETCH_WORDS = 8
@@ -141,7 +143,7 @@ def profiled(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -> Dat
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, sizes, sketches = [], [], []
             for elements in sets_of(batch.column(2), like):
                 sizes.append(len(elements))
@@ -156,17 +158,18 @@ def profiled(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -> Dat
     return written(rows.mapInArrow(run, f"id {kind}, text_key long, node long, n long, sketch array<long>"))
 
 
-def signed(docs: DataFrame, like: Likeness, text_col: str) -> DataFrame:
-    """(sig, node); a task emits each node once."""
+def signed(docs: DataFrame, like: Likeness, text_col: str, bits: Broadcast | None = None) -> DataFrame:
+    """(sig, node), of all signatures or of those that a Bloom filter lets through; a task emits each node once."""
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             sigs, nodes = [], []
             for elements in sets_of(batch.column(0), like):
                 if len(elements) and (node := node_of(elements)) not in seen:
                     seen.add(node)
-                    sigs.append(signatures(elements, like))
+                    found = signatures(elements, like)
+                    sigs.append(found if bits is None else found[passes(bits.value, found)])
                     nodes.append(np.full(len(sigs[-1]), node, dtype=np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays(
@@ -178,10 +181,10 @@ def signed(docs: DataFrame, like: Likeness, text_col: str) -> DataFrame:
 
 def candidate_stars(docs: DataFrame, like: Likeness, text_col: str) -> DataFrame:
     """Written (hub, node): every node that shares a signature with the smallest node of its group."""
-    sigs = signed(docs, like, text_col)
     # written, so that adaptive joins can split a signature that many nodes have
-    shared = written(sigs.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"))
-    members = written(sigs.join(shared, "sig").distinct())
+    shared = written(signed(docs, like, text_col).groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"))
+    members = signed(docs, like, text_col, sent(shared, "sig"))
+    members = written(members.join(shared, "sig").distinct())
     hubs = written(members.groupBy("sig").agg(F.min("node").alias("hub")))
     return written(members.join(hubs, "sig").filter("node <> hub").select("hub", "node").distinct())
 
@@ -205,15 +208,16 @@ def pruned(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
     """Written (node, elements) for the wanted nodes, from one text of each."""
-    one = nodes.join(wanted.distinct(), "node").select("id", "text_key")
+    one = written(nodes.join(wanted.distinct(), "node").select("id", "text_key"))
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text")
     )
-    texts = rows.join(one, rows["id"].eqNullSafe(one["id"]) & (rows["text_key"] == one["text_key"]), "left_semi").select("text")
+    texts = likely(rows, "text_key", sent(one, "text_key"))
+    texts = texts.join(one, texts["id"].eqNullSafe(one["id"]) & (texts["text_key"] == one["text_key"]), "left_semi").select("text")
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [e for e in sets_of(batch.column(0), like) if len(e)]
             keys = [node_of(e) for e in found]
             keep = [k for k, node in enumerate(keys) if node not in seen and not seen.add(node)]
@@ -235,7 +239,7 @@ def measured(pairs: DataFrame, sets: DataFrame, like: Likeness, differences: boo
     rows = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 200):
             sizes_a, sizes_b, links, apart = [], [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
@@ -365,11 +369,19 @@ def one_of_each(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc
     """``docs`` with one row of each class, that of the smallest id; rows without words all stay."""
     profile = profiled(docs, like, id_col, text_col)
     labels = components(links(docs, profile, like, id_col, text_col))
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
-    placed = profile.filter("node is not null").join(labels, "node", "left")
-    kept = placed.groupBy(F.coalesce("label", "node")).agg(F.min(F.struct("id", "text_key")).alias("one"))
-    kept = kept.select(named(F.col("one.id")).alias("__id"), F.col("one.text_key").alias("__key"))
-    rows = docs.withColumns({"__id": named(F.col(id_col)), "__key": F.xxhash64(text_col)})
+    row = lambda c, key: F.xxhash64(F.coalesce(c.cast("string"), F.lit("\0")), key)
+    placed = written(
+        profile.filter("node is not null").join(labels, "node", "left")
+        .select("id", "text_key", F.coalesce("label", "node").alias("label"))
+    )
+    kept = placed.groupBy("label").agg(F.min(F.struct("id", "text_key")).alias("one"), F.count("*").alias("m"))
+    kept = written(kept.select("label", row(F.col("one.id"), F.col("one.text_key")).alias("__row"), "m"))
+    crowd = placed.join(kept.filter("m > 1").select("label"), "label", "left_semi")
+    bits = sent(crowd.select(row(F.col("id"), F.col("text_key")).alias("__row")), "__row")
+    rows = docs.withColumn("__row", row(F.col(id_col), F.xxhash64(text_col)))
     worded = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    chosen = rows.filter(worded).join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
-    return chosen.unionByName(rows.filter(~worded)).select(*docs.columns)
+    # rows without words, and those of a class of one, stay as they are; the others are held against the chosen ones
+    crowded = likely(rows.filter(worded), "__row", bits)
+    chosen = crowded.join(kept.select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    alone = likely(rows.filter(worded), "__row", bits, wanted=False)
+    return chosen.unionByName(alone).unionByName(rows.filter(~worded)).select(*docs.columns)

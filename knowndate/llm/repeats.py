@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowndate.llm.anchors import PART, Stretches, anchors_of, gram_hashes
+from knowndate.llm.bloom import likely, passes, sent
 from knowndate.llm.frames import written
-from knowndate.llm.hashing import K1, K3, U, eights, mix, raw, word_hashes
-
-BLOOM_BITS = 1 << 26
+from knowndate.llm.hashing import K1, K3, U, eights, mix, raw, sliced, word_hashes
 
 
 @dataclass(frozen=True)
@@ -148,7 +147,7 @@ def segment_rows(kind, docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             for key, lo, hi, at, grams, f, *_ in segments_of(kind, batch.column(0).to_numpy(), batch.column(1), seen):
                 yield pa.RecordBatch.from_arrays(
                     list(map(pa.array, (grams.view(np.int64), f.view(np.int64), key, lo, hi, at))), ["c", "f", "key", "lo", "hi", "at"]
@@ -172,23 +171,6 @@ def decided(rows: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
     return hits, doubt.select("key", "lo", "hi", *extra)
 
 
-def bloom(items: DataFrame) -> np.ndarray:
-    """Bits of the hashes in column ``item``: a table of fixed size whatever the input, summed on the map side."""
-    place = F.pmod(F.col("item"), F.lit(BLOOM_BITS))
-    words = items.select(
-        F.shiftright(place, 6).cast("int").alias("w"), F.pmod(place, F.lit(64)).cast("int").alias("b")
-    ).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-    out = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
-    for batch in words.toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return out.view(U)
-
-
-def passes(bits: np.ndarray, items: np.ndarray) -> np.ndarray:
-    place = np.mod(items.view(np.int64), BLOOM_BITS)
-    return (bits[place >> 6] >> (place & 63).astype(U)) & U(1) != 0
-
-
 def item_column(items: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -200,12 +182,11 @@ def item_column(items: DataFrame) -> DataFrame:
 
 def doubtful_segments(kind, docs: DataFrame, doubt: DataFrame, text_col: str) -> DataFrame:
     """Written (key, lo, hi, at, content) of the segments in doubt (and of a few that the Bloom filter lets through)."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bloom(item_column(doubt.select("key", "lo"))))
+    bits = sent(item_column(doubt.select("key", "lo")), "item")
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             for key, lo, hi, at, _, _, first, last, part in segments_of(kind, batch.column(0).to_numpy(), batch.column(1), seen):
                 some = np.flatnonzero(passes(bits.value, item(key, lo)))
                 content = [part[first[k] : last[k] + kind.window].tobytes() for k in some]
@@ -300,13 +281,6 @@ def per_text(kind, docs: DataFrame, windows: DataFrame, whole: DataFrame, text_c
     """
     spans = windows.join(whole, "key", "left_anti").groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
     spans = written(spans)
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(spans.select(F.col("key").alias("item"))))
-
-    def touched(batches):
-        for batch in batches:
-            mask = passes(bits.value, batch.column(0).to_numpy().astype(np.int64))
-            if mask.any():
-                yield batch.filter(pa.array(mask))
 
     def run(batches):
         for batch in batches:
@@ -316,7 +290,7 @@ def per_text(kind, docs: DataFrame, windows: DataFrame, whole: DataFrame, text_c
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*made))], names)
 
-    texts = keyed(docs, text_col).mapInArrow(touched, "key long, text string")
+    texts = likely(keyed(docs, text_col), "key", sent(spans, "key"))
     rows = texts.join(spans, "key").select("key", "text", "windows")
     schema = f"key long, {schema}"
     names = [part.split()[0] for part in schema.split(", ")]

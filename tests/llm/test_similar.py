@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from knowndate.llm import ann, jaccard_join, relative_lz, repeats, suffix_dedup
@@ -128,15 +129,15 @@ def test_removed_words_equal_brute_force(spark, awkward, no_docs):
 
 
 def test_long_texts_are_cut_without_loss(monkeypatch):
-    """Segments of a text worked off in parts cover each window once."""
-    monkeypatch.setattr(repeats, "PART", 50)
-    kind, text = repeats.Bytes(), np.frombuffer(prose(5, 200).encode(), dtype=np.uint8)
-    seen = np.zeros(kind.windows_in(text), dtype=int)
-    for offset, part in repeats.parts(kind, text):
-        _, lo, hi, _, _ = repeats.cut(kind, part)
-        for a, b in zip(lo + offset, hi + offset):
-            seen[a : b + 1] += 1
-    assert (seen == 1).all()
+    """Segments of texts worked off together or in parts cover each window of each text once."""
+    monkeypatch.setattr(repeats, "PART", 700)
+    kind, texts = repeats.Bytes(), [prose(5, 400), "short", prose(6, 60), None, prose(7, 30), prose(8, 50), prose(9, 1000)]
+    seen = [np.zeros(max(len(t or "") - 199, 0), dtype=int) for t in texts]
+    for key, lo, hi, at, *_ in repeats.segments_of(kind, np.arange(7), pa.array(texts), {5}):
+        assert ((at >= hi) & (at < lo + 200)).all()
+        for k, a, b in zip(key, lo, hi):
+            seen[k][a : b + 1] += 1
+    assert all((s == (k != 5)).all() for k, s in enumerate(seen))
 
 
 def test_neighbours_recall_ties_and_unusable_vectors(spark):
