@@ -14,7 +14,7 @@ The classifier (multinomial logistic regression on text shape and on mined words
 labelled rows (``sample_rows``, smallest id hashes). Tokens are words unless a column of counts is named.
 
 Defined cases: a NULL or empty text has no tokens and keeps what its posterior gives; without labels every posterior
-is uniform; a domain without tokens can't be raised and its share of the target is missed; targets are normalised;
+is uniform; a domain with too few tokens for its target ends at ``most`` times what it has; targets are normalised;
 repeated rows and repeated or NULL ids are rows of their own; no rows give no rows; other columns pass through, those
 named like a result (``posterior``, ``tokens``, ``rate``, ``copies``) are replaced.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from knowndate.llm import toxicity
 from knowndate.llm.frames import written
-from knowndate.llm.hashing import U, raw, word_hashes
+from knowndate.llm.hashing import U, raw, sliced, word_hashes
 
 #: Text shape: shares of byte classes, of distinct words, and the length.
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -160,7 +160,7 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
     ])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             p, tokens = model.posterior(batch.column(text_col))
             yield batch.append_column("posterior", pa.array(p.tolist(), pa.list_(pa.float64()))).append_column(
                 "tokens", pa.array(tokens.astype(np.int64))
@@ -169,22 +169,23 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
     return rows.mapInArrow(run, out)
 
 
-def rate_after(posterior: Column, steps: list[np.ndarray]) -> Column:
-    """The rate after the given steps: each takes posterior · step away and cuts at zero."""
+def rate_after(posterior: Column, steps: list[np.ndarray], most: float) -> Column:
+    """The rate after the given steps: each takes posterior · step away and cuts to 0..most."""
     rate = F.lit(1.0)
     if not steps:
         return rate
     taken = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
     dot = lambda step: F.aggregate(F.zip_with(posterior, step, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(taken, rate, lambda r, step: F.greatest(F.lit(0.0), r - dot(step)))
+    return F.aggregate(taken, rate, lambda r, step: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(step))))
 
 
 def fit_rates(
     mixed: DataFrame, domains: list[str], targets: Mapping[str, float], total: float | None = None,
-    keep: tuple[str, float] | None = None, tolerance: float = 1e-4, most_steps: int = 60,
+    keep: tuple[str, float] | None = None, most: float = 4.0, tolerance: float = 1e-4, most_steps: int = 60,
 ) -> list[np.ndarray]:
     """Steps that lead from rate 1 to rates whose expected domain totals meet the targets.
 
+    Rates stay within 0..``most``, the largest number of repetitions that is worth while.
     ``mixed`` has ``posterior`` and ``tokens`` and is read once a step. ``total`` is the wished number of tokens (as
     many as there are, by default); ``keep=(domain, x)`` raises it until that domain gets x times its tokens.
     """
@@ -212,11 +213,11 @@ def fit_rates(
         # the Gram matrix of the rows that still can move makes longer steps; a step that went too far is followed
         # by one with the matrix of all rows, which never does
         steps.append((whitened if gaps[-1] < gaps[-2] else whole) @ (now - target))
-        rate = rate_after(F.col("posterior"), steps)
+        rate = rate_after(F.col("posterior"), steps, most)
         sums = mixed.select("tokens", "posterior", rate.alias("rate")).agg(
             *[F.sum(F.col("rate") * F.col("tokens") * part(i)) for i in range(k)],
             *[
-                F.sum(F.when(F.col("rate") > 0, F.col("tokens") * part(i) * part(j)).otherwise(0.0))
+                F.sum(F.when((F.col("rate") > 0) & (F.col("rate") < most), F.col("tokens") * part(i) * part(j)).otherwise(0.0))
                 for i in range(k) for j in range(k)
             ],
         ).first()
@@ -225,9 +226,9 @@ def fit_rates(
     return steps
 
 
-def with_rates(mixed: DataFrame, steps: list[np.ndarray], id_col: str = "doc_id") -> DataFrame:
+def with_rates(mixed: DataFrame, steps: list[np.ndarray], id_col: str = "doc_id", most: float = 4.0) -> DataFrame:
     """``mixed`` with ``rate`` and ``copies``: the rate, rounded up with the odds of its fraction by a hash of the id."""
-    out = mixed.withColumn("rate", rate_after(F.col("posterior"), steps))
+    out = mixed.withColumn("rate", rate_after(F.col("posterior"), steps, most))
     chance = F.pmod(F.xxhash64(F.lit("mixing"), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
     return out.withColumn("copies", (whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)).cast("long"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knowndate.llm.frames import written
-from knowndate.llm.hashing import LOW_BYTES, LOWER, U, eights, hash_runs, mix, multipliers, pieces, raw, runs
+from knowndate.llm.hashing import LOW_BYTES, LOWER, U, eights, hash_runs, mix, multipliers, pieces, raw, runs, sliced
 
 STEMS = (3, 4, 5, 6, 7, 8)
 #: A feature counts at four levels: present, one in 256 words, one in 128, and that with two occurrences or more.
@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     out = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.append_column("score", pa.array(model.score(batch.column(text_col))))
 
     return rows.mapInArrow(run, out)
