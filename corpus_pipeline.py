@@ -28,13 +28,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+#: Toxic text is gone by then: the domains are those of quality alone.
+DOMAINS = ["good", "poor"]
+TARGETS = {"good": 0.9, "poor": 0.1}
+
+
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out by their rates; the total is raised so that good text is kept once at least."""
-    model = mixing.train(docs, mixing.quality_domains(table(spark, sf_dir, "labels")), mixing.DOMAINS)
+    model = mixing.train(docs, mixing.quality_domains(table(spark, sf_dir, "labels")), DOMAINS)
     mixed = written(mixing.with_posteriors(docs.select("doc_id", "text"), model).drop("text"))
-    steps = mixing.fit_rates(mixed, mixing.DOMAINS, mixing.TARGETS, keep=("good", 1.05))
+    steps = mixing.fit_rates(mixed, DOMAINS, TARGETS, keep=("good", 1.05))
     rows = mixing.with_rates(mixing.with_posteriors(docs, model), steps)
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).filter("copies > 0").select(*docs.columns)
+    return rows.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
