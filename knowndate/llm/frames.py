@@ -14,7 +14,19 @@ from knowndate.session import checkpoint_folder
 BLANKS = "\\x20\\x09-\\x0D"
 
 
+#: Rows of texts that travel to Python at once; texts can be long, and Spark's default of 10,000 rows has no bound in bytes.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS``; a smaller setting of the caller stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +46,7 @@ def written(df: DataFrame) -> DataFrame:
     Later passes read the files: nothing is computed twice, and a lost executor takes nothing with it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

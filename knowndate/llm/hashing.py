@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 #: Multipliers of the mixing steps (odd 64-bit constants).
 K1, K2, K3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -61,7 +61,7 @@ def hash_runs(loads: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return h
 
 
-def sliced(batches, rows: int = 1000):
+def sliced(batches, rows: int = 250):
     """The record batches in slices of few rows, so that working arrays stay small."""
     for batch in batches:
         for k in range(0, len(batch), rows):

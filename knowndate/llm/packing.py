@@ -37,7 +37,7 @@ from knowndate.llm.frames import written
 
 WINDOW = 2048
 END_ID = 1
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 250_000
 CHUNK = 65_536
 
 
@@ -164,6 +164,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
                  pa.array(got, pa.binary())],
                 schema.names,
             )
+        ids.rest.clear()  # a worker lives on for other work
 
     return written(rows.mapInArrow(run, schema))
 
