@@ -44,7 +44,10 @@ from knowndate.llm.components import components
 from knowndate.llm.frames import written
 from knowndate.llm.hashing import K1, K2, K3, U, mix, multipliers, shingle_set, sliced, word_hashes
 
-SMALL = 8
+SMALL = 32
+#: For hubs of more than CENTRE_WHOLE elements one in CENTRE_SHARE is looked at to choose a group's centre. Any choice
+#: is right, a good one saves work.
+CENTRE_WHOLE, CENTRE_SHARE = 256, 16
 SKETCH_WORDS = 8
 LEVELS = 5
 
@@ -306,14 +309,16 @@ def central_stars(stars: DataFrame) -> DataFrame:
     """
     loose = stars.filter("not link").select("a").distinct()
     group = stars.join(loose, "a", "left_semi").select(
-        F.col("a").alias("hub"), F.col("b").alias("node"), F.size("apart").alias("d"), "apart"
+        F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), "apart"
     )
     sizes = group.groupBy("hub").agg(F.count("*").alias("m"))
-    elements = group.select("hub", "node", F.explode("apart").alias("element"))
+    part = F.filter("apart", lambda e: F.pmod(e, F.lit(CENTRE_SHARE)) == 0)
+    some = F.when(F.col("n_hub") > CENTRE_WHOLE, part).otherwise(F.col("apart"))
+    elements = group.select("hub", "node", F.explode(some).alias("element"))
     common = elements.groupBy("hub", "element").agg(F.count("*").alias("n")).join(sizes, "hub").filter("2 * n > m")
     common = common.select("hub", "element")
     agreed = elements.join(common, ["hub", "element"]).groupBy("hub", "node").agg(F.count("*").alias("agreed"))
-    centre = group.drop("apart").join(agreed, ["hub", "node"], "left").groupBy("hub").agg(
+    centre = group.select("hub", "node", F.size(some).alias("d")).join(agreed, ["hub", "node"], "left").groupBy("hub").agg(
         F.min(F.struct((F.col("d") - 2 * F.coalesce("agreed", F.lit(0))).alias("off"), "node")).alias("best")
     ).select("hub", F.col("best.node").alias("centre"))
     members = group.select("hub", "node").union(group.select("hub", F.col("hub").alias("node")).distinct())
