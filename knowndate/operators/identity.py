@@ -17,6 +17,8 @@ from knowndate.functions.names import entity_name_key
 from knowndate.operators.checks import need_columns
 from knowndate.operators.labels import LABEL
 from knowndate.operators.matching import discover
+from knowndate.operators.ordered import exact_quantiles
+from knowndate.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 HIGH_SCORE = 0.90
@@ -150,8 +152,8 @@ def is_hard_case() -> Column:
     return (F.col("distress_observations") > 0) & ~F.col("has_current_ticker")
 
 
-def hard_cases(master: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Distressed issuers without a current ticker, oldest first; the top ``limit``."""
+def hard_cases(master: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distressed issuers without a current ticker: all, or the oldest ``limit``."""
     hard = master.filter(is_hard_case())
     if limit is None:
         return hard
@@ -258,9 +260,21 @@ def candidate_strength(
     )
 
 
+def _with_medians(report: DataFrame, values: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``report`` (one row) with the exact median of each column of ``values``; NULL without values."""
+    long = values.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("__of"), c.alias("__x")) for n, c in columns.items()])).alias("s")
+    ).select("s.*")
+    found = exact_quantiles(long, "__x", [0.5], ["__of"]).agg(
+        *[F.max(F.when(F.col("__of") == n, F.col("quantile"))).alias(n) for n in columns]
+    )
+    return report.crossJoin(F.broadcast(found))
+
+
 def strength_report(strength: DataFrame) -> DataFrame:
-    """One row over the (at most ``limit``) hard cases."""
-    return strength.agg(
+    """One row over all given cases."""
+    strength = cut_lineage(strength)
+    report = strength.agg(
         F.count(F.lit(1)).alias("issuers"),
         F.count_if(F.col("candidate_count") > 0).alias("with_candidate"),
         F.count_if(F.col("top_score") >= HIGH_SCORE).alias("top_score_ge_090"),
@@ -269,9 +283,9 @@ def strength_report(strength: DataFrame) -> DataFrame:
         F.count_if("top_score_near_tied").alias("top_score_near_ties_lt_002"),
         F.count_if("is_delisted").alias("delisted_top_candidates"),
         F.count_if("isin_present").alias("top_candidates_with_isin"),
-        F.median("top_score").alias("top_score_median"),
-        F.median("margin").alias("margin_median"),
     )
+    medians = {"top_score_median": F.col("top_score"), "margin_median": F.col("margin")}
+    return _with_medians(report, strength, medians)
 
 
 def compare_discovery(
@@ -350,6 +364,7 @@ def discovery_detail(
 
 def discovery_summary(detail: DataFrame) -> DataFrame:
     """One row: cases with and without candidates, score bands, medians."""
+    detail = cut_lineage(detail)
     top = F.when(F.col("rank") == 1, F.col("score"))
     bands = [
         F.count_if((top >= lo) & (top < hi)).alias(
@@ -357,15 +372,14 @@ def discovery_summary(detail: DataFrame) -> DataFrame:
         )
         for lo, hi in SCORE_BANDS
     ]
-    return detail.agg(
+    report = detail.agg(
         F.count_if((F.col("rank") == 1) | F.col("rank").isNull()).alias("issuers_examined"),
         F.count_if(F.col("rank") == 1).alias("with_candidates"),
         F.count_if(F.col("rank").isNull()).alias("without_candidates"),
         *bands,
-        F.median(top).alias("top_score_median"),
         F.max(top).alias("top_score_max"),
-        F.median("margin").alias("margin_median"),
     )
+    return _with_medians(report, detail, {"top_score_median": top, "margin_median": F.col("margin")})
 
 
 def discovery_for_hard_cases(

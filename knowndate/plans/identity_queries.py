@@ -332,7 +332,7 @@ _HARD = f"""{b.master_sql()}, hard AS (SELECT * FROM master WHERE distress_obser
     f"""WITH {_HARD} SELECT cik, CAST(first_filing AS VARCHAR) AS first_filing, distress_observations FROM hard""",
 )
 def hard(spark, sf_dir):
-    out = identity.hard_cases(b.master(spark, sf_dir))
+    out = identity.hard_cases(b.master(spark, sf_dir), 100)
     return out.select("cik", _day("first_filing"), "distress_observations")
 
 

@@ -1,15 +1,18 @@
 """Keys, names, identifiers and matching."""
 
 import datetime as dt
+import os
 import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from knowndate.functions import identifiers as ids
 from knowndate.functions import keys, names
 from knowndate.operators import checks, evidence, identity, matching
+from tests.compare import connect, differences
 
 
 def one(spark, column):
@@ -186,3 +189,42 @@ def test_best_name_is_found_at_any_score(spark):
     official = spark.createDataFrame([("C1", "Blue Mint Foods", 1)], "cusip string, issuer_name string, ordinal int")
     got = matching.name_coverage(cases, aliases, official).first()
     assert abs(got.best_score - 0.2222) < 1e-3 and got.best_cusip == "C1" and not got.candidate_hit
+
+
+def test_hard_cases_are_not_cut(spark):
+    master = spark.range(250).select(
+        F.lpad(F.col("id").cast("string"), 10, "0").alias("cik"),
+        F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 30).cast("int")).alias("first_filing"),
+        F.lit(1).alias("distress_observations"), F.lit(False).alias("has_current_ticker"),
+    )
+    cases = identity.hard_cases(master)
+    assert cases.count() == 250 and identity.hard_cases(master, 100).count() == 100
+    assert sum(r.issuers for r in identity.era_decades(cases).collect()) == 250
+
+
+def test_medians_of_the_reports(rows):
+    strength = rows(
+        "candidate_count int, top_score double, margin double, high_margin boolean, top_score_tied boolean, "
+        "top_score_near_tied boolean, is_delisted boolean, isin_present boolean",
+        [(1, k / 10, k / 20, False, False, False, None, False) for k in (1, 4, 6, 9)]
+        + [(0, None, None, False, False, False, None, False)],
+    )
+    got = identity.strength_report(strength).first()
+    assert got.issuers == 5 and abs(got.top_score_median - 0.5) < 1e-12 and abs(got.margin_median - 0.25) < 1e-12
+    none = identity.strength_report(strength.filter("candidate_count = 0")).first()
+    assert none.issuers == 1 and none.top_score_median is None and none.margin_median is None
+    detail = rows("cik string, rank int, score double, margin double",
+                  [("1", 1, 0.9, 0.1), ("1", 2, 0.8, None), ("2", 1, 0.6, 0.6), ("3", None, None, None)])
+    got = identity.discovery_summary(detail).first()
+    assert got.issuers_examined == 3 and abs(got.top_score_median - 0.75) < 1e-12 and abs(got.margin_median - 0.35) < 1e-12
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the provided tables")
+@pytest.mark.parametrize("name", ["a21_era_profile", "a21_era_decades", "u04_enriched_aliases"])
+def test_queries_look_at_all_hard_cases(spark, name):
+    """166 hard cases, against the query's SQL without its LIMIT 100."""
+    sf = "/root/testdata/sf0.01"
+    sql = entry_points.oracle_sql()[name]
+    assert "LIMIT 100)" in sql
+    ours, theirs, diff = differences(entry_points.queries()[name](spark, sf), connect(sf), sql.replace("LIMIT 100)", ")"))
+    assert ours == theirs and not diff[0] and not diff[1], diff
