@@ -14,13 +14,15 @@ The classifier (multinomial logistic regression on text shape and on mined words
 labelled rows (``sample_rows``, smallest id hashes). Tokens are words unless a column of counts is named.
 
 Defined cases: a NULL or empty text has no tokens and keeps what its posterior gives; without labels every posterior
-is uniform; a domain with too few tokens for its target ends at ``most`` times what it has; targets are normalised;
+is uniform; targets are normalised; targets that are missed (a domain without tokens, or bounds on the rates) are told by
+``Steps.met`` and a warning, next to the totals reached;
 repeated rows and repeated or NULL ids are rows of their own; no rows give no rows; other columns pass through, those
 named like a result (``posterior``, ``tokens``, ``rate``, ``copies``) are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -169,23 +171,37 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
     return rows.mapInArrow(run, out)
 
 
-def rate_after(posterior: Column, steps: list[np.ndarray], most: float) -> Column:
-    """The rate after the given steps: each takes posterior · step away and cuts to 0..most."""
+class Steps(list):
+    """Steps of ``fit_rates`` with the totals per domain: those wished, those reached, and whether they agree.
+
+    ``most`` is the bound the steps were fitted under, or None.
+    """
+
+    def __init__(self, steps=(), wished: Mapping[str, float] | None = None, reached: Mapping[str, float] | None = None,
+                 met: bool = True, most: float | None = None):
+        super().__init__(steps)
+        self.wished, self.reached, self.met, self.most = dict(wished or {}), dict(reached or {}), met, most
+
+
+def rate_after(posterior: Column, steps: list[np.ndarray], most: float | None) -> Column:
+    """The rate after the given steps: each takes posterior · step away and cuts to 0 or more, and to ``most`` if given."""
     rate = F.lit(1.0)
     if not steps:
         return rate
     taken = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
     dot = lambda step: F.aggregate(F.zip_with(posterior, step, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(taken, rate, lambda r, step: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(step))))
+    cut = (lambda r: r) if most is None else (lambda r: F.least(F.lit(float(most)), r))
+    return F.aggregate(taken, rate, lambda r, step: cut(F.greatest(F.lit(0.0), r - dot(step))))
 
 
 def fit_rates(
     mixed: DataFrame, domains: list[str], targets: Mapping[str, float], total: float | None = None,
-    keep: tuple[str, float] | None = None, most: float = 4.0, tolerance: float = 1e-4, most_steps: int = 60,
-) -> list[np.ndarray]:
+    keep: tuple[str, float] | None = None, most: float | None = None, tolerance: float = 1e-4, most_steps: int = 60,
+) -> Steps:
     """Steps that lead from rate 1 to rates whose expected domain totals meet the targets.
 
-    Rates stay within 0..``most``, the largest number of repetitions that is worth while.
+    Rates are not negative, and at most ``most`` if that is given; targets may then be out of reach. Totals that miss a
+    target by more than ``tolerance`` of all tokens are flagged (``Steps.met``) and warned about.
     ``mixed`` has ``posterior`` and ``tokens`` and is read once a step. ``total`` is the wished number of tokens (as
     many as there are, by default); ``keep=(domain, x)`` raises it until that domain gets x times its tokens.
     """
@@ -199,36 +215,41 @@ def fit_rates(
     gram = np.array(gram, dtype=float).reshape(k, k)
     now = gram.sum(axis=1)  # posteriors sum to one
     if not now.sum():
-        return []
+        return Steps(most=most)
     wished = now.sum() if total is None else float(total)
     if keep is not None and (share := weights[domains.index(keep[0])]):
         wished = max(wished, keep[1] * now[domains.index(keep[0])] / share)
     target = wished * weights
     whole = np.linalg.pinv(gram, rcond=1e-9)
-    whitened, steps, gaps = whole, [], [np.inf]
-    for _ in range(most_steps):
+    whitened, steps, gaps = whole, Steps(most=most), [np.inf]
+    while True:
         gaps.append(float(np.abs(now - target).max()))
-        if gaps[-1] <= tolerance * wished:
+        if gaps[-1] <= tolerance * wished or len(steps) == most_steps:
             break
         # the Gram matrix of the rows that still can move makes longer steps; a step that went too far is followed
         # by one with the matrix of all rows, which never does
         steps.append((whitened if gaps[-1] < gaps[-2] else whole) @ (now - target))
         rate = rate_after(F.col("posterior"), steps, most)
+        free = F.col("rate") > 0 if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
         sums = mixed.select("tokens", "posterior", rate.alias("rate")).agg(
             *[F.sum(F.col("rate") * F.col("tokens") * part(i)) for i in range(k)],
             *[
-                F.sum(F.when((F.col("rate") > 0) & (F.col("rate") < most), F.col("tokens") * part(i) * part(j)).otherwise(0.0))
+                F.sum(F.when(free, F.col("tokens") * part(i) * part(j)).otherwise(0.0))
                 for i in range(k) for j in range(k)
             ],
         ).first()
         now = np.array(sums[:k], dtype=float)
         whitened = np.linalg.pinv(np.array(sums[k:], dtype=float).reshape(k, k), rcond=1e-9)
+    steps.wished, steps.reached = dict(zip(domains, target.tolist())), dict(zip(domains, now.tolist()))
+    steps.met = gaps[-1] <= tolerance * wished
+    if not steps.met:
+        warnings.warn(f"mixing misses its targets after {len(steps)} steps: wished {steps.wished}, reached {steps.reached}", stacklevel=2)
     return steps
 
 
-def with_rates(mixed: DataFrame, steps: list[np.ndarray], id_col: str = "doc_id", most: float = 4.0) -> DataFrame:
+def with_rates(mixed: DataFrame, steps: Steps, id_col: str = "doc_id") -> DataFrame:
     """``mixed`` with ``rate`` and ``copies``: the rate, rounded up with the odds of its fraction by a hash of the id."""
-    out = mixed.withColumn("rate", rate_after(F.col("posterior"), steps, most))
+    out = mixed.withColumn("rate", rate_after(F.col("posterior"), steps, steps.most))
     chance = F.pmod(F.xxhash64(F.lit("mixing"), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
     return out.withColumn("copies", (whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)).cast("long"))

@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
@@ -115,3 +116,19 @@ def test_pipeline_stages(spark):
     before, after = by_name["packing"]
     assert after.agg(F.sum("length")).first()[0] == after.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
     assert after.filter("start = 0").count() == before.count() and after.filter(f"offset + length > {packing.WINDOW}").count() == 0
+
+
+def test_rates_are_not_bounded_and_missed_targets_are_told(spark):
+    rows = [(k, [1.0, 0.0], 10) for k in range(10)] + [(100 + k, [0.0, 1.0], 10) for k in range(90)]
+    mixed = spark.createDataFrame(rows, "doc_id long, posterior array<double>, tokens long")
+    targets = {"good": 0.9, "poor": 0.1}
+    steps = mixing.fit_rates(mixed, ["good", "poor"], targets)
+    assert steps.met and abs(steps.reached["good"] - 900) <= 0.1 and abs(steps.wished["good"] - 900) < 1e-9
+    got = mixing.with_rates(mixed, steps).collect()
+    assert all(abs(r.rate - (9 if r.doc_id < 100 else 1 / 9)) < 1e-2 for r in got)  # nine times its tokens
+    with pytest.warns(UserWarning, match="misses its targets"):
+        bound = mixing.fit_rates(mixed, ["good", "poor"], targets, most=4.0)
+    assert not bound.met and abs(bound.reached["good"] - 400) < 1 and abs(bound.wished["good"] - 900) < 1e-9
+    assert max(r.rate for r in mixing.with_rates(mixed, bound).collect()) == 4.0
+    with pytest.warns(UserWarning):
+        assert not mixing.fit_rates(mixed.filter("doc_id >= 100"), ["good", "poor"], targets).met  # no good tokens
