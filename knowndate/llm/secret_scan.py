@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 A public BPE vocabulary was fitted on natural text, so words cost few tokens while random strings fall apart into
-many: a run with few characters per token is a likely key. Known digests (hex of a digest's length), identifiers
-(UUIDs, dates, plain numbers, a caller's list) and runs without a sign of randomness (a digit, or capitals inside)
-are left out before the test. Pattern matches are never taken back.
+many: a run with few characters per token is a likely key. A run is tested as a whole and, unless it is random as a
+whole, by its pieces between / = _ + - characters, so that a key in a path or behind a name is not diluted by words:
+neighbouring pieces that each look random (or are numbers or short) are tested as one stretch. Known digests (hex of
+a digest's length), identifiers (UUIDs, dates, plain numbers, a caller's list) are left out before the test. Keys of
+fewer than ``LEAST`` characters are not looked for. Pattern matches are never taken back.
 
 One pass without a shuffle; texts stream through ``mapInArrow``. Python is used because no built-in
 gives the positions of matches or tokens.
@@ -34,11 +36,14 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 characters or more
 
-#: Runs that may be random, and what is known to be something else.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs that may be random, the pieces they are joined of, and what is known to be something else.
+LEAST = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+PIECE = re.compile(rf"(?<![A-Za-z0-9]){UUID}(?![A-Za-z0-9])|[A-Za-z0-9]+", re.I)
+SHORT = 3  # a piece so short says nothing by its ratio
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
-IDENTIFIER = re.compile(r"(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9/_=+-]+)\Z", re.I)
-RANDOM_LOOK = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]|[a-z].*[A-Z].*[a-z].*[A-Z]")
+IDENTIFIER = re.compile(rf"(?:{UUID}|[0-9/_=+-]+)\Z", re.I)
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
@@ -68,16 +73,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def stretches(text: str, start: int, end: int, few, ruled_out) -> list[tuple[int, int]]:
+    """Longest chains of neighbouring pieces of one run that look random; numbers and short pieces only inside a chain."""
+    found, first, last = [], None, None
+    for m in PIECE.finditer(text, start, end):
+        piece = m.group()
+        out = ruled_out(m.start(), m.end())
+        if not out and not piece.isdigit() and few(piece):
+            first, last = (m.start() if first is None else first), m.end()
+        elif first is not None and (out and not piece.isdigit() or not out and len(piece) > SHORT):
+            found.append((first, last))
+            first = None
+    return found + ([(first, last)] if first is not None else [])
+
+
 def random_spans(text: str, taken: list, enc, most: float, known: frozenset[str]) -> list[tuple[int, int, str]]:
+    def few(part: str) -> bool:
+        return len(part) < most * len(enc.encode_ordinary(part))
+
     found = []
     for m in RUN.finditer(text):
-        run = m.group()
-        if not RANDOM_LOOK.search(run) or DIGEST.match(run) or IDENTIFIER.match(run) or run in known:
-            continue
-        if any(start < m.end() and m.start() < end for start, end, _ in taken):
-            continue
-        if len(run) < most * len(enc.encode_ordinary(run)):
-            found.append((m.start(), m.end(), "random"))
+        near = [(start, end) for start, end, _ in taken if start < m.end() and m.start() < end]
+
+        def ruled_out(start: int, end: int) -> bool:
+            part = text[start:end]
+            return bool(
+                DIGEST.match(part) or IDENTIFIER.match(part) or part in known or any(a < end and start < b for a, b in near)
+            )
+
+        if near or not few(m.group()):
+            spans = stretches(text, *m.span(), few, ruled_out)
+        else:
+            spans = [m.span()]
+        found += [
+            (a, b, "random") for a, b in spans if b - a >= LEAST and not ruled_out(a, b) and few(text[a:b])
+        ]
     return found
 
 

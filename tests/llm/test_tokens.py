@@ -73,3 +73,24 @@ def test_joined_digest(spark):
     rows = secret_scan.find_secrets(docs).select("doc_id", secret_scan.joined(secret_scan.F.col("spans")).alias("s")).collect()
     assert {r.doc_id: r.s for r in rows} == {1: "assign:0:17", 2: ""}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("key", [
+    "zQ8xK2mW9vB4nR7tY1uI5oP3", "qzxjvkwpybgqhzmfxtrdnlcw", "XQZJVKWPYBGQHZMFXTRDNLCW", "wJalrXUtnFEMIzK7MDENGxbPxRfiCY",
+])
+def test_keys_in_paths_and_behind_names(key):
+    enc = secret_scan.encoding(secret_scan.vocabulary_path())
+    for before, after in [
+        ("", ""), ("config/production/service/", ""), ("/srv/application/credentials/customer-information/", "/settings/default"),
+        ("the-quick-brown-fox-jumps-over-the-lazy-dog-", ""), ("application_service_account_credential=", ""),
+        ("backup/123e4567-e89b-12d3-a456-426614174000/production/environment/", "/information"),
+        ("storage/" + "a1" * 16 + "/production/environment/", ""),  # a digest that is a pattern match of its own
+    ]:
+        text = f"see {before}{key}{after} now"
+        at = text.index(key)
+        spans = secret_scan.scan(text, enc, 2.0)
+        assert any(k == "random" and s <= at and at + len(key) <= e for s, e, k in spans), text
+    for text in ("config/production/service/database/settings-default.yaml", "the-quick-brown-fox-jumps-over-the-lazy-dog",
+                 "donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION_OF_SETTINGS",
+                 "report-2024-01-02T03-04-05Z-customer-invoices", "customer/information/123e4567-e89b-12d3-a456-426614174000/orders/settings/default"):
+        assert secret_scan.scan(text, enc, 2.0) == [], text
