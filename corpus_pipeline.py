@@ -34,10 +34,10 @@ TARGETS = {"good": 0.9, "poor": 0.1}
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out by their rates; the total is raised so that good text is kept once at least."""
+    """Documents repeated or left out by their rates; each whose most likely domain is good is kept once at least."""
     model = mixing.train(docs, mixing.quality_domains(table(spark, sf_dir, "labels")), DOMAINS)
     mixed = written(mixing.with_posteriors(docs.select("doc_id", "text"), model).drop("text"))
-    steps = mixing.fit_rates(mixed, DOMAINS, TARGETS, keep=("good", 1.05))
+    steps = mixing.fit_rates(mixed, DOMAINS, TARGETS, keep=("good", 1.05), whole="good")
     rows = mixing.with_rates(mixing.with_posteriors(docs, model), steps)
     return rows.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 

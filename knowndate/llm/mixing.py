@@ -174,29 +174,38 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
 class Steps(list):
     """Steps of ``fit_rates`` with the totals per domain: those wished, those reached, and whether they agree.
 
-    ``most`` is the bound the steps were fitted under, or None.
+    ``most`` and ``whole`` are the bound and the place of the domain kept whole under which they were fitted, or None.
     """
 
     def __init__(self, steps=(), wished: Mapping[str, float] | None = None, reached: Mapping[str, float] | None = None,
-                 met: bool = True, most: float | None = None):
+                 met: bool = True, most: float | None = None, whole: int | None = None):
         super().__init__(steps)
-        self.wished, self.reached, self.met, self.most = dict(wished or {}), dict(reached or {}), met, most
+        self.wished, self.reached, self.met = dict(wished or {}), dict(reached or {}), met
+        self.most, self.whole = most, whole
 
 
-def rate_after(posterior: Column, steps: list[np.ndarray], most: float | None) -> Column:
-    """The rate after the given steps: each takes posterior · step away and cuts to 0 or more, and to ``most`` if given."""
+def least_rate(posterior: Column, whole: int | None) -> Column:
+    """1 where the domain at place ``whole`` is a most likely one, else 0."""
+    if whole is None:
+        return F.lit(0.0)
+    return F.when(posterior[whole] >= F.array_max(posterior), 1.0).otherwise(0.0)
+
+
+def rate_after(posterior: Column, steps: list[np.ndarray], most: float | None, whole: int | None = None) -> Column:
+    """The rate after the given steps: each takes posterior · step away and cuts to the least rate, and to ``most`` if given."""
     rate = F.lit(1.0)
     if not steps:
         return rate
     taken = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
     dot = lambda step: F.aggregate(F.zip_with(posterior, step, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
     cut = (lambda r: r) if most is None else (lambda r: F.least(F.lit(float(most)), r))
-    return F.aggregate(taken, rate, lambda r, step: cut(F.greatest(F.lit(0.0), r - dot(step))))
+    return F.aggregate(taken, rate, lambda r, step: cut(F.greatest(least_rate(posterior, whole), r - dot(step))))
 
 
 def fit_rates(
     mixed: DataFrame, domains: list[str], targets: Mapping[str, float], total: float | None = None,
     keep: tuple[str, float] | None = None, most: float | None = None, tolerance: float = 1e-4, most_steps: int = 60,
+    whole: str | None = None,
 ) -> Steps:
     """Steps that lead from rate 1 to rates whose expected domain totals meet the targets.
 
@@ -204,8 +213,9 @@ def fit_rates(
     target by more than ``tolerance`` of all tokens are flagged (``Steps.met``) and warned about.
     ``mixed`` has ``posterior`` and ``tokens`` and is read once a step. ``total`` is the wished number of tokens (as
     many as there are, by default); ``keep=(domain, x)`` raises it until that domain gets x times its tokens.
+    Documents whose most likely domain is ``whole`` get a rate of 1 at least; the others are fitted around them.
     """
-    k = len(domains)
+    k, at = len(domains), None if whole is None else domains.index(whole)
     weights = np.array([max(float(targets.get(d, 0.0)), 0.0) for d in domains])
     weights = weights / (weights.sum() or 1.0)
     part = lambda i: F.col("posterior")[i]
@@ -215,22 +225,23 @@ def fit_rates(
     gram = np.array(gram, dtype=float).reshape(k, k)
     now = gram.sum(axis=1)  # posteriors sum to one
     if not now.sum():
-        return Steps(most=most)
+        return Steps(most=most, whole=at)
     wished = now.sum() if total is None else float(total)
     if keep is not None and (share := weights[domains.index(keep[0])]):
         wished = max(wished, keep[1] * now[domains.index(keep[0])] / share)
     target = wished * weights
-    whole = np.linalg.pinv(gram, rcond=1e-9)
-    whitened, steps, gaps = whole, Steps(most=most), [np.inf]
+    safe = np.linalg.pinv(gram, rcond=1e-9)
+    whitened, steps, gaps = safe, Steps(most=most, whole=at), [np.inf]
     while True:
         gaps.append(float(np.abs(now - target).max()))
         if gaps[-1] <= tolerance * wished or len(steps) == most_steps:
             break
         # the Gram matrix of the rows that still can move makes longer steps; a step that went too far is followed
         # by one with the matrix of all rows, which never does
-        steps.append((whitened if gaps[-1] < gaps[-2] else whole) @ (now - target))
-        rate = rate_after(F.col("posterior"), steps, most)
-        free = F.col("rate") > 0 if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
+        steps.append((whitened if gaps[-1] < gaps[-2] else safe) @ (now - target))
+        rate = rate_after(F.col("posterior"), steps, most, at)
+        free = F.col("rate") > least_rate(F.col("posterior"), at)
+        free = free if most is None else free & (F.col("rate") < most)
         sums = mixed.select("tokens", "posterior", rate.alias("rate")).agg(
             *[F.sum(F.col("rate") * F.col("tokens") * part(i)) for i in range(k)],
             *[
@@ -249,7 +260,7 @@ def fit_rates(
 
 def with_rates(mixed: DataFrame, steps: Steps, id_col: str = "doc_id") -> DataFrame:
     """``mixed`` with ``rate`` and ``copies``: the rate, rounded up with the odds of its fraction by a hash of the id."""
-    out = mixed.withColumn("rate", rate_after(F.col("posterior"), steps, steps.most))
+    out = mixed.withColumn("rate", rate_after(F.col("posterior"), steps, steps.most, steps.whole))
     chance = F.pmod(F.xxhash64(F.lit("mixing"), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
     return out.withColumn("copies", (whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)).cast("long"))

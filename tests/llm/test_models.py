@@ -132,3 +132,32 @@ def test_rates_are_not_bounded_and_missed_targets_are_told(spark):
     assert max(r.rate for r in mixing.with_rates(mixed, bound).collect()) == 4.0
     with pytest.warns(UserWarning):
         assert not mixing.fit_rates(mixed.filter("doc_id >= 100"), ["good", "poor"], targets).met  # no good tokens
+
+
+def test_documents_of_the_whole_domain_are_kept(spark):
+    good = np.r_[np.full(100, 0.98), np.full(60, 0.55), np.full(100, 0.02)]
+    mixed = spark.createDataFrame(
+        [(k, [float(g), float(1 - g)], 50) for k, g in enumerate(good)], "doc_id long, posterior array<double>, tokens long"
+    )
+    targets, total = {"good": 0.75, "poor": 0.25}, dict(total=1.0, keep=("good", 1.05))
+    free = mixing.with_rates(mixed, mixing.fit_rates(mixed, ["good", "poor"], targets, **total)).collect()
+    assert any(r.copies == 0 for r in free if r.posterior[0] >= 0.5)  # what the lower bound is for
+    steps = mixing.fit_rates(mixed, ["good", "poor"], targets, **total, whole="good")
+    got = mixing.with_rates(mixed, steps).collect()
+    assert all(r.rate >= 1 and r.copies >= 1 for r in got if r.posterior[0] >= 0.5)
+    assert steps.met and min(r.rate for r in got) < 1
+    for k, d in enumerate(targets):
+        assert abs(sum(r.rate * r.tokens * r.posterior[k] for r in got) - steps.reached[d]) < 1e-6 * sum(steps.reached.values())
+
+
+@needs_tables
+def test_pipeline_keeps_all_good_documents(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    labels = spark.read.parquet(f"{SF1}/labels.parquet")
+    model = mixing.train(docs, mixing.quality_domains(labels), corpus_pipeline.DOMAINS)
+    likely = mixing.with_posteriors(docs, model).filter("posterior[0] >= posterior[1]")
+    likely = {r.doc_id for r in likely.select("doc_id").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.mix_domains(spark, docs, SF1).select("doc_id").collect()}
+    told = {r.doc_id for r in labels.filter("quality = 1 and toxic = 0").join(docs, "doc_id").collect()}
+    assert likely - {r.doc_id for r in labels.collect()} and not likely - kept
+    assert not told - kept, (len(told), len(told - kept))
