@@ -638,7 +638,7 @@ def interval_join(spark, sf_dir):
 )
 def master_audit(spark, sf_dir):
     """The issuer plays the security here, so that intervals of one key overlap."""
-    m = b.links(spark, sf_dir).filter("valid_to IS NOT NULL")
+    m = b.links(spark, sf_dir)
     m = m.withColumns({"security_id": F.col("issuer_id"), "issuer_id": F.col("security_name")})
     return market.security_master_audit(m)
 

@@ -102,3 +102,17 @@ def test_missingness_and_delistings(rows):
              [("A", D(2020, 1, 1), "5", -0.8, "s", "1"), ("B", D(2020, 1, 1), "5", None, "s", "1")])
     got = market.delisting_observations(d).collect()
     assert [(r.security_id, r.delist_return) for r in got] == [("A", -0.8)]
+
+
+def test_master_audit_query_sees_undated_links(spark, tmp_path):
+    import __spark_entry__ as entry_points
+
+    orders = [  # customer, priority, day, key; keys that 13 divides have no end
+        (1, "A", D(2020, 1, 1), 1), (1, "A", D(2020, 9, 1), 2), (1, "B", D(2020, 6, 1), 13), (1, "C", D(2021, 3, 1), 3),
+        (2, "A", D(2020, 1, 1), 26), (2, "B", D(2020, 2, 1), 4),
+    ]
+    schema = "o_custkey long, o_orderpriority string, o_orderdate date, o_orderkey long"
+    spark.createDataFrame(orders, schema).write.parquet(f"{tmp_path}/orders.parquet")
+    r = entry_points.queries()["w10_security_master_audit"](spark, str(tmp_path)).first()
+    # five links; only the undated B of the first issuer starts within an earlier interval, and open ends reach nothing
+    assert (r.rows, r.securities, r.issuers, r.overlapping_intervals, r.passed) == (5, 2, 3, 1, True)
