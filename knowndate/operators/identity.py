@@ -16,7 +16,7 @@ from knowndate.functions.keys import cik_coverage_key, cik_filing_key
 from knowndate.functions.names import entity_name_key
 from knowndate.operators.checks import need_columns
 from knowndate.operators.labels import LABEL
-from knowndate.operators.matching import discover
+from knowndate.operators.matching import TIE_KEYS, discover
 from knowndate.operators.ordered import exact_quantiles
 from knowndate.session import cut_lineage
 
@@ -207,8 +207,8 @@ def candidate_strength(
     universe: DataFrame,
     min_score: float = 0.45,
 ) -> DataFrame:
-    """Top candidate per hard case: score, margin, number of ties (five of them shown)."""
-    found = discover(case_aliases(cases, names, filing_names), universe, min_score, 5)
+    """Top candidate per hard case: score, margin, number and keys of all ties (five of them shown)."""
+    found = discover(case_aliases(cases, names, filing_names), universe, min_score, 5, tie_keys=True)
     top = F.max(F.when(F.col("rank") == 1, F.col("discovery_score")))
     second = F.max(F.when(F.col("rank") == 2, F.col("discovery_score")))
     first_row = F.max(
@@ -227,7 +227,7 @@ def candidate_strength(
         top.alias("top_score"),
         second.alias("second_score"),
         first_row.alias("t"),
-        F.max("top_ties").alias("top_ties"),
+        *[F.max(c).alias(c) for c in ("top_ties", *TIE_KEYS)],
         at_most_five.alias("c"),
     )
     joined = cases.select("cik").join(rolled, "cik", "left")
@@ -247,6 +247,7 @@ def candidate_strength(
         F.coalesce(F.abs(gap) < 1e-12, false).alias("top_score_tied"),
         F.coalesce(gap < NEAR_TIE, false).alias("top_score_near_tied"),
         F.coalesce("top_ties", F.lit(0)).alias("top_tied_candidate_count"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in TIE_KEYS],
         F.transform(tied_rows, lambda x: x["security_id"]).alias("top_tied_security_ids"),
         F.transform(tied_rows, lambda x: x["security_name"]).alias("top_tied_security_names"),
         F.transform(tied_rows, lambda x: F.coalesce(x["isin"], F.lit(""))).alias("top_tied_isins"),
@@ -512,14 +513,11 @@ def counts_by(frame: DataFrame, column: str) -> DataFrame:
 
 
 def tie_composition(strength: DataFrame) -> DataFrame:
-    """Class of each tied candidate list: duplicated ids, ISINs, equal or distinct names."""
-    names, _, isins = _tied_keys(strength)
-    ids = F.col("top_tied_security_ids")
-    repeated = lambda x: F.size(F.array_distinct(x)) < F.size(x)
+    """Class of all securities tied at the top: duplicated ids, ISINs, equal or distinct names."""
     kind = (
-        F.when(repeated(ids), "duplicate_security_id")
-        .when(repeated(isins), "duplicate_isin")
-        .when(F.size(F.array_distinct(names)) == 1, "same_normalized_name_distinct_security")
+        F.when(F.col("tied_ids") < F.col("top_tied_candidate_count"), "duplicate_security_id")
+        .when(F.col("tied_isins") < F.col("tied_filled_isins"), "duplicate_isin")
+        .when(F.col("tied_names") == 1, "same_normalized_name_distinct_security")
         .otherwise("distinct_normalized_names")
     )
     return strength.filter("top_score_tied").select(
@@ -527,30 +525,22 @@ def tie_composition(strength: DataFrame) -> DataFrame:
     )
 
 
-def _tied_keys(strength: DataFrame) -> tuple[Column, Column, Column]:
-    """Name keys, all cleaned ISINs and the non-empty ISINs of a tied list (JVM only)."""
-    names = F.col("top_tied_name_keys")
-    isins = F.transform("top_tied_isins", clean)
-    return names, isins, F.filter(isins, lambda x: x != "")
-
-
 def tie_collapse_keys(strength: DataFrame) -> DataFrame:
-    """Which keys (name, ISIN) would merge the securities tied at the top."""
-    names, isins, filled = _tied_keys(strength)
-    size = lambda x: F.size(x)
-    n_names, n_isins = size(F.array_distinct(names)), size(F.array_distinct(filled))
+    """Which keys (name, ISIN) would merge the securities tied at the top, over all of them."""
+    tied, names = F.col("top_tied_candidate_count"), F.col("tied_names")
+    filled, isins = F.col("tied_filled_isins"), F.col("tied_isins")
     return strength.filter("top_score_tied").select(
         "cik",
-        size(isins).alias("tied_count"),
-        n_names.alias("unique_normalized_names"),
-        size(filled).alias("nonempty_isin_count"),
-        n_isins.alias("unique_nonempty_isins"),
-        (n_names == 1).alias("all_same_name"),
-        (size(filled) > n_isins).alias("has_duplicate_isin"),
-        ((size(filled) > 0) & (n_isins == 1)).alias("all_nonempty_isins_same"),
-        ((n_names == 1) & (n_isins > 1)).alias("same_name_distinct_isins"),
-        ((n_names > 1) & (size(filled) > n_isins)).alias("different_names_shared_isin"),
-        (size(filled) < size(isins)).alias("missing_isin_in_tie"),
+        tied.alias("tied_count"),
+        names.alias("unique_normalized_names"),
+        filled.alias("nonempty_isin_count"),
+        isins.alias("unique_nonempty_isins"),
+        (names == 1).alias("all_same_name"),
+        (filled > isins).alias("has_duplicate_isin"),
+        ((filled > 0) & (isins == 1)).alias("all_nonempty_isins_same"),
+        ((names == 1) & (isins > 1)).alias("same_name_distinct_isins"),
+        ((names > 1) & (filled > isins)).alias("different_names_shared_isin"),
+        (filled < tied).alias("missing_isin_in_tie"),
     )
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from knowndate.functions.identifiers import clean
 from knowndate.functions.names import (
     entity_name_key,
     key_tokens,
@@ -135,14 +136,14 @@ def _keyed_aliases(aliases: DataFrame) -> DataFrame:
 
 
 def discover(
-    aliases: DataFrame, universe: DataFrame, min_score: float = 0.72, limit: int = 10
+    aliases: DataFrame, universe: DataFrame, min_score: float = 0.72, limit: int = 10, tie_keys: bool = False
 ) -> DataFrame:
     """Best securities per issuer by name score: ``limit`` rows each, numbered ``rank``.
 
     ``aliases``: cik, alias.  ``universe``: security_id, security_name, isin,
     is_delisted, ordinal (its input order).  Order: score, delisted first, unknown
     status last, ordinal.  Among aliases of equal score the first in text order counts.
-    ``top_ties``: how many securities share the issuer's best score.
+    ``top_ties``: how many securities share the issuer's best score; ``tie_keys`` adds the ``TIE_KEYS`` of them all.
     """
     keyed = _keyed_aliases(aliases)
     names = universe.select("security_name").distinct()
@@ -178,6 +179,8 @@ def discover(
         .groupBy("cik")
         .agg(F.max_by("n", "discovery_score").alias("top_ties"))
     )
+    if tie_keys:
+        ties = ties.join(_tie_keys(best, universe.join(names, "security_name")), "cik")
     return (
         best.join(top_of_name, "name_key")
         .join(ties, "cik")
@@ -194,11 +197,46 @@ def discover(
             "is_delisted",
             "rank",
             "top_ties",
+            *(TIE_KEYS if tie_keys else []),
             F.lit(True).alias("discovery_only"),
         )
     )
 
 
+#: Counts over all securities that share an issuer's best score.
+TIE_KEYS = ["tied_ids", "tied_names", "tied_filled_isins", "tied_isins"]
+
+
+def _tie_keys(best: DataFrame, named: DataFrame) -> DataFrame:
+    """``TIE_KEYS`` per issuer: distinct ids, name keys, filled ISINs and distinct filled ISINs at the best score.
+
+    Issuers whose best score belongs to one name take the counts of that name, made once per name; only the others
+    meet the securities.
+    """
+    isin = F.nullif(clean(F.col("isin")), F.lit(""))
+    held = named.select("name_key", F.struct("security_id").alias("__id"), isin.alias("__isin"))
+    counts = [
+        F.count_distinct("__id").alias("tied_ids"),
+        F.count("__isin").alias("tied_filled_isins"),
+        F.count_distinct("__isin").alias("tied_isins"),
+    ]
+    at_top = best.groupBy("cik", "discovery_score").agg(
+        F.count(F.lit(1)).alias("tied_names"), F.min("name_key").alias("name_key")
+    )
+    at_top = at_top.groupBy("cik").agg(
+        F.max_by(F.struct("discovery_score", "tied_names", "name_key"), "discovery_score").alias("t")
+    ).select("cik", "t.*")
+    # a name without any security is no tie; names come from the universe, so each has one
+    one = at_top.filter("tied_names = 1").join(held.groupBy("name_key").agg(*counts), "name_key")
+    several = (
+        at_top.filter("tied_names > 1").drop("name_key")
+        .join(best.select("cik", "discovery_score", "name_key"), ["cik", "discovery_score"])
+        .join(held, "name_key")
+        .groupBy("cik", "tied_names").agg(*counts)
+    )
+    return one.select("cik", *TIE_KEYS).unionByName(several.select("cik", *TIE_KEYS))
+
+
 def name_coverage(
     cases: DataFrame, aliases: DataFrame, official: DataFrame, min_score: float = 0.90
 ) -> DataFrame:

@@ -602,7 +602,7 @@ _SHOWN = """cik, candidate_count, top_security_id, top_security_name, round(top_
 
 @query("a11_candidate_strength", f"WITH RECURSIVE {_STRENGTH} SELECT {_SHOWN} FROM strength")
 def strength(spark, sf_dir):
-    out = _strength(spark, sf_dir)
+    out = _strength(spark, sf_dir).drop(*matching.TIE_KEYS)
     return out.withColumns(
         {
             c: F.array_join(c, ",")

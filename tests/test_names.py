@@ -228,3 +228,24 @@ def test_queries_look_at_all_hard_cases(spark, name):
     assert "LIMIT 100)" in sql
     ours, theirs, diff = differences(entry_points.queries()[name](spark, sf), connect(sf), sql.replace("LIMIT 100)", ")"))
     assert ours == theirs and not diff[0] and not diff[1], diff
+
+
+def test_ties_are_classed_over_all_securities(rows):
+    schema = "security_id string, security_name string, isin string, is_delisted boolean, ordinal int"
+    cases = rows("cik string", [("0000000001",), ("0000000002",)])
+    hist = rows("cik int, historical_name string", [(1, "Acme Holdings"), (2, "Blue Mint"), (2, "Red Fern")])
+    filed = rows("cik string, name string", [])
+    acme = [(f"A{k}", "Acme Holdings", f"I{k}", None, k) for k in range(5)]
+    blue = [(f"B{k}", "Blue Mint", f"J{k}", None, 20 + k) for k in range(6)]
+
+    def of(extra):
+        s = identity.candidate_strength(cases, hist, filed, rows(schema, acme + blue + extra))
+        kinds = {r.cik[-1]: (r.tie_composition, r.top_tied_candidate_count) for r in identity.tie_composition(s).collect()}
+        return kinds, {r.cik[-1]: r for r in identity.tie_collapse_keys(s).collect()}
+
+    kinds, keys = of([("A1", "Acme Holdings", "I9", None, 9), ("R", "Red Fern", None, None, 30)])  # the sixth repeats an id
+    assert kinds == {"1": ("duplicate_security_id", 6), "2": ("distinct_normalized_names", 7)}
+    assert keys["2"].tied_count == 7 and keys["2"].unique_normalized_names == 2 and keys["2"].missing_isin_in_tie
+    kinds, keys = of([("A9", "Acme Holdings", " i1 ", None, 9), ("R", "Red Fern", "J3", None, 30)])  # the sixth and seventh share ISINs
+    assert kinds == {"1": ("duplicate_isin", 6), "2": ("duplicate_isin", 7)}
+    assert keys["1"].all_same_name and keys["1"].has_duplicate_isin and keys["2"].different_names_shared_isin
