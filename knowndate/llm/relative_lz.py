@@ -1,10 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv factors.
+"""Substring dedup with the result of relative Lempel-Ziv factors of ``window`` words or more.
 
-The reference is the corpus itself, cut into blocks at content-defined words, every block indexed by its content. A
-document is factored block by block: as long as the next block with its context is in the index a second time, the
-factor grows. Where a factor ends, the windows over its boundary are checked one by one against the indexed windows
-of the blocks that share the boundary's anchor (see ``repeats``). Factors of ``window`` words or more are duplicate
-spans; each word of them is removed.
+No factors are built: there is no reference index, greedy factoring or factor length. Windows are grouped by the
+segments between content-defined words (see ``repeats``) as equal, unique or in doubt; those in doubt are checked one by
+one. Each word of a window that occurs a second time is removed.
 
 A word is removed if a window of ``window`` words that covers it starts somewhere else too, in the same or another
 text; windows never cross texts and are judged on the input.
