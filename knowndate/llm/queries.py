@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowndate.llm import ann, chat, jaccard_join, mixing, packing, quality_rules, relative_lz, secret_scan, suffix_dedup, toxicity
-from knowndate.llm.frames import table, written
+from knowndate.llm import (
+    ann, chat, jaccard_join, mixing, packing, periodic_runs, quality_rules, relative_lz, secret_scan, suffix_dedup, toxicity,
+)
+from knowndate.llm.frames import let, table, words_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,3 +175,73 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(count, secret_scan.BASE_KINDS), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
         secret_scan.joined(F.col("spans")).alias("spans"),
     )
+
+
+def looped(doc_id, text):
+    """The text with the words from some place on replaced by a period of its own, for one id in ten (by its CRC)."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def loop(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        return F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + F.pmod(i - a, p))))
+
+    some = F.coalesce(h % 10 == 0, F.lit(False)) & F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return F.when(some, F.array_join(let(words_of(text), loop), " ")).otherwise(text)
+
+
+@query(
+    "op11_periodic_runs",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS digits,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+crc AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(digits, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+  FROM d),
+places AS (SELECT *, len(ws) AS n, coalesce((h // 10) % greatest(len(ws), 1), 0) AS a, h // 10 AS g FROM crc),
+periods AS (SELECT *, CASE WHEN h % 10 = 0 THEN 1 + (n - a) // (3 + g % 8) ELSE n + 1 END AS p FROM places),
+texts AS (
+  SELECT r, doc_id, n, list_transform(range(0, n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) AS ws
+  FROM periods),
+words AS (SELECT r, unnest(range(0, n)) AS i, unnest(ws) AS w FROM texts),
+same AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.w = y.w AND y.i > x.i),
+islands AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS l
+  FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same)
+  GROUP BY r, q, g HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (
+  SELECT * FROM islands x WHERE NOT EXISTS (
+    SELECT 1 FROM islands y WHERE y.r = x.r AND y.q < x.q AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+told AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS said,
+         arg_min({'s': s, 'l': l, 'q': q}, {'a': -l, 'b': s, 'c': q}) AS top
+  FROM runs GROUP BY r),
+gone AS (
+  SELECT DISTINCT r, i FROM (SELECT r, unnest(range(s + q, s + l)) AS i FROM runs)),
+kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY i) AS said FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.l AS BIGINT) AS length,
+       CAST(top.q AS BIGINT) AS period, CAST(1000 * top.l // top.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(told.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+FROM texts LEFT JOIN told USING (r) LEFT JOIN kept USING (r)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.find_runs(docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text")))
+    said = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"], r["period"])))
+    longest = -F.col("top.less")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"),
+        F.sha2(F.concat(F.array_join(said, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), longest.alias("length"), F.col("top.period").alias("period"),
+        F.floor(1000 * longest / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
