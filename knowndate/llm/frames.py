@@ -52,6 +52,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int, label: str) -> DataFrame:
+    """Written (doc_id, text, label) of at most ``sample_rows`` usable labelled ids, those with the smallest hashes.
+
+    One row per id: several labels count as their largest, of several texts the one with the smallest hash is taken, so
+    repeated rows cannot make the sample larger.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable)
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(ids), "doc_id")  # at most sample_rows ids
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("first")
+    return written(rows.groupBy("doc_id").agg(first).select("doc_id", "first.text", "first.label"))
+
+
 def shuffle_parts(df: DataFrame) -> int:
     """The session's number of shuffle partitions, which whoever runs the job sets to fit the data."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowndate.llm import (
-    ann, chat, jaccard_join, mixing, packing, periodic_runs, quality_rules, relative_lz, secret_scan, suffix_dedup, toxicity,
+    ann, chat, jaccard_join, mixing, packing, periodic_runs, quality_rules, relative_lz, secret_scan, subword_quality,
+    suffix_dedup, toxicity,
 )
 from knowndate.llm.frames import let, table, words_of, written
 
@@ -245,3 +246,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", F.col("top.start").alias("start"), longest.alias("length"), F.col("top.period").alias("period"),
         F.floor(1000 * longest / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+@query("op13_subword_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = subword_quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return subword_quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )

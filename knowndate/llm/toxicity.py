@@ -8,7 +8,7 @@
 3. Classifier. An L1-penalised logistic regression on words and stems is trained on the label model's posteriors. Its
    weights (at most ``features``) travel with the task, and every text is scored in one pass without a shuffle.
 
-Training looks at a bounded sample of labelled rows (``sample_rows``, those with the smallest hash of the id); what
+Training looks at a bounded sample of labelled rows (``sample_rows`` ids with the smallest hashes, one row each); what
 visits the driver is that sample's votes and feature numbers. Texts are scored whole. Label, language, source and id
 are never inputs of a score.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knowndate.llm.frames import written
+from knowndate.llm.frames import bounded_sample, written
 from knowndate.llm.hashing import LOW_BYTES, LOWER, U, eights, hash_runs, mix, multipliers, pieces, raw, runs, sliced
 
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -113,12 +113,8 @@ def styles(column: pa.Array) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int, label: str) -> DataFrame:
-    """Written (text, label) of at most ``sample_rows`` usable labelled rows, those with the smallest id hashes."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable)
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return written(rows.join(F.broadcast(ids), "doc_id").select("text", "label"))  # at most sample_rows ids
+    """Written (text, label) of at most ``sample_rows`` usable labelled rows, one per id, those with the smallest id hashes."""
+    return bounded_sample(docs, labels, usable, sample_rows, label).select("text", "label")
 
 
 def counted(train: DataFrame) -> DataFrame:
