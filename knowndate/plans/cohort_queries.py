@@ -630,7 +630,7 @@ def interval_join(spark, sf_dir):
     "w10_security_master_audit",
     f"""WITH {b.LINKS}, s AS (SELECT *, max(valid_to) OVER (PARTITION BY issuer_id ORDER BY valid_from,
         source_identifier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-        FROM links WHERE valid_to IS NOT NULL)
+        FROM links)
     SELECT count(*) AS rows, count(DISTINCT issuer_id) AS securities,
       count(DISTINCT security_name) AS issuers, CAST(0 AS BIGINT) AS reversed_intervals,
       CAST(0 AS BIGINT) AS duplicate_evidence,

@@ -323,13 +323,13 @@ def positive(spark, sf_dir):
     )
 
 
-_HARD = f"""{b.master_sql()}, hard AS (SELECT * FROM master WHERE distress_observations > 0
-   AND NOT has_current_ticker ORDER BY first_filing, distress_observations DESC, cik LIMIT 100)"""
+_HARD = f"""{b.master_sql()}, hard AS (SELECT * FROM master WHERE distress_observations > 0 AND NOT has_current_ticker)"""
 
 
 @query(
     "p12_hard_cases",
-    f"""WITH {_HARD} SELECT cik, CAST(first_filing AS VARCHAR) AS first_filing, distress_observations FROM hard""",
+    f"""WITH {_HARD} SELECT cik, CAST(first_filing AS VARCHAR) AS first_filing, distress_observations FROM hard
+    ORDER BY hard.first_filing, distress_observations DESC, cik LIMIT 100""",
 )
 def hard(spark, sf_dir):
     out = identity.hard_cases(b.master(spark, sf_dir), 100)
@@ -500,14 +500,13 @@ def incremental_report(spark, sf_dir):
 # --- matching -------------------------------------------------------------------------------
 
 
-def _match(limit: int, least: float, filing_names: bool = True, cases: str = "hard") -> str:
+def _match(limit: int, least: float, filing_names: bool = True) -> str:
     """CTEs up to ``found``: the best ``limit`` securities per hard case at ``least`` or more."""
     extra = f"UNION SELECT cik, name, FALSE FROM fnames WHERE {q.name_key('name')} <> ''" if filing_names else ""
-    every = f"hardest AS (SELECT * FROM master WHERE distress_observations > 0 AND NOT has_current_ticker)"
-    return f"""{_HARD}, {every}, {b.FILING_NAMES}, {b.UNIVERSE},
+    return f"""{_HARD}, {b.FILING_NAMES}, {b.UNIVERSE},
   said AS (SELECT cik, alias, bool_or(old) AS old FROM (
     SELECT lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, historical_name AS alias, TRUE AS old FROM names {extra}) GROUP BY ALL),
-  keyed AS (SELECT cik, alias, old, {q.name_key('alias')} AS a FROM said SEMI JOIN {cases} USING (cik)),
+  keyed AS (SELECT cik, alias, old, {q.name_key('alias')} AS a FROM said SEMI JOIN hard USING (cik)),
   unames AS (SELECT *, {q.name_key('security_name')} AS n FROM universe),
   keys AS (SELECT a, n FROM (SELECT DISTINCT a FROM keyed WHERE a <> ''), (SELECT DISTINCT n FROM unames WHERE n <> '')
     WHERE greatest(2.0 * least(len(a), len(n)) / (len(a) + len(n)),
@@ -525,11 +524,13 @@ def _match(limit: int, least: float, filing_names: bool = True, cases: str = "ha
 _STRENGTH = f"""{_match(5, 0.45)},
   rolled AS (SELECT cik, count(*) AS n, max(score) FILTER (WHERE rank = 1) AS top_score,
       max(score) FILTER (WHERE rank = 2) AS second_score, any_value(top_ties) AS top_ties FROM found GROUP BY cik),
-  tied AS (SELECT f.cik, string_agg(f.security_id, ',' ORDER BY f.rank) AS ids, string_agg(f.security_name, ',' ORDER BY f.rank) AS names,
-      string_agg(COALESCE(f.isin, ''), ',' ORDER BY f.rank) AS isins, string_agg(f.name_key, ',' ORDER BY f.rank) AS name_keys,
-      count(*) AS shown, count(DISTINCT f.security_id) AS n_ids, count(DISTINCT f.name_key) AS n_names,
-      count(NULLIF(f.isin, '')) AS filled, count(DISTINCT NULLIF(f.isin, '')) AS n_isins, count(DISTINCT COALESCE(f.isin, '')) AS n_any
-    FROM found f JOIN found t ON t.cik = f.cik AND t.rank = 1 AND t.score = f.score GROUP BY f.cik),
+  shown AS (SELECT f.cik, string_agg(f.security_id, ',' ORDER BY f.rank) AS ids, string_agg(f.security_name, ',' ORDER BY f.rank) AS names,
+      string_agg(COALESCE(f.isin, ''), ',' ORDER BY f.rank) AS isins, string_agg(f.name_key, ',' ORDER BY f.rank) AS name_keys
+    FROM found f JOIN rolled r ON r.cik = f.cik AND r.top_score = f.score GROUP BY f.cik),
+  classes AS (SELECT c.cik, count(DISTINCT c.security_id) AS n_ids, count(DISTINCT c.name_key) AS n_names,
+      count(NULLIF(c.isin, '')) AS filled, count(DISTINCT NULLIF(c.isin, '')) AS n_isins
+    FROM candidates c JOIN rolled r ON r.cik = c.cik AND r.top_score = c.score GROUP BY c.cik),
+  tied AS (SELECT * FROM shown JOIN classes USING (cik)),
   strength AS (SELECT h.cik, COALESCE(n, 0) AS candidate_count, t.security_id AS top_security_id, t.security_name AS top_security_name,
       top_score, second_score, COALESCE(top_score - second_score, top_score) AS margin,
       COALESCE(abs(top_score - second_score) < 1e-12, FALSE) AS top_score_tied,
@@ -546,8 +547,8 @@ _DETAIL = f"""{_match(5, 0.45, False)}, detail AS (SELECT h.cik, rank, security_
 
 
 def _first_discovered(n: int) -> str:
-    return f"""{_match(10, 0.72, False, "hardest")}, discovered AS (SELECT f.*, first_filing, last_filing FROM found f JOIN (
-      SELECT cik, first_filing, last_filing FROM hardest SEMI JOIN found USING (cik)
+    return f"""{_match(10, 0.72, False)}, discovered AS (SELECT f.*, first_filing, last_filing FROM found f JOIN (
+      SELECT cik, first_filing, last_filing FROM hard SEMI JOIN found USING (cik)
       ORDER BY first_filing, distress_observations DESC, cik LIMIT {n}) USING (cik))"""
 
 
@@ -576,7 +577,7 @@ def discover(spark, sf_dir):
 @query(
     "j15_name_coverage",
     f"""WITH RECURSIVE {_match(1, 0.001)},
-      entries AS (SELECT upper(security_name) AS issuer_name, arg_min(substr(isin, 3, 9), ordinal) AS cusip, min(ordinal) AS ordinal,
+      entries AS (SELECT upper(security_name) AS issuer_name, arg_min(struct_pack(c := substr(isin, 3, 9)), ordinal).c AS cusip, min(ordinal) AS ordinal,
         any_value(n) AS n FROM unames GROUP BY 1),
       heads AS (SELECT n, arg_min(struct_pack(o := ordinal, name := issuer_name, cusip := cusip), ordinal) AS e FROM entries GROUP BY n),
       hit AS (SELECT cik, arg_max(e, struct_pack(s := score, o := -e.o)) AS e, max(score) AS score, bool_or(a = n) AS exact
@@ -707,7 +708,7 @@ def depth(spark, sf_dir):
 
 @query(
     "a18_tie_composition",
-    f"""WITH RECURSIVE {_STRENGTH} SELECT cik, CASE WHEN n_ids < shown THEN 'duplicate_security_id' WHEN n_isins < filled THEN 'duplicate_isin'
+    f"""WITH RECURSIVE {_STRENGTH} SELECT cik, CASE WHEN n_ids < top_tied_candidate_count THEN 'duplicate_security_id' WHEN n_isins < filled THEN 'duplicate_isin'
         WHEN n_names = 1 THEN 'same_normalized_name_distinct_security' ELSE 'distinct_normalized_names' END AS tie_composition,
       CAST(top_tied_candidate_count AS BIGINT) AS top_tied_candidate_count FROM strength WHERE top_score_tied""",
 )
@@ -721,7 +722,7 @@ def ties(spark, sf_dir):
       count(*) FILTER (WHERE filled > 0 AND n_isins = 1) AS all_nonempty_isins_same,
       count(*) FILTER (WHERE n_names = 1 AND n_isins > 1) AS same_name_distinct_isins,
       count(*) FILTER (WHERE n_names > 1 AND filled > n_isins) AS different_names_shared_isin,
-      count(*) FILTER (WHERE filled < shown) AS ties_with_missing_isin,
+      count(*) FILTER (WHERE filled < top_tied_candidate_count) AS ties_with_missing_isin,
       count(*) FILTER (WHERE filled > n_isins) AS ties_with_duplicate_isin FROM strength WHERE top_score_tied""",
 )
 def collapse(spark, sf_dir):
