@@ -296,23 +296,22 @@ def compare_discovery(
     universe: DataFrame,
     min_score: float = 0.45,
 ) -> DataFrame:
-    """Candidates with historical names only against names enriched by filing names."""
-
-    def side(extra, prefix):
-        aliases = case_aliases(cases, names, extra)
-        counts = aliases.groupBy("cik").agg(F.count(F.lit(1)).alias(f"{prefix}_aliases"))
-        found = discover(aliases, universe, min_score, 5).groupBy("cik").agg(
-            F.count(F.lit(1)).alias(f"{prefix}_candidates"),
-            F.max("discovery_score").alias(f"{prefix}_top_score"),
-        )
-        return counts.join(found, "cik", "left")
+    """Candidates with historical names only against names enriched by filing names.
 
-    out = (
-        cases.select("cik")
-        .join(side(None, "before"), "cik", "left")
-        .join(side(filing_names, "after"), "cik", "left")
-        .fillna(0, ["before_aliases", "after_aliases", "before_candidates", "after_candidates"])
-    )
+    Both sides are searched for at once, as two issuers each; a name that both hold is scored once.
+    """
+    sides = {"before": case_aliases(cases, names, None), "after": case_aliases(cases, names, filing_names)}
+    marked = [aliases.withColumn("cik", F.concat(F.lit(f"{side} "), "cik")) for side, aliases in sides.items()]
+    found = cut_lineage(discover(marked[0].unionByName(marked[1]), universe, min_score, 5))
+    out = cases.select("cik")
+    for side, aliases in sides.items():
+        counts = aliases.groupBy("cik").agg(F.count(F.lit(1)).alias(f"{side}_aliases"))
+        own = found.filter(F.col("cik").startswith(f"{side} ")).withColumn("cik", F.substring_index("cik", " ", -1))
+        rolled = own.groupBy("cik").agg(
+            F.count(F.lit(1)).alias(f"{side}_candidates"), F.max("discovery_score").alias(f"{side}_top_score")
+        )
+        out = out.join(counts, "cik", "left").join(rolled, "cik", "left")
+    out = out.fillna(0, ["before_aliases", "after_aliases", "before_candidates", "after_candidates"])
     b, a = F.col("before_candidates"), F.col("after_candidates")
     better = F.col("after_top_score").isNotNull() & (
         F.col("before_top_score").isNull() | (F.col("after_top_score") > F.col("before_top_score"))

@@ -1,18 +1,24 @@
 """Name matching between issuers' aliases and securities or list entries.
 
 The score of two names is the larger of token Jaccard and the Ratcliff–Obershelp
-ratio of their keys.  Pairs are found by an equi-join on prefix tokens, which is
-exact for any threshold:
-
-* Jaccard >= t needs at least t*|A| shared words, so two names share a word among the
-  first |A| - ceil(t*|A|) + 1 of a fixed order;
-* a ratio >= t needs t*(la+lb)/2 matched characters.  The matched characters are part
-  of the common character multiset, and lengths satisfy lb >= la*t/(2-t), so the
-  numbered characters overlap in at least la*t/(2-t) places and a prefix of
-  la - ceil(la*t/(2-t)) + 1 of them must meet.
-
-Names are reduced to distinct keys first, so a name held by a third of all rows is
-matched once.
+ratio of their keys.  Pairs are found by equi-joins on small id rows, exact for any
+threshold t:
+
+* Names are reduced to distinct keys and numbered, so a name held by a third of all
+  rows is matched once and no text travels with the joins.
+* A key has two token sets: its words, and its numbered characters (the n-th A, the n-th
+  B, ...).  Jaccard >= t needs t/(1+t) * (n+m) shared words of n and m; a ratio >= t needs
+  t/2 * (n+m) matched characters, which are shared numbered characters.
+* Tokens are ranked by a dictionary of their frequencies among the names, rarest first.
+  Two sets of n and m tokens that share o of them must meet within the first n-o+1 and
+  m-o+1, so each name is listed under (token, n, m) for every size m it may be matched
+  with.  At high scores pairs of tokens of a prefix longer by one are listed instead.  What
+  lies before, between and behind the shared tokens bounds the overlap once more.
+* The words and a bound of the ratio are then compared exactly, and Python only scores
+  pairs whose ratio can still decide.
+
+The best names of an issuer are looked for at high scores first (``LADDER``), where few
+names meet.  Only issuers that do not fill their list go on to the next lower score.
 """
 
 from __future__ import annotations
@@ -32,101 +38,168 @@ from knowndate.functions.names import (
 )
 from knowndate.session import cut_lineage
 
-# Characters of name keys, rare ones first; only the speed depends on the order.
-_RARE_FIRST = "QZXJ0987654321KVWYFBGHMPUDCLOTNRAISE "
 _SLACK = 1e-9
+#: The token sets of a key, and the score from which on two of their tokens are listed as one.
+KINDS = ("words", "chars")
+TWO_FROM = 0.8
 #: Scores at which names without a match are searched again; any shared letter suffices at last.
 WIDER = (0.6, 0.3, 0.001)
+#: Scores at which issuers are searched for one after the other, down to the caller's.
+LADDER = (0.9, 0.8, 0.65, 0.5)
+#: Size of the frequency dictionary.  Tokens that fall into one entry share its count; only
+#: the speed depends on that.
+DICTIONARY = 1 << 16
+
+
+class _Names:
+    """Distinct keys with ids and ranked token sets: ``table`` (id, key, words, chars) and the span of their sizes."""
+
+    def __init__(self, names: DataFrame, key: str, counts: DataFrame | None = None):
+        rows = names.filter(F.col(key) != "").select(key).distinct()
+        # ids have to survive recomputation, hence the checkpoints
+        rows = cut_lineage(rows.select(F.monotonically_increasing_id().alias("id"), key))
+        tokens = rows.select("id", key, F.explode(_token_sets(F.col(key))).alias("t")).select("id", key, "t.*")
+        entry = F.pmod(F.xxhash64("kind", "token"), F.lit(DICTIONARY)).cast("int")
+        tokens = tokens.withColumn("entry", entry)
+        self.counts = cut_lineage(tokens.groupBy("entry").count()) if counts is None else counts
+        rarity = F.struct(F.coalesce("count", F.lit(0)).alias("c"), "token")
+        ranked = tokens.join(F.broadcast(self.counts), "entry", "left")  # at most DICTIONARY rows
+        sets = ranked.groupBy("id", key).agg(
+            *[F.sort_array(F.collect_list(F.when(F.col("kind") == kind, rarity))).alias(kind) for kind in KINDS]
+        )
+        self.table = cut_lineage(
+            sets.select("id", key, *[F.transform(kind, lambda t: t["token"]).alias(kind) for kind in KINDS])
+        )
+        sizes = [f(F.size(kind)) for kind in KINDS for f in (F.min, F.max)]
+        found = [n or 0 for n in self.table.agg(*sizes).first()]
+        self.span = {kind: found[2 * k : 2 * k + 2] for k, kind in enumerate(KINDS)}
 
 
-def _prefix(tokens: Column, needed: Column) -> Column:
-    keep = F.size(tokens) - F.ceil(needed - _SLACK).cast("int") + 1
-    return F.slice(tokens, 1, F.greatest(F.least(keep, F.size(tokens)), F.lit(0)))
-
-
-def _with_tokens(names: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Add word and character tokens of a name key as numbers, and its prefix tokens.
+def _token_sets(key: Column) -> Column:
+    """All tokens of a key as (kind, token).
 
     Words become 64-bit hashes; a collision could only add a pair, which the exact score
-    then drops.
+    then drops.  The n-th occurrence of a character is one number.
     """
-    words = F.transform(
-        F.array_sort(
-            F.transform(key_tokens(F.col(key)), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))
-        ),
-        lambda s: F.xxhash64(s["t"]),
-    )
-    letters = F.array_sort(F.filter(F.split(F.col(key), ""), lambda c: c != ""))
+    letters = F.array_sort(F.filter(F.split(key, ""), lambda c: c != ""))
 
     def numbered(run):
-        """n-th occurrence of a letter as one number, later occurrences and rare letters first."""
-        return F.array_sort(
-            F.transform(
-                run,
-                lambda c, i: (i + 2 - F.array_position(run, c)).cast("int") * -64
-                + F.call_function("instr", F.lit(_RARE_FIRST), c),
-            )
+        return F.transform(
+            run,
+            lambda c, i: F.struct(
+                F.lit("chars").alias("kind"),
+                ((i + 2 - F.array_position(run, c)) * 256 + F.ascii(c)).cast("bigint").alias("token"),
+            ),
         )
 
-    # The one-element array binds the sorted letters, so they are not rebuilt per letter.
-    chars = F.transform(F.array(letters), numbered)[0]
-    with_sets = names.withColumns(
-        {"words": words, "chars": F.transform(chars, lambda n: n.cast("bigint"))}
-    )
-    length = F.size("chars")
-    return with_sets.withColumn(
-        "prefix",
-        F.concat(
-            _prefix(F.col("words"), F.size("words") * F.lit(threshold)),
-            _prefix(F.col("chars"), length * F.lit(threshold / (2 - threshold))),
-        ),
+    words = F.transform(
+        key_tokens(key), lambda t: F.struct(F.lit("words").alias("kind"), F.xxhash64(t).alias("token"))
     )
+    # The one-element array binds the sorted letters, so they are not rebuilt per letter.
+    return F.concat(words, F.transform(F.array(letters), numbered)[0])
 
 
-def similar_names(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
-    """All pairs of distinct keys (``alias_key``, ``name_key``) scoring at least ``min_score``.
+def _needed(kind: str, threshold: float, sizes: Column) -> Column:
+    """Shared tokens that a score of ``threshold`` takes, given the sum of both sizes."""
+    share = threshold / (1 + threshold) if kind == "words" else threshold / 2
+    return F.greatest(F.ceil(sizes * share - _SLACK).cast("int"), F.lit(1))
+
 
-    A pair is produced once, at its first common prefix token.  The word score and
-    an upper bound of the ratio are checked in the join, so Python only sees pairs that can
-    still reach the threshold.
+def _listed(names: _Names, kind: str, threshold: float, sizes: list, together: int) -> DataFrame:
+    """(id, n, m, token, first, last): the prefix tokens for every size ``m`` within ``sizes``.
+
+    Two sets that share o tokens share ``together`` of them within the first n-o+together of each, if o is that large;
+    such tokens are listed as one, with the places of the first and the last.
     """
-    # Few short names make much work, so both sides are spread over all tasks whatever their
-    # size.  The hash keeps Spark from reusing (and coalescing) the shuffle of a distinct.
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    aliases = left.filter(F.col("alias_key") != "").repartition(
-        tasks, F.xxhash64("alias_key")
+    reach = threshold if kind == "words" else threshold / (2 - threshold)
+    rows = names.table.select("id", F.size(kind).alias("n"), F.col(kind).alias("tokens"))
+    low = F.greatest(F.lit(sizes[0]), F.ceil(F.col("n") * reach - _SLACK).cast("int"))
+    high = F.least(F.lit(sizes[1]), F.floor(F.col("n") / reach + _SLACK).cast("int"))
+    rows = rows.withColumns({"low": low, "high": high}).filter((F.col("low") <= F.col("high")) & (F.col("n") > 0))
+    needed = _needed(kind, threshold, F.col("n") + F.col("m"))
+    rows = rows.withColumn("m", F.explode(F.sequence("low", "high"))).withColumn("needed", needed)
+    rows = rows.filter(F.col("needed") <= F.least("n", "m"))
+    token = lambda i: F.element_at("tokens", i)
+    listed = lambda value, i, j: F.struct(value.alias("token"), i.alias("first"), j.alias("last"))
+    one = F.transform(
+        F.sequence(F.lit(1), F.col("n") - F.col("needed") + 1), lambda i: listed(token(i), i, i)
+    )
+    if together == 2:
+        end = F.col("n") - F.col("needed") + 2
+        two = F.flatten(F.transform(
+            F.sequence(F.lit(1), end - 1),
+            lambda i: F.transform(F.sequence(i + 1, end), lambda j: listed(F.xxhash64(token(i), token(j)), i, j)),
+        ))
+        one = F.when(F.col("needed") > 1, two).otherwise(one)
+    return rows.select("id", "n", "m", "needed", F.explode(one).alias("t")).select("id", "n", "m", "needed", "t.*")
+
+
+def _meetings(left: _Names, right: _Names, kind: str, threshold: float) -> DataFrame:
+    """(a, b): ids whose prefixes meet and whose places leave room for enough shared tokens."""
+    together = 2 if threshold >= TWO_FROM else 1
+    a = _listed(left, kind, threshold, right.span[kind], together).select(
+        F.col("id").alias("a"), "token", "n", "m", "needed", F.col("first").alias("a1"), F.col("last").alias("a2")
     )
-    names = right.filter(F.col("name_key") != "").repartition(tasks, F.xxhash64("name_key"))
-    a = _with_tokens(aliases, "alias_key", min_score)
-    n = _with_tokens(names, "name_key", min_score)
-    a = a.withColumn("token", F.explode("prefix")).withColumnsRenamed(
-        {"words": "aw", "chars": "ac", "prefix": "ap"}
+    b = _listed(right, kind, threshold, left.span[kind], together).select(
+        F.col("id").alias("b"), "token", F.col("m").alias("n"), F.col("n").alias("m"),
+        F.col("first").alias("b1"), F.col("last").alias("b2"),
     )
-    n = n.withColumn("token", F.explode("prefix")).withColumnsRenamed(
-        {"words": "nw", "chars": "nc", "prefix": "np"}
+    # tokens before the first, the listed ones, those between them and those behind the last
+    ends = F.when(F.col("a1") < F.col("a2"), F.least(F.col("a2") - F.col("a1"), F.col("b2") - F.col("b1"))).otherwise(0)
+    room = F.least("a1", "b1") + ends + F.least(F.col("n") - F.col("a2"), F.col("m") - F.col("b2"))
+    return a.join(b, ["token", "n", "m"]).filter(room >= F.col("needed")).select("a", "b")
+
+
+def _of_pair(a: str, matcher: SequenceMatcher) -> float:
+    x, y = set(a.split()), set(matcher.b.split())
+    matcher.set_seq1(a)
+    return max(len(x & y) / len(x | y), matcher.ratio())
+
+
+def similar_names(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
+    """All pairs of distinct keys (``alias_key``, ``name_key``) scoring at least ``min_score``."""
+    names = _Names(right, "name_key")
+    return _similar(_Names(left, "alias_key", names.counts), names, min_score)
+
+
+def _similar(left: _Names, right: _Names, min_score: float) -> DataFrame:
+    """``similar_names`` of two prepared tables."""
+    tasks = int(left.table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _meetings(left, right, "words", min_score).union(_meetings(left, right, "chars", min_score))
+    a = left.table.withColumnsRenamed({"id": "a", "words": "aw", "chars": "ac"})
+    b = right.table.withColumnsRenamed({"id": "b", "words": "bw", "chars": "bc"})
+    shared_words = F.size(F.array_intersect("aw", "bw"))
+    jaccard = shared_words / (F.size("aw") + F.size("bw") - shared_words)
+    bound = 2 * F.size(F.array_intersect("ac", "bc")) / (F.size("ac") + F.size("bc"))
+    pairs = (
+        met.distinct().join(a, "a").join(b, "b")
+        .withColumns({"jaccard": jaccard, "bound": bound})
+        .filter((F.col("jaccard") >= min_score - _SLACK) | (F.col("bound") >= min_score - _SLACK))
+        .select("alias_key", "name_key", "jaccard", "bound")
     )
-    shared_words = F.size(F.array_intersect("aw", "nw"))
-    jaccard = shared_words / (F.size("aw") + F.size("nw") - shared_words)
-    bound = 2 * F.size(F.array_intersect("ac", "nc")) / (F.size("ac") + F.size("nc"))
-    once = F.element_at(F.array_intersect("ap", "np"), 1) == F.col("token")
-    reach = (jaccard >= min_score - _SLACK) | (bound >= min_score - _SLACK)
-    pairs = a.join(n, "token").filter(once & reach)
-    pairs = pairs.select("alias_key", "name_key")
-
-    def of_pair(a, n):
-        x, y = set(a.split()), set(n.split())
-        return max(len(x & y) / len(x | y), SequenceMatcher(None, a, n).ratio())
+    # the ratio never passes its bound: Jaccard decides where it is as large
+    decided = F.col("jaccard") >= F.col("bound")
 
     def score(batches):
+        matcher, known = SequenceMatcher(None), None
         for batch in batches:
-            keys = zip(batch["alias_key"], batch["name_key"])
-            best = np.array([of_pair(a, n) for a, n in keys], dtype="float64")
+            batch = batch.sort_values("name_key", ignore_index=True)
+            best = np.empty(len(batch))
+            for k, (a, n) in enumerate(zip(batch["alias_key"], batch["name_key"])):
+                if n != known:  # what SequenceMatcher knows of the second text serves many first ones
+                    matcher.set_seq2(n)
+                    known = n
+                best[k] = _of_pair(a, matcher)
             keep = best >= min_score
             yield batch.loc[keep, ["alias_key", "name_key"]].assign(score=best[keep])
 
     # Scoring costs far more than moving two short texts, so pairs are spread evenly first.
     spread = pairs.repartition(tasks, "alias_key", "name_key")
-    return spread.mapInPandas(score, "alias_key string, name_key string, score double")
+    scored = spread.filter(~decided).select("alias_key", "name_key").mapInPandas(
+        score, "alias_key string, name_key string, score double"
+    )
+    sure = spread.filter(decided & (F.col("jaccard") >= min_score))
+    return scored.unionByName(sure.select("alias_key", "name_key", F.col("jaccard").alias("score")))
 
 
 def _keyed_aliases(aliases: DataFrame) -> DataFrame:
@@ -145,25 +218,14 @@ def discover(
     status last, ordinal.  Among aliases of equal score the first in text order counts.
     ``top_ties``: how many securities share the issuer's best score; ``tie_keys`` adds the ``TIE_KEYS`` of them all.
     """
-    keyed = _keyed_aliases(aliases)
-    names = universe.select("security_name").distinct()
-    names = names.withColumn("name_key", entity_name_key(F.col("security_name")))
-    pairs = similar_names(
-        keyed.select("alias_key").distinct(), names.select("name_key").distinct(), min_score
-    )
-    best = (
-        keyed.join(pairs, "alias_key")
-        .groupBy("cik", "name_key")
-        .agg(
-            F.max("score").alias("discovery_score"),
-            F.min_by("alias", F.struct((-F.col("score")).alias("s"), "alias")).alias("sec_alias"),
-        )
-    )
+    keyed = cut_lineage(_keyed_aliases(aliases))
+    named = universe.withColumn("name_key", entity_name_key(F.col("security_name"))).filter("name_key <> ''")
+    held = cut_lineage(named.groupBy("name_key").agg(F.count(F.lit(1)).alias("__held")))
+    best = cut_lineage(_best_names(keyed, held, min_score, limit))
     delisted_first = F.col("is_delisted").desc_nulls_last()
     per_name = W.partitionBy("name_key").orderBy(delisted_first, "ordinal")
     top_of_name = (
-        universe.join(names, "security_name")
-        .withColumn("__rn", F.row_number().over(per_name))
+        named.withColumn("__rn", F.row_number().over(per_name))
         .filter(F.col("__rn") <= limit)
         .drop("__rn")
     )
@@ -171,7 +233,6 @@ def discover(
         F.col("discovery_score").desc(), delisted_first, "ordinal"
     )
     # ties are counted over all securities, not over the rows that are returned
-    held = universe.join(names, "security_name").groupBy("name_key").agg(F.count(F.lit(1)).alias("__held"))
     ties = (
         best.join(held, "name_key")
         .groupBy("cik", "discovery_score")
@@ -180,7 +241,7 @@ def discover(
         .agg(F.max_by("n", "discovery_score").alias("top_ties"))
     )
     if tie_keys:
-        ties = ties.join(_tie_keys(best, universe.join(names, "security_name")), "cik")
+        ties = ties.join(_tie_keys(best, named), "cik")
     return (
         best.join(top_of_name, "name_key")
         .join(ties, "cik")
@@ -203,6 +264,39 @@ def discover(
     )
 
 
+def _best_names(keyed: DataFrame, held: DataFrame, min_score: float, limit: int) -> DataFrame:
+    """(cik, name_key, discovery_score, sec_alias): at least the names of each issuer's ``limit`` best securities.
+
+    ``keyed``: cik, alias, alias_key.  ``held``: name_key and its number of securities.  An issuer with ``limit``
+    securities at one step of the ladder needs none of the lower scores; the others are searched again.
+    """
+    names = _Names(held, "name_key")
+    wanted, done = keyed, []
+    for score in (*(s for s in LADDER if s > min_score), min_score):
+        pairs = _similar(_Names(wanted, "alias_key", names.counts), names, score)
+        best = cut_lineage(
+            wanted.join(pairs, "alias_key")
+            .groupBy("cik", "name_key")
+            .agg(
+                F.max("score").alias("discovery_score"),
+                F.min_by("alias", F.struct((-F.col("score")).alias("s"), "alias")).alias("sec_alias"),
+            )
+        )
+        if score == min_score:
+            done.append(best)
+            break
+        found = best.join(held, "name_key").groupBy("cik").agg(F.sum("__held").alias("n"))
+        filled = found.filter(F.col("n") >= limit).select("cik")
+        done.append(best.join(filled, "cik", "left_semi"))
+        wanted = cut_lineage(wanted.join(filled, "cik", "left_anti"))
+        if wanted.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 #: Counts over all securities that share an issuer's best score.
 TIE_KEYS = ["tied_ids", "tied_names", "tied_filled_isins", "tied_isins"]
 
@@ -254,13 +348,10 @@ def name_coverage(
     )
     entries = cut_lineage(entries)
     keyed = cut_lineage(keyed)
+    names = _Names(entries, "name_key")
     wanted, pairs = keyed, None
     for score in (min_score, *(s for s in WIDER if s < min_score)):
-        found = cut_lineage(
-            similar_names(
-                wanted.select("alias_key").distinct(), entries.select("name_key").distinct(), score
-            )
-        )
+        found = cut_lineage(_similar(_Names(wanted, "alias_key", names.counts), names, score))
         pairs = found if pairs is None else pairs.union(found)
         matched = wanted.join(found.select("alias_key").distinct(), "alias_key").select("cik")
         wanted = cut_lineage(wanted.join(matched.distinct(), "cik", "left_anti"))

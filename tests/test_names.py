@@ -247,3 +247,33 @@ def test_ties_are_classed_over_all_securities(rows):
     kinds, keys = of([("A9", "Acme Holdings", " i1 ", None, 9), ("R", "Red Fern", "J3", None, 30)])  # the sixth and seventh share ISINs
     assert kinds == {"1": ("duplicate_isin", 6), "2": ("duplicate_isin", 7)}
     assert keys["1"].all_same_name and keys["1"].has_duplicate_isin and keys["2"].different_names_shared_isin
+
+
+def _made_names(n, seed):
+    rnd = random.Random(seed)
+    first, second = ["BLUE", "RED", "OLD", "NEW", "HOT", "COLD"], ["GEAR", "BOLT", "RING", "ROD", "PLATE", "WIDGET"]
+    return [f"{rnd.choice(first)} {rnd.choice(second)} BRAND#{rnd.randint(1, 40)}" for _ in range(n)]
+
+
+def test_ladder_gives_what_one_search_at_the_lowest_score_gives(spark, monkeypatch):
+    universe = spark.createDataFrame(
+        [(f"S{k}", n, None, k % 3 == 0, k) for k, n in enumerate(_made_names(150, 1))],
+        "security_id string, security_name string, isin string, is_delisted boolean, ordinal int",
+    )
+    names = _made_names(20, 2) + ["Zebra Quartz", "Gear", "B", "OLDGEAR BRAND#3"]
+    aliases = spark.createDataFrame([(f"{k // 2:010d}", n) for k, n in enumerate(names)], "cik string, alias string")
+    found = lambda: sorted(matching.discover(aliases, universe, 0.45, 5, tie_keys=True).collect())
+    ladder = found()
+    monkeypatch.setattr(matching, "LADDER", ())
+    assert ladder == found() and len({r.cik for r in ladder}) > 8
+
+
+def test_few_pairs_meet_at_high_scores(spark):
+    left = spark.createDataFrame([(n,) for n in _made_names(600, 3)], "alias_key string")
+    right = spark.createDataFrame([(n,) for n in _made_names(900, 4)], "name_key string")
+    b = matching._Names(right, "name_key")
+    a = matching._Names(left, "alias_key", b.counts)
+    met = sum(matching._meetings(a, b, kind, 0.9).count() for kind in matching.KINDS)
+    assert met < 0.1 * a.table.count() * b.table.count()
+    listed = matching._listed(b, "words", 0.9, a.span["words"], 2)
+    assert listed.groupBy("n", "m", "token").count().agg(F.max("count")).first()[0] < 0.05 * listed.count()
