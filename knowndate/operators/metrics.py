@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowndate.operators.ordered import exact_quantiles, running_totals
+from knowndate.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 ALERT_RATES = [0.001, 0.005, 0.01, 0.025, 0.05]
@@ -38,7 +39,11 @@ def ranking_metrics(
 
     One row, or one per ``by`` group (a small fixed set such as splits or models).
     """
-    curve = score_curve(scored, y, p, by)
+    return ranking_of(score_curve(scored, y, p, by), by)
+
+
+def ranking_of(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``ranking_metrics`` from a score curve."""
     neg = F.col("n") - F.col("tp")
     neg_cum = F.col("n__cum") - F.col("tp__cum")
     neg_total = F.max("n__total") - F.max("tp__total")
@@ -107,6 +112,7 @@ def alert_metrics(
         F.col("n__total").alias("n_all"),
         F.col("tp__total").alias("tp_all"),
     ).select("score", "a.rate", "a.k", "n_before", "tp_before", "n_all", "tp_all")
+    edges = cut_lineage(edges)
     # at most one edge per rate: safe to broadcast
     tied = scored.select(
         F.col(p).alias("score"), F.col(y).cast("bigint").alias("hit"), F.col(tie).alias("__tie")

@@ -7,47 +7,44 @@ into ranges, so that no task sees more than one range of one group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+from knowndate.session import cut_lineage
 
+#: Rows of distinct order values that one task sorts, and the most ranges they are cut into.
+ROWS_PER_RANGE = 1 << 17
+MOST_RANGES = 4096
 
-def _range_of(value: Column, cuts: list, low: int = 0) -> Column:
-    """Number of cuts below ``value`` as a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(low)
-    middle = len(cuts) // 2
-    return F.when(value <= F.lit(cuts[middle]), _range_of(value, cuts[:middle], low)).otherwise(
-        _range_of(value, cuts[middle + 1 :], low + middle + 1)
-    )
 
+def with_ranges(df: DataFrame, order_col: str, ranges: int | None = None, out: str = "__range") -> DataFrame:
+    """Add an order-preserving range number; ranges hold about equal numbers of rows.
 
-def assign_ranges(df: DataFrame, order_col: str, by: list[str], ranges: int, out: str) -> DataFrame:
-    """Add an order-preserving range number with about equal row counts per ``by`` group.
-
-    Eager: collects at most ``ranges`` cut points per group.  ``by`` must be a small
-    fixed set (features, splits, alert rates).  The cuts only steer the work split;
-    results never depend on them.
+    Eager: ``df`` should be a stored table, it is read for its size and, with two ranges
+    or more, for ``ranges - 1`` cut points.  The cuts are those of all groups together,
+    so no group has more rows in a range than the range has.  They only steer the work
+    split; results never depend on them.
     """
+    if ranges is None:
+        ranges = min(-(-df.count() // ROWS_PER_RANGE), MOST_RANGES)
+    value = F.col(order_col).cast("double")
     steps = [i / ranges for i in range(1, ranges)]
-    found = (
-        df.groupBy(*by)
-        .agg(F.percentile_approx(F.col(order_col), steps, 10000).alias("cuts"))
-        .collect()
+    cuts = df.agg(F.percentile_approx(value, steps, 10000)).first()[0] if steps else None
+    cuts = sorted({c for c in cuts or [] if math.isfinite(c)})
+    if not cuts:
+        return df.withColumn(out, F.lit(0.0))
+    inf = float("inf")
+    finder = Bucketizer(splits=[-inf, *cuts, inf], inputCol="__value", outputCol=out, handleInvalid="keep")
+    # NULL comes first in ascending order; what is no number has a range of its own at the end
+    return (
+        finder.transform(df.withColumn("__value", value))
+        .withColumn(out, F.coalesce(out, F.lit(-1.0)))
+        .drop("__value")
     )
-    number = F.lit(0)
-    for row in found:
-        tree = _range_of(F.col(order_col), sorted(set(row["cuts"] or [])))
-        if not by:
-            number = tree
-            continue
-        same = F.lit(True)
-        for name in by:
-            same = same & F.col(name).eqNullSafe(F.lit(row[name]))
-        number = F.when(same, tree).otherwise(number)
-    return df.withColumn(out, number)
 
 
 def running_totals(
@@ -56,16 +53,16 @@ def running_totals(
     sums: list[str],
     by: list[str] | None = None,
     descending: bool = False,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``<c>__cum`` and group totals ``<c>__total``.
 
-    ``df`` holds one row per (by, order_col).  Each range is summed on its own; the
-    range totals (at most ``ranges`` rows per group, hence safe to broadcast) give
-    the offsets.
+    ``df`` holds one row per (by, order_col) with a numeric ``order_col``.  Eager: it is
+    evaluated once and stored.  Each range is summed on its own; the range totals (one row
+    per group and range) give the offsets.
     """
     by = by or []
-    ranged = assign_ranges(df, order_col, by, ranges, "__range")
+    ranged = with_ranges(cut_lineage(df), order_col, ranges)
     arrow = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     groups = W.partitionBy(*by) if by else W.partitionBy()
     before = groups.orderBy(arrow("__range")).rowsBetween(W.unboundedPreceding, -1)
@@ -73,8 +70,8 @@ def running_totals(
         ranged.groupBy(*by, "__range")
         .agg(*[F.sum(c).alias(f"__{c}") for c in sums])
         .select(
-            *by,
-            "__range",
+            *[F.col(c).alias(f"__of_{c}") for c in by],
+            F.col("__range").alias("__of_range"),
             *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_off") for c in sums],
             *[F.sum(f"__{c}").over(groups).alias(f"{c}__total") for c in sums],
         )
@@ -84,9 +81,13 @@ def running_totals(
         .orderBy(arrow(order_col))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    out = ranged.join(F.broadcast(offsets), [*by, "__range"])
+    same = F.col("__range") == F.col("__of_range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    out = ranged.join(offsets, same)
     cums = {f"{c}__cum": F.col(f"__{c}_off") + F.sum(c).over(inside) for c in sums}
-    return out.withColumns(cums).drop("__range", *[f"__{c}_off" for c in sums])
+    drop = ["__range", "__of_range", *[f"__of_{c}" for c in by], *[f"__{c}_off" for c in sums]]
+    return out.withColumns(cums).drop(*drop)
 
 
 def exact_quantiles(
@@ -104,7 +105,15 @@ def exact_quantiles(
         .groupBy(*by, "__v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_totals(counts, "__v", ["n"], by)
+    return quantiles_of(running_totals(counts, "__v", ["n"], by), "__v", probabilities, by)
+
+
+def quantiles_of(
+    ranked: DataFrame, value_col: str, probabilities: list[float], by: list[str] | None = None
+) -> DataFrame:
+    """``exact_quantiles`` from distinct values with their counts ``n`` and ascending running totals ``n__cum``."""
+    by = by or []
+    ranked = ranked.withColumn("__v", F.col(value_col))
     first, last = F.col("n__cum") - F.col("n"), F.col("n__cum") - 1
     spots = [
         F.struct(
@@ -136,10 +145,10 @@ def exact_quantiles(
 def dense_index(df: DataFrame, key: str, out: str, buckets: int = 1024) -> DataFrame:
     """Number distinct keys 0..n-1 without a global sort; also adds ``<out>__n``.
 
-    Keys are numbered inside hash buckets and shifted by the bucket offsets
+    Keys are numbered inside buckets of their CRC-32 and shifted by the bucket offsets
     (``buckets`` rows, broadcast).
     """
-    hashed = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    hashed = df.withColumn("__b", F.crc32(F.col(key).cast("string")) % buckets)
     offsets = (
         hashed.groupBy("__b")
         .agg(F.count(F.lit(1)).alias("__n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from knowndate.operators import bootstrap, calibration, checks, metrics
 from knowndate.operators.ordered import exact_quantiles
 from knowndate.plans import bindings as b
+from knowndate.plans import sqltext as q
 from knowndate.plans.registry import query
 
 
@@ -209,7 +210,21 @@ def offset(spark, sf_dir):
     return spark.createDataFrame(row, "intercept_only_offset double")
 
 
-@query("m07_platt_calibration")
+def _counts_sql(rows: str, clip: float, score: str = "p") -> str:
+    """(score, z, n, tp) per distinct score of ``rows``."""
+    return f"""SELECT score, ln(q / (1 - q)) AS z, n, tp FROM (SELECT {score} AS score,
+     least(greatest({score}, {clip}), 1 - {clip}) AS q, count(*) AS n, sum(y) AS tp FROM {rows} GROUP BY 1, 2)"""
+
+
+_EVEN = "SELECT ln(sum(tp) / (sum(n) - sum(tp))), 0.0::DOUBLE FROM"
+
+_PLATT = f"""{SCORED}, val AS (SELECT * FROM scored WHERE split = 'validation'), pv AS ({_counts_sql("val", 1e-6)}),
+ {q.newton("platt", "pv", f"{_EVEN} pv", 1.0)},
+ tst AS (SELECT doc_id, y, p, 1 / (1 + exp(-(a + b * ln(q / (1 - q))))) AS p_cal
+   FROM (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM scored WHERE split = 'test'), platt WHERE i = 40)"""
+
+
+@query("m07_platt_calibration", f"WITH RECURSIVE {_PLATT} SELECT doc_id, y, p, round(p_cal, 6) AS p_cal FROM tst")
 def platt(spark, sf_dir):
     s = scored(spark, sf_dir)
     fitted = calibration.Calibrator("platt").fit(s.filter("split = 'validation'"))
@@ -217,7 +232,18 @@ def platt(spark, sf_dir):
     return out.select("doc_id", "y", "p", F.round("p_cal", 6).alias("p_cal"))
 
 
-@query("m07_isotonic_calibration")
+@query(
+    "m07_isotonic_calibration",
+    f"""WITH {SCORED}, d AS (SELECT p AS x, count(*) AS n, sum(y) AS tp FROM scored WHERE split = 'validation' GROUP BY 1),
+     c AS (SELECT x, sum(n) OVER w AS cn, sum(tp) OVER w AS ct, sum(n) OVER w - n AS bn, sum(tp) OVER w - tp AS bt FROM d WINDOW w AS (ORDER BY x)),
+     least_from AS (SELECT k.x, a.x AS start, min((e.ct - a.bt) / (e.cn - a.bn)) AS v FROM c k JOIN c a ON a.x <= k.x JOIN c e ON e.x >= k.x GROUP BY 1, 2),
+     iso AS (SELECT x, max(v) AS v FROM least_from GROUP BY x),
+     near AS (SELECT doc_id, y, p, (SELECT max(x) FROM iso WHERE x <= p) AS lo, (SELECT min(x) FROM iso WHERE x >= p) AS hi
+       FROM scored WHERE split = 'test')
+    SELECT doc_id, y, p, round(CASE WHEN lo IS NULL OR lo = hi THEN h.v WHEN hi IS NULL THEN l.v
+      ELSE l.v + (h.v - l.v) * (p - lo) / (hi - lo) END, 6) AS p_cal
+    FROM near LEFT JOIN iso l ON l.x = lo LEFT JOIN iso h ON h.x = hi""",
+)
 def isotonic(spark, sf_dir):
     s = scored(spark, sf_dir)
     fitted = calibration.Calibrator("isotonic").fit(s.filter("split = 'validation'"))
@@ -225,16 +251,76 @@ def isotonic(spark, sf_dir):
     return out.select("doc_id", "y", "p", F.round("p_cal", 6).alias("p_cal"))
 
 
-@query("m12_calibration_diagnostics")
-def diagnostics(spark, sf_dir):
-    report = calibration.calibration_diagnostics(scored(spark, sf_dir))
-    rows = [(k, str(v)) for k, v in sorted(report.items())]
-    return spark.createDataFrame(rows, "metric string, value string")
+def _rows_sql(section: str, numbers: dict[str, str], source: str) -> str:
+    """One row per named number of a one-row source."""
+    structs = ", ".join(f"struct_pack(m := '{k}', v := CAST({v} AS DOUBLE))" for k, v in numbers.items())
+    return f"SELECT {section} AS section, t.m AS metric, t.v AS value FROM (SELECT unnest([{structs}]) AS t{', kind' if 'kind' in section else ''} FROM {source})"
+
+
+def _diagnosis_sql(rows: str) -> str:
+    """CTEs of the fits on ``rows`` (score, y), and ``diag``: one row of all numbers."""
+    return f"""dg AS ({_counts_sql(rows, 1e-12, "score")}), {q.newton("joint", "dg", f"{_EVEN} dg")},
+ {q.newton("shift", "dg", "SELECT 0.0::DOUBLE, 1.0::DOUBLE", free_slope=False)},
+ dcurve AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ctp FROM dg WINDOW w AS (ORDER BY score DESC)),
+ diag AS (SELECT (SELECT sum(n) FROM dg) AS rows, (SELECT sum(tp) / sum(n) FROM dg) AS prevalence,
+   (SELECT sum(tp * (ctp / cn)) / sum(tp) FROM dcurve) AS ap, (SELECT a FROM shift WHERE i = 40) AS shift, a, b FROM joint WHERE i = 40)"""
+
 
+_DIAGNOSIS = {
+    "rows": "rows", "prevalence": "prevalence", "average_precision": "ap", "average_precision_over_prevalence": "ap / prevalence",
+    "calibration_in_the_large": "shift", "intercept": "a", "slope": "b", "max_abs_mean_score": "0",
+}
 
-@query("m13_probability_evidence")
+
+@query(
+    "m12_calibration_diagnostics",
+    f"""WITH RECURSIVE {SCORED}, sc AS (SELECT p AS score, y FROM scored), {_diagnosis_sql("sc")}
+    SELECT metric, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS status FROM ({_rows_sql("''", _DIAGNOSIS, "diag")})
+    UNION ALL SELECT unnest(['calibration_in_the_large_status', 'joint_status', 'status']), NULL, 'ok'""",
+)
+def diagnostics(spark, sf_dir):
+    report = calibration.calibration_diagnostics(scored(spark, sf_dir))
+    number = lambda v: isinstance(v, (int, float))
+    rows = [(k, round(float(v), 6) if number(v) else None, None if number(v) else v) for k, v in sorted(report.items())]
+    return spark.createDataFrame(rows, "metric string, value double, status string")
+
+
+def _loss_sql(p: str) -> str:
+    eps = 2.220446049250313e-16
+    return f"avg(-ln(CASE WHEN y = 1 THEN greatest(least({p}, 1 - {eps}), {eps}) ELSE 1 - greatest(least({p}, 1 - {eps}), {eps}) END))"
+
+
+_QUALITY = {
+    **{f"{name}_brier": f"avg(({p} - y) ** 2)" for name, p in (("raw", "p"), ("calibrated", "p_cal"), ("base_rate", "c"))},
+    **{f"{name}_log_loss": _loss_sql(p) for name, p in (("raw", "p"), ("calibrated", "p_cal"), ("base_rate", "c"))},
+    "oracle_test_base_rate_brier": "avg(y) * (1 - avg(y))",
+}
+_RANKS = {
+    "rows": "sum(n)", "positives": "sum(tp)", "prevalence": "sum(tp) / sum(n)", "pr_auc": "sum(tp * (ctp / cn)) / sum(tp)",
+    "roc_auc": "sum(tp * (tn - ttp - cn + ctp + (n - tp) / 2)) / (sum(tp) * (sum(n) - sum(tp)))",
+    "brier": "sum(tp * (1 - score) ** 2 + (n - tp) * score ** 2) / sum(n)",
+}
+_EVIDENCE = f"""{_PLATT}, base AS (SELECT count(*) AS n, sum(y) AS tp FROM val),
+ two AS (SELECT 'raw' AS kind, p AS score, y FROM tst UNION ALL SELECT 'calibrated', p_cal, y FROM tst),
+ dist AS (SELECT kind, score, count(*) AS n, sum(y) AS tp FROM two GROUP BY ALL),
+ curve AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ctp, sum(n) OVER (PARTITION BY kind) AS tn, sum(tp) OVER (PARTITION BY kind) AS ttp
+   FROM dist WINDOW w AS (PARTITION BY kind ORDER BY score DESC)),
+ cal AS (SELECT p_cal AS score, y FROM tst), {_diagnosis_sql("cal")},
+ wide_bins AS (SELECT kind, least(floor(score * 10), 9) AS bin, avg(y) AS v FROM two GROUP BY ALL),
+ edges AS (SELECT kind, list_sort(list_distinct(quantile_cont(score, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e FROM two GROUP BY kind),
+ q_bins AS (SELECT kind, len(list_filter(e[2:len(e) - 1], lambda x: x <= score)) AS bin, avg(y) AS v FROM two JOIN edges USING (kind) GROUP BY ALL),
+ evidence AS ({_rows_sql("'population'", {"validation_rows": "n", "validation_positives": "tp", "baseline_probability": "tp / n"}, "base")}
+   UNION ALL {_rows_sql("'diagnostics'", _DIAGNOSIS, "diag")}
+   UNION ALL {_rows_sql("'probability_quality'", _QUALITY, "(SELECT *, (SELECT tp / n FROM base) AS c FROM tst)")}
+   UNION ALL {_rows_sql("'ranking_' || kind", _RANKS, "curve GROUP BY kind")}
+   UNION ALL SELECT 'reliability_' || k.kind, 'bin_' || i, v FROM (SELECT DISTINCT kind FROM two) k CROSS JOIN range(10) t(i) LEFT JOIN wide_bins w ON w.kind = k.kind AND w.bin = i
+   UNION ALL SELECT 'quantile_reliability_' || k.kind, 'bin_' || i, v FROM (SELECT kind, unnest(range(greatest(len(e) - 1, 1))) AS i FROM edges) k
+     LEFT JOIN q_bins w ON w.kind = k.kind AND w.bin = i)"""
+
+
+@query("m13_probability_evidence", f"WITH RECURSIVE {_EVIDENCE} SELECT section, metric, round(value, 6) AS value FROM evidence")
 def evidence(spark, sf_dir):
-    return calibration.probability_evidence(scored(spark, sf_dir))
+    return calibration.probability_evidence(scored(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -251,9 +337,39 @@ def bootstrap_points(spark, sf_dir):
     return out.withColumn("baseline_minus_model", F.round("baseline_minus_model", 8))
 
 
-@query("m14_cluster_bootstrap")
+def _mixed_sql(inner: str, x: str, out: str, name: str) -> str:
+    """CTEs that scramble a 32-bit number ``x`` of ``inner`` into ``out``."""
+    one, two = bootstrap.MIX
+    return f"""{name}1 AS (SELECT *, xor({x}, {x} >> 16) * {one} % 4294967296 AS x1 FROM {inner}),
+ {name}2 AS (SELECT *, xor(x1, x1 >> 13) * {two} % 4294967296 AS x2 FROM {name}1),
+ {name} AS (SELECT * EXCLUDE (x1, x2), xor(x2, x2 >> 16) AS {out} FROM {name}2)"""
+
+
+_REPLICATES = 10_000
+
+
+@query(
+    "m14_cluster_bootstrap",
+    f"""WITH {SCORED}, t AS (SELECT *, least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16) AS q FROM scored),
+     k AS (SELECT source AS cluster, count(*) AS n, sum((y - 0.12) ** 2 - (y - p) ** 2) AS brier,
+       sum(-(y * ln(0.12) + (1 - y) * ln(0.88)) + (y * ln(q) + (1 - y) * ln(1 - q))) AS log_loss FROM t GROUP BY 1),
+     placed AS (SELECT *, row_number() OVER (ORDER BY {q.crc32("cluster")} % 1024, cluster) - 1 AS idx FROM k),
+     s AS (SELECT CAST(42 AS UBIGINT) AS seed), {_mixed_sql("s", "seed", "h0", "sa")}, {_mixed_sql("sa", "h0", "h1", "sb")},
+     reps AS (SELECT rep, xor(h1, CAST(rep AS UBIGINT)) AS r FROM sb, range({_REPLICATES}) t(rep)), {_mixed_sql("reps", "r", "h2", "sc")},
+     draws AS (SELECT rep, xor(h2, CAST(d AS UBIGINT)) AS u FROM sc, (SELECT unnest(range(count(*))) AS d FROM k)), {_mixed_sql("draws", "u", "h3", "sd")},
+     res AS (SELECT rep, sum(brier) / sum(n) AS brier, sum(log_loss) / sum(n) AS log_loss
+       FROM sd JOIN placed ON idx = h3 % (SELECT count(*) FROM k) GROUP BY rep),
+     long AS (UNPIVOT res ON brier, log_loss INTO NAME metric VALUE v),
+     point AS (UNPIVOT (SELECT sum(brier) / sum(n) AS brier, sum(log_loss) / sum(n) AS log_loss FROM k) ON brier, log_loss INTO NAME metric VALUE v)
+    SELECT metric, (SELECT CAST(sum(n) AS BIGINT) FROM k) AS test_rows, (SELECT count(*) FROM k) AS unique_clusters,
+      round(any_value(point.v), 8) AS baseline_minus_model, round(quantile_cont(long.v, 0.025), 8) AS lower_95,
+      round(quantile_cont(long.v, 0.975), 8) AS upper_95, count(*) FILTER (WHERE long.v > 0) AS replicates_model_better,
+      count(*) FILTER (WHERE long.v <= 0) AS replicates_model_not_better
+    FROM long JOIN point USING (metric) GROUP BY metric""",
+)
 def cluster_bootstrap(spark, sf_dir):
-    return bootstrap.paired_cluster_bootstrap(scored(spark, sf_dir), 0.12, seed=42, cluster="source")
+    out = bootstrap.paired_cluster_bootstrap(scored(spark, sf_dir), 0.12, _REPLICATES, seed=42, cluster="source")
+    return out.withColumns({c: F.round(c, 8) for c in ("baseline_minus_model", "lower_95", "upper_95")})
 
 
 _RUN = """runs AS (SELECT lang, round(avg(y), 6) AS pr_auc, round(max(p), 6) AS lift,

@@ -111,3 +111,24 @@ def name_scores(pairs: str) -> str:
 ratios AS (SELECT pa AS a, pn AS n, 2.0 * coalesce(sum(m.k), 0) / (len(pa) + len(pn)) AS ratio FROM blocks GROUP BY pa, pn),
 scores AS (SELECT a, n, greatest(ratio, len(list_intersect({a}, {n})) / len(list_distinct(list_concat({a}, {n})))) AS score
   FROM ratios)"""
+
+
+def crc32(x: str) -> str:
+    """CRC-32 of ASCII text: eight shift steps a character."""
+    step = "lambda c, i: xor(c >> 1, 3988292384 * (c & 1))"
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({x}, ''), lambda t: CAST(ascii(t) AS BIGINT))), "
+        f"lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {step})))"
+    )
+
+
+def newton(name: str, counts: str, start: str, ridge: float = 0.0, free_slope: bool = True, steps: int = 40) -> str:
+    """Recursive CTE (i, a, b) of Newton steps for sigmoid(a + b * z) on (z, n, tp); ``start`` selects a and b."""
+    det = "(s.aa * s.bb - s.ab * s.ab)"
+    to = (
+        f"a + (s.bb * s.f - s.ab * s.g) / {det}, b + (s.aa * s.g - s.ab * s.f) / {det}" if free_slope else "a + s.f / s.aa, b"
+    )
+    return f"""{name}(i, a, b) AS ({start.replace('SELECT', 'SELECT 0,', 1)} UNION ALL
+   SELECT i + 1, {to} FROM (SELECT r.i, r.a, r.b, (SELECT struct_pack(f := sum(tp - n * m), g := sum((tp - n * m) * z) - {ridge} * r.b,
+       aa := sum(n * m * (1 - m)), ab := sum(n * m * (1 - m) * z), bb := sum(n * m * (1 - m) * z * z) + {ridge})
+     FROM (SELECT n, tp, z, 1 / (1 + exp(-(r.a + r.b * z))) AS m FROM {counts})) AS s FROM {name} r WHERE r.i < {steps}))"""

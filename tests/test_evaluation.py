@@ -120,3 +120,63 @@ def test_missing_prices_leave_the_window(spark):
         for x in (rows, odd)
     ]
     assert last[0] is not None and abs(last[0] - last[1]) < 1e-9
+
+
+def _isotonic(score, n, tp):
+    """Largest least mean over stretches around each place."""
+    k = range(len(score))
+    mean = lambda a, b: sum(tp[a : b + 1]) / sum(n[a : b + 1])
+    return [max(min(mean(a, b) for b in k if b >= i) for a in k if a <= i) for i in k]
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_isotonic_blocks_do_not_depend_on_ranges(spark, ranges):
+    rnd = random.Random(ranges)
+    score = [i / 60 for i in range(60)]
+    n = [rnd.randint(1, 9) for _ in score]
+    tp = [rnd.randint(0, k) if rnd.random() < 0.8 else int(k * s) for k, s in zip(n, score)]
+    counts = spark.createDataFrame(list(zip(score, n, tp)), "score double, n long, tp long")
+    blocks = calibration.isotonic_blocks(counts, ranges).collect()
+    got = {s: r.tp / r.n for r in blocks for s in score if r.low <= s <= r.high}
+    assert [got[s] for s in score] == pytest.approx(_isotonic(score, n, tp))
+    assert sum(r.n for r in blocks) == sum(n) and len({r.tp / r.n for r in blocks}) == len(blocks)
+
+
+def test_isotonic_map_between_and_beyond_scores(spark):
+    f = frame(spark, [0, 1, 0, 1], [0.2, 0.4, 0.4, 0.8])
+    fitted = calibration.Calibrator("isotonic").fit(f)
+    asked = spark.createDataFrame([(0.0,), (0.3,), (0.4,), (0.6,), (0.9,), (None,)], "p double")
+    got = [r.p_cal for r in fitted.transform(asked).collect()]
+    assert got[:5] == pytest.approx([0.0, 0.25, 0.5, 0.75, 1.0]) and got[5] is None
+
+
+def test_logit_fits_meet_their_score_equations(spark):
+    rnd = np.random.default_rng(8)
+    z = np.round(rnd.normal(size=400), 2)
+    y = (rnd.uniform(size=400) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(int)
+    counts = spark.createDataFrame([(float(a), 1, int(b)) for a, b in zip(z, y)], "z double, n long, tp long")
+    joint, ridged, shift = calibration.fit_logits(
+        counts, [calibration.LogitFit(True), calibration.LogitFit(True, 1.0), calibration.LogitFit(False)]
+    )
+    for fit, slope_pull in ((joint, 0.0), (ridged, ridged.slope)):
+        miss = y - 1 / (1 + np.exp(-(fit.intercept + fit.slope * z)))
+        assert abs(miss.sum()) < 1e-8 and abs((miss * z).sum() - slope_pull) < 1e-8
+    assert shift.slope == 1.0 and abs((y - 1 / (1 + np.exp(-(shift.intercept + z)))).sum()) < 1e-8
+
+
+def test_bootstrap_in_blocks(spark):
+    rnd = random.Random(4)
+    rows = [(f"c{k % 37}", int(rnd.random() < 0.3), rnd.random()) for k in range(400)]
+    f = spark.createDataFrame(rows, "cik string, y int, p double")
+    one = {r.metric: r for r in bootstrap.paired_cluster_bootstrap(f, 0.3, 600).collect()}
+    few = {r.metric: r for r in bootstrap.paired_cluster_bootstrap(f, 0.3, 600, block_rows=5).collect()}
+    again = {r.metric: r for r in bootstrap.paired_cluster_bootstrap(f.repartition(7), 0.3, 600, block_rows=5).collect()}
+    for m in one:
+        assert few[m].lower_95 == pytest.approx(again[m].lower_95) and few[m].upper_95 == pytest.approx(again[m].upper_95)
+        width = one[m].upper_95 - one[m].lower_95
+        assert abs(few[m].lower_95 - one[m].lower_95) < 0.3 * width and abs(few[m].upper_95 - one[m].upper_95) < 0.3 * width
+    sums = spark.createDataFrame([(k, 1, 1.0, 2.0) for k in range(37)], "idx long, n long, brier double, log_loss double")
+    drawn = bootstrap.resampled_sums(sums, [5] * 7 + [2], 50, 1, 5).collect()
+    assert len(drawn) == 50 and all(r.n == 37 and r.brier == 37 and r.log_loss == 74 for r in drawn)  # as many draws as clusters
+    at = np.concatenate([bootstrap.draws_of(3, 0, rep, 37, 37) for rep in range(500)])
+    assert abs(np.bincount(at, minlength=37) / 500 - 1).max() < 0.25

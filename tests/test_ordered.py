@@ -80,3 +80,16 @@ def test_dense_index_is_a_permutation(spark):
     df = spark.range(500).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
     got = ordered.dense_index(df, "k", "i", 16).collect()
     assert sorted(r.i for r in got) == list(range(500)) and {r.i__n for r in got} == {500}
+
+
+def test_ranges_of_ties_nulls_and_nan(spark):
+    values = [None, float("nan"), float("-inf"), float("inf"), *([0.5] * 300), *(k / 100 for k in range(200))]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = sorted(((r["__range"], r.v) for r in ordered.with_ranges(df, "v", 8).collect()), key=lambda t: t[0])
+    assert got[0][1] is None and got[-1][1] != got[-1][1] and len({r for r, _ in got}) > 4
+    real = [v for _, v in got if v is not None and v == v]
+    low = {}
+    for r, v in got:
+        if v is not None and v == v:
+            low.setdefault(r, []).append(v)
+    assert len(real) == len(values) - 2 and all(max(low[a]) < min(low[b]) for a, b in zip(sorted(low), sorted(low)[1:]))
