@@ -53,6 +53,12 @@ RECORD_RATIO_NAMES = {
 FEATURES = INSTANT_FEATURES + DURATION_FEATURES
 
 
+def _is_eligible() -> Column:
+    days = [yyyymmdd(F.col(c)) for c in ("filed", "period")]
+    known = [c.isNotNull() for c in (F.col("adsh"), F.col("cik"), *days)]
+    return F.col("form").isin(ELIGIBLE_FORMS) & known[0] & known[1] & known[2] & known[3]
+
+
 def eligible_submissions(sub: DataFrame) -> DataFrame:
     """Annual and quarterly reports with usable ids and dates."""
     out = sub.filter(F.col("form").isin(ELIGIBLE_FORMS)).withColumns(
@@ -70,13 +76,18 @@ def facts_of(num: DataFrame, submissions: DataFrame) -> DataFrame:
     return num.join(submissions.select("adsh"), "adsh", "left_semi")
 
 
+def _is_usable(num: DataFrame) -> Column:
+    kept = F.col("tag").isin(list(TAG_FEATURES)) & (F.col("uom") == "USD")
+    return kept & (F.coalesce(F.col("coreg"), F.lit("")) == "") if "coreg" in num.columns else kept
+
+
+def _feature() -> Column:
+    return F.create_map(*[F.lit(x) for pair in TAG_FEATURES.items() for x in pair])[F.col("tag")]
+
+
 def usable_facts(num: DataFrame) -> DataFrame:
     """USD facts of the consolidated entity for mapped tags, with their feature name."""
-    table = F.create_map(*[F.lit(x) for pair in TAG_FEATURES.items() for x in pair])
-    kept = num.filter(F.col("tag").isin(list(TAG_FEATURES))).filter(F.col("uom") == "USD")
-    if "coreg" in num.columns:
-        kept = kept.filter(F.coalesce(F.col("coreg"), F.lit("")) == "")
-    return kept.withColumns({"feature": table[F.col("tag")], "ddate": yyyymmdd(F.col("ddate"))})
+    return num.filter(_is_usable(num)).withColumns({"feature": _feature(), "ddate": yyyymmdd(F.col("ddate"))})
 
 
 def canonical_facts(num: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -92,17 +103,17 @@ def _base_form(form: Column) -> Column:
     return F.replace(form, F.lit("/A"), F.lit(""))
 
 
+def _fits_period(instant: Column, quarters: Column) -> Column:
+    base = _base_form(F.col("form"))
+    long = ((base == "10-Q") & quarters.isin(1, 2, 3)) | ((base == "10-K") & (quarters == 4))
+    return (F.col("ddate") == F.col("period")) & F.when(instant, quarters == 0).otherwise(long)
+
+
 def period_correct_facts(facts: DataFrame) -> DataFrame:
     """Facts for the filing's own period with a duration that fits the form."""
     quarters = F.col("qtrs").try_cast("int")
-    base = _base_form(F.col("form"))
-    instant = F.col("feature").isin(INSTANT_FEATURES) & (quarters == 0)
-    duration = F.col("feature").isin(DURATION_FEATURES) & (
-        ((base == "10-Q") & quarters.isin(1, 2, 3)) | ((base == "10-K") & (quarters == 4))
-    )
-    return facts.withColumn("qtrs", quarters).filter(
-        (F.col("ddate") == F.col("period")) & (instant | duration)
-    )
+    instant, known = F.col("feature").isin(INSTANT_FEATURES), F.col("feature").isin(FEATURES)
+    return facts.withColumn("qtrs", quarters).filter(known & _fits_period(instant, quarters))
 
 
 def _preference(facts: DataFrame) -> Column:
@@ -191,40 +202,47 @@ def fundamentals(sub: DataFrame, num: DataFrame, forms: list[str] = TARGET_FORMS
 def quarter_funnel(sub: DataFrame, num: DataFrame, forms: list[str] = TARGET_FORMS) -> DataFrame:
     """Counts per stage and source quarter, from raw submissions to panel rows.
 
-    Counts of every stage are taken per quarter before they are joined, so the join
-    handles one row per quarter.  Text samples of the raw columns become their
-    smallest and largest value.
+    Facts are read once and reduced, before they meet their submission, to counts per
+    (adsh, period, duration, kind); one aggregate per submission then tells all later stages.
+    Text samples of the raw columns become their smallest and largest value.
     """
-    eligible = eligible_submissions(sub)
-    chosen = target_forms(eligible, forms)
-    wanted = facts_of(num, chosen)
-    facts = canonical_facts(num.drop("source_quarter"), chosen.select(*_submission_columns(chosen)))
-    quarter_of = chosen.select("adsh", "source_quarter")
-    panel = submission_matrix(period_correct_facts(facts)).select("adsh", "filed")
     count = F.count(F.lit(1))
+    eligible = eligible_submissions(sub)
     raw = sub.groupBy("source_quarter").agg(
         count.alias("raw_submissions"),
         F.count_if(F.col("filed").isNull()).alias("filed_nulls"),
         F.min(F.col("form")).alias("form_min"),
         F.max(F.col("form")).alias("form_max"),
+        F.count_if(_is_eligible()).alias("eligible_submissions"),
+    )
+    chosen = target_forms(eligible, forms).select(*_submission_columns(eligible), "source_quarter")
+    usable = F.coalesce(_is_usable(num), F.lit(False))
+    kind = F.when(usable, F.col("feature").isin(INSTANT_FEATURES))
+    facts = num.withColumn("feature", _feature()).select(
+        "adsh",
+        kind.alias("instant"),
+        F.when(usable, yyyymmdd(F.col("ddate"))).alias("ddate"),
+        F.when(usable, F.col("qtrs").try_cast("int")).alias("qtrs"),
+    )
+    facts = facts.groupBy(*facts.columns).agg(count.alias("n"))
+    fits = F.coalesce(_fits_period(F.col("instant"), F.col("qtrs")), F.lit(False))
+    per_submission = chosen.join(facts, "adsh", "left").groupBy(*chosen.columns).agg(
+        F.sum("n").alias("numeric_rows"),
+        F.sum(F.when(F.col("instant").isNotNull(), F.col("n"))).alias("canonical_facts"),
+        F.max(fits).alias("in_panel"),
+    )
+    panel_day = F.when(F.col("in_panel"), F.col("filed"))
+    stages = per_submission.groupBy("source_quarter").agg(
+        count.alias("target_submissions"),
+        F.sum("numeric_rows").alias("numeric_rows"),
+        F.sum("canonical_facts").alias("canonical_facts"),
+        F.count_if("in_panel").alias("panel_rows"),
+        F.min(panel_day).alias("panel_filed_min"),
+        F.max(panel_day).alias("panel_filed_max"),
     )
-    stages = [
-        eligible.groupBy("source_quarter").agg(count.alias("eligible_submissions")),
-        chosen.groupBy("source_quarter").agg(count.alias("target_submissions")),
-        wanted.groupBy("adsh").agg(count.alias("n")).join(quarter_of, "adsh")
-        .groupBy("source_quarter").agg(F.sum("n").alias("numeric_rows")),
-        facts.groupBy("adsh").agg(count.alias("n")).join(quarter_of, "adsh")
-        .groupBy("source_quarter").agg(F.sum("n").alias("canonical_facts")),
-        panel.join(quarter_of, "adsh").groupBy("source_quarter").agg(
-            count.alias("panel_rows"),
-            F.min("filed").alias("panel_filed_min"),
-            F.max("filed").alias("panel_filed_max"),
-        ),
-    ]
-    for stage in stages:
-        raw = raw.join(stage, "source_quarter", "left")
-    counts = [c for c in raw.columns if c.endswith(("submissions", "rows", "facts"))]
-    return raw.fillna(0, subset=counts)
+    out = raw.join(stages, "source_quarter", "left")
+    counts = [c for c in out.columns if c.endswith(("submissions", "rows", "facts"))]
+    return out.fillna(0, subset=counts)
 
 
 def _submission_columns(df: DataFrame) -> list[str]:
