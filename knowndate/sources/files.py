@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knowndate.sources.streams import blocks, streamed_uri
+
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Path, size and sha256 of files below a folder.
 
-    One file is one row, so this is for source archives of up to about a gigabyte.
+    Tasks read the files in blocks, so a file may be larger than memory.  Where only Spark
+    reaches the store, a file is one binary value of at most two gigabytes.
     """
     files = (
         spark.read.format("binaryFile")
@@ -17,14 +23,31 @@ def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    return files.select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("name"),
-        "path",
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    name = F.regexp_extract("path", "([^/]+)$", 1).alias("name")
+    some = files.select("path").first()
+    if some is not None and streamed_uri(some["path"]) is None:
+        return files.select(name, "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def digests(batches):
+        for batch in batches:
+            found = [_digest(path) for path in batch.column("path").to_pylist()]
+            yield batch.append_column("sha256", pa.array(found, pa.string()))
+
+    # the listing alone: no content is loaded; one file per task as far as there are tasks
+    listed = files.select(name, "path", F.col("length").alias("bytes"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(tasks, F.xxhash64("path")).mapInArrow(
+        digests, "name string, path string, bytes long, sha256 string"
     )
 
 
+def _digest(path: str) -> str:
+    digest = hashlib.sha256()
+    for block in blocks(path):
+        digest.update(block)
+    return digest.hexdigest()
+
+
 def cache_audit(plan: DataFrame, manifest: DataFrame) -> DataFrame:
     """Expected quarters against the archives present."""
     quarter = F.regexp_extract("name", r"^(\d{4}q[1-4])", 1)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from knowndate.functions.keys import cik_filing_key, yyyymmdd, zero_pad
 from knowndate.operators.checks import need_columns
 from knowndate.operators.cohort import FACT_COLUMNS, SUBMISSION_COLUMNS
+from knowndate.sources.streams import ZipTables, member_of, streamed_uri, tsv_batches
 
 # --- fixed values -----------------------------------------------------------
 NAME_SOURCE_REQUIRED = ["adsh", "cik", "name", "filed"]
@@ -51,7 +52,6 @@ PROVIDER = "EODHD"
 MAX_DOCUMENT_BYTES = 8_000_000
 # ----------------------------------------------------------------------------
 
-_BATCH_ROWS = 50_000
 _QUARTER = r"(\d{4}q[1-4])"
 
 
@@ -74,31 +74,31 @@ def quarter_plan(spark: SparkSession, start_year: int, end_year: int, end_quarte
 def read_zip_tables(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
     """TSV member ``<table>.txt`` of zip archives → text columns and ``source_quarter``.
 
-    One archive per task; its member is streamed in batches, never held whole as a
-    frame.  Columns an archive lacks come back as NULL.  Land archives as parquet once
-    (``write_partitioned``) and read that from then on.
+    One archive per task, which streams the member from the file system in batches, so neither the
+    archive nor the member has to fit in memory.  Where only Spark reaches the store, an archive is one
+    binary value of at most two gigabytes.  Columns an archive lacks come back as NULL.  Land archives as parquet
+    once (``write_partitioned``) and read that from then on.
     """
     wanted = list(columns)
-    member = f"{table.lower()}.txt"
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    found = {n.lower(): n for n in archive.namelist()}
-                    tsv = member if member in found else member.replace(".txt", ".tsv")
-                    with archive.open(found[tsv]) as raw:
-                        chunks = pd.read_csv(
-                            raw, sep="\t", dtype=str, chunksize=_BATCH_ROWS, quoting=3
-                        )
-                        for chunk in chunks:
-                            chunk = chunk.reindex(columns=wanted)
-                            chunk.insert(0, "path", name)
-                            yield chunk.astype(object).where(chunk.notna(), None)
-
-    schema = "path string, " + ", ".join(f"`{c}` string" for c in wanted)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    rows = files.select("path", "content").mapInPandas(members, schema)
+    paths = sorted(r["path"] for r in files.select("path").collect())  # one name per archive
+    if all(streamed_uri(p) for p in paths):
+        spark.dataSource.register(ZipTables)
+        options = {"paths": "\n".join(paths), "table": table, "columns": "\n".join(wanted)}
+        rows = spark.read.format(ZipTables.name()).options(**options).load()
+    else:
+        schema = "path string, " + ", ".join(f"`{c}` string" for c in wanted)
+
+        def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for name, content in zip(batch["path"], batch["content"]):
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        with archive.open(member_of(archive.namelist(), table)) as raw:
+                            for chunk in tsv_batches(raw, wanted):
+                                chunk.insert(0, "path", name)
+                                yield chunk
+
+        rows = files.select("path", "content").mapInPandas(members, schema)
     return rows.select(
         *wanted, F.regexp_extract("path", _QUARTER, 1).alias("source_quarter")
     )
