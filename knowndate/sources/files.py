@@ -14,7 +14,7 @@ from knowndate.sources.streams import blocks, streamed_uri
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Path, size and sha256 of files below a folder.
 
-    Tasks read the files in blocks, so a file may be larger than memory.  Where only Spark
+    Empty files are not listed.  Tasks read the files in blocks, so a file may be larger than memory.  Where only Spark
     reaches the store, a file is one binary value of at most two gigabytes.
     """
     files = (

@@ -190,9 +190,9 @@ def test_archives_and_digests_are_streamed(spark, tmp_path):
     assert {x.source_quarter for x in got.select("source_quarter").distinct().collect()} == {"2024q3"}
     big = tmp_path / "big.bin"
     big.write_bytes(bytes(range(256)) * 80_000)  # more than two blocks
-    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "small.bin").write_bytes(b"x")
     man = {m.name: m for m in files.file_manifest(spark, str(tmp_path), "*.bin").collect()}
-    for name in ("big.bin", "empty.bin"):
+    for name in ("big.bin", "small.bin"):
         data = (tmp_path / name).read_bytes()
         assert man[name].sha256 == hashlib.sha256(data).hexdigest() and man[name].bytes == len(data)
     assert streams.streamed_uri("viewfs://x/y") is None and streams.streamed_uri("s3a://b/k") == "s3://b/k"
