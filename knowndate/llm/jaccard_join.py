@@ -8,13 +8,13 @@ most k parts can differ, so linked sets agree on t + 1 parts at least: a signatu
 need no signature. Sets with more empty parts repeat the scheme under another hash.
 
 Equal sets are one node before anything is joined. A group of nodes with one signature never emits its pairs: each
-node meets the group's smallest node, its hub. What else may link is found per hub:
+node meets the group's smallest node, its hub. Then
 
-* up to ``SMALL`` nodes around a hub: their pairs, pruned by parity sketches (a lower bound on the difference);
-* more: through the differences to the hub. If x and y link and x doesn't link with the hub, their differences
-  d(x), d(y) share at least (|d(x)| + |d(y)| - H(x,y)) / 2 elements, so prefixes of the rarest elements of the
-  differences must meet; nodes that only share the hub's own text never meet again. The differences are taken to the
-  node next to the group's consensus.
+* each hub is held against its group: pairs whose sizes and parity sketches (a lower bound on the difference, with at
+  least two cells an element) allow a link are verified, and the links found make the first classes;
+* groups whose nodes are still in several classes are held together, packed in chunks of bounded size: of each pair of
+  classes the ``FEW`` pairs with the nearest sketches are verified and the classes joined, then whatever pairs of
+  different classes are left. Pairs within a class are never made.
 
 Every candidate is verified on the sets themselves. Nodes and elements are 64-bit hashes; n nodes collide with odds
 n*n / 2^65 (three in a hundred for 10^9 different sets).
@@ -36,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowndate.llm.bloom import likely, passes, sent
@@ -44,11 +44,10 @@ from knowndate.llm.components import components
 from knowndate.llm.frames import written
 from knowndate.llm.hashing import K1, K2, K3, U, mix, multipliers, shingle_set, sliced, word_hashes
 
-SMALL = 32
-#: For hubs of more than CENTRE_WHOLE elements one in CENTRE_SHARE is looked at to choose a group's centre. Any choice
-#: is right, a good one saves work.
-CENTRE_WHOLE, CENTRE_SHARE = 256, 16
-SKETCH_WORDS = 8
+#: Pairs verified first for two classes of a group, and the bytes of sketches in a chunk of it.
+FEW, CHUNK_BYTES = 4, 1 << 17
+#: Least cells of a sketch; it has two for each element or more, and is a power of two.
+LEAST_CELLS = 512
 LEVELS = 5
 
 
@@ -126,10 +125,20 @@ def node_of(elements: np.ndarray) -> int:
     return int(mix(np.array([mix(elements ^ K2).sum(dtype=U) + U(len(elements))], dtype=U)).view(np.int64)[0])
 
 
-def sketch_of(elements: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements in each of 512 cells: differs in no more cells than the sets do in elements."""
-    cells = np.bincount((mix(elements ^ K1) % U(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+def sketch_of(elements: np.ndarray) -> bytes:
+    """Parity of the number of elements in each cell: differs in no more cells than the sets do in elements."""
+    cells = max(LEAST_CELLS, 1 << (2 * len(elements) - 1).bit_length() if len(elements) else 0)
+    count = np.bincount((mix(elements ^ K1) & U(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """One row per sketch, all with as many cells as the smallest: cells that fall together add their parities."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size), dtype=np.uint8)
+    for k, sketch in enumerate(sketches):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(sketch, dtype=np.uint8).reshape(-1, size), axis=0)
+    return out.view(U)
 
 
 def sets_of(column: pa.Array, like: Likeness):
@@ -151,14 +160,14 @@ def profiled(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -> Dat
             for elements in sets_of(batch.column(2), like):
                 sizes.append(len(elements))
                 nodes.append(node_of(elements) if len(elements) else None)
-                sketches.append(sketch_of(elements).tolist())
+                sketches.append(sketch_of(elements))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(sketches, pa.list_(pa.int64()))],
+                 pa.array(sketches, pa.binary())],
                 ["id", "text_key", "node", "n", "sketch"],
             )
 
-    return written(rows.mapInArrow(run, f"id {kind}, text_key long, node long, n long, sketch array<long>"))
+    return written(rows.mapInArrow(run, f"id {kind}, text_key long, node long, n long, sketch binary"))
 
 
 def signed(docs: DataFrame, like: Likeness, text_col: str, bits: Broadcast | None = None) -> DataFrame:
@@ -192,21 +201,98 @@ def candidate_stars(docs: DataFrame, like: Likeness, text_col: str) -> DataFrame
     return written(members.join(hubs, "sig").filter("node <> hub").select("hub", "node").distinct())
 
 
-def may_link(a: str, b: str, like: Likeness) -> Column:
-    """What sizes and sketches allow for rows that carry n and sketch of both sides."""
-    apart = F.aggregate(
-        F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0).cast("long"), lambda total, bits: total + bits,
-    )
-    most = F.floor(F.lit(like.of - like.at_least) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(like.of + like.at_least))
-    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & (apart <= most)
+PACK = "hub long, chunk int, node array<long>, label array<long>, n array<long>, sketch array<binary>"
+PAIRS = "a long, b long, label_a long, label_b long, apart long"
+
+
+def packed(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups (hub, node) with nodes of several labels, in chunks of bounded size; a node without a label is its own."""
+    rows = members.join(nodes.select("node", "n", "sketch"), "node").join(labels, "node", "left")
+    rows = written(rows.withColumn("label", F.coalesce("label", "node")))
+    size = F.ceil(F.sum(F.length("sketch") + 24) / CHUNK_BYTES).cast("int")
+    groups = rows.groupBy("hub").agg(size.alias("chunks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rows = rows.join(groups.filter("low <> high").select("hub", "chunks"), "hub")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    one = F.collect_list(F.struct("node", "label", "n", "sketch"))  # about CHUNK_BYTES
+    return written(rows.groupBy("hub", chunk.alias("chunk")).agg(one.alias("r")).select(
+        "hub", "chunk", *[F.col(f"r.{c}").alias(c) for c in ("node", "label", "n", "sketch")]
+    ))
+
+
+def close_pairs(left: dict, right: dict, like: Likeness, few: int | None) -> list[np.ndarray]:
+    """Columns a, b, label_a, label_b, apart of what sizes and sketches allow between two chunks and their labels.
+
+    Of the pairs of two labels only the ``few`` nearest, if given.
+    """
+    sketches = folded([*left["sketch"], *right["sketch"]])
+    x, y = sketches[: len(left["n"])], sketches[len(left["n"]) :]
+    n, m = np.array(left["n"]), np.array(right["n"])
+    label, other = np.array(left["label"]), np.array(right["label"])
+    node, with_node = np.array(left["node"]), np.array(right["node"])
+    found = []
+    for k in range(len(x)):
+        most = (like.of - like.at_least) * (n[k] + m) // (like.of + like.at_least)
+        some = np.flatnonzero((np.abs(n[k] - m) <= most) & (label[k] != other))
+        apart = np.bitwise_count(y[some] ^ x[k]).sum(axis=1, dtype=np.int64)
+        near = apart <= most[some]
+        some, apart = some[near], apart[near]
+        found.append(np.stack([np.full(len(some), node[k]), with_node[some], np.full(len(some), label[k]), other[some], apart]))
+    pairs = np.concatenate(found, axis=1)
+    swap = pairs[0] > pairs[1]
+    pairs[:4, swap] = pairs[[1, 0, 3, 2]][:, swap]
+    if few is None:
+        return list(pairs)
+    low, high = np.minimum(pairs[2], pairs[3]), np.maximum(pairs[2], pairs[3])
+    order = np.lexsort((pairs[1], pairs[0], pairs[4], high, low))
+    low, high = low[order], high[order]
+    first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return list(pairs[:, order[place < few]])
+
+
+def across(packs: DataFrame, like: Likeness, few: int | None) -> DataFrame:
+    """Pairs (a, b) of different labels in one group that may link; of two labels the ``few`` nearest, if given."""
+    right = packs.select("hub", *[F.col(c).alias(f"{c}_2") for c in ("chunk", "node", "label", "n", "sketch")])
+    both = packs.join(right, "hub").filter("chunk <= chunk_2")
+    columns = ("node", "label", "n", "sketch")
 
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                left, other = ({c: row[c + end] for c in columns} for end in ("", "_2"))
+                found = close_pairs(left, other, like, few)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], PAIR_COLUMNS)
+
+    # the chunks of a large group meet in many tasks
+    spread = both.repartition(F.xxhash64("hub", "chunk", "chunk_2"))
+    pairs = spread.mapInArrow(run, PAIRS).distinct()
+    if few is None:
+        return pairs.select("a", "b")
+    classes = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b"))
+    place = F.row_number().over(classes.orderBy("apart", "a", "b"))
+    return pairs.withColumn("place", place).filter(F.col("place") <= few).select("a", "b")
+
+
+PAIR_COLUMNS = ["a", "b", "label_a", "label_b", "apart"]
+
+
+def around_hubs(stars: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
+    """Written pairs (a, b) of a hub and a node of its group that sizes and sketches don't rule out."""
+    one = lambda c: nodes.select(F.col("node").alias(c), F.struct("n", "sketch").alias(f"of_{c}"))
+    rows = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(one("a"), "a").join(one("b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = folded([x["sketch"], y["sketch"]])
+                most = like.most(x["n"] + y["n"])
+                near.append(abs(x["n"] - y["n"]) <= most and int(np.bitwise_count(p ^ q).sum()) <= most)
+            yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
-def pruned(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches do not rule out."""
-    a = nodes.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("of_a"))
-    b = nodes.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("of_b"))
-    return pairs.join(a, "a").join(b, "b").filter(may_link("of_a", "of_b", like)).select("a", "b")
+    return written(rows.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"))
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
@@ -232,136 +318,50 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, like: L
     return written(texts.mapInArrow(run, "node long, elements binary").dropDuplicates(["node"]))
 
 
-def measured(pairs: DataFrame, sets: DataFrame, like: Likeness, differences: bool = False) -> DataFrame:
-    """Pairs (a, b) with ``link``; with ``differences`` also the sizes and the elements in which b differs from a.
-
-    Sets are sorted distinct hashes, so a difference is one sort of the two.
-    """
-    b = sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b"))
-    a = sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a"))
-    rows = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
+def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
+    """Written pairs (a, b, link): each pair held against the sets themselves (sorted distinct hashes)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = candidate_sets(docs, nodes, wanted, like, id_col, text_col)
+    one = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"set_{c}"))
+    rows = pairs.select("a", "b").join(one("b"), "b").join(one("a"), "a").select("a", "b", "set_a", "set_b")
 
     def run(batches):
         for batch in sliced(batches, 200):
-            sizes_a, sizes_b, links, apart = [], [], [], []
+            links = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-                diff = np.setxor1d(x, y, assume_unique=True)
-                sizes_a.append(len(x))
-                sizes_b.append(len(y))
-                links.append(len(diff) <= like.most(len(x) + len(y)))
-                apart.append(diff.view(np.int64) if differences else None)
+                links.append(len(np.setxor1d(x, y, assume_unique=True)) <= like.most(len(x) + len(y)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes_a, pa.int64()), pa.array(sizes_b, pa.int64()),
-                 pa.array(links, pa.bool_()), pa.array(apart, pa.list_(pa.int64()))],
-                ["a", "b", "n_a", "n_b", "link", "apart"],
+                [batch.column(0), batch.column(1), pa.array(links, pa.bool_())], ["a", "b", "link"]
             )
 
-    out = rows.mapInArrow(run, "a long, b long, n_a long, n_b long, link boolean, apart array<long>")
-    return out if differences else out.select("a", "b", "link")
-
-
-def around_large_hubs(stars: DataFrame, like: Likeness) -> DataFrame:
-    """Candidate pairs (a, b) among the nodes around each hub, of which one at least doesn't link with the hub.
-
-    ``stars``: hubs as a, nodes as b, with sizes, link and the elements in which they differ.
-    """
-    c, d = F.lit(like.c), F.size("apart").cast("double")
-    over = d - c * (F.col("n_a") + F.col("n_b"))  # > 0 where the node doesn't link with the hub
-    of_unlinked = (over + (1 - c) * F.greatest(F.lit(1.0), over / (1 + c))) / 2
-    of_any = (d + c * (F.col("n_a") - F.col("n_b"))) / 2
-    slack = F.lit(1e-6)
-    need = lambda o: F.greatest(F.lit(1), F.ceil(o - slack)).cast("int")
-    loose = stars.filter("not link").select("a").distinct()
-    rows = stars.join(loose, "a", "left_semi").select(
-        F.col("a").alias("hub"), F.col("b").alias("node"), "link",
-        F.when(~F.col("link"), F.size("apart") - need(of_unlinked) + 1).otherwise(0).alias("long_prefix"),
-        (F.size("apart") - need(of_any) + 1).alias("prefix"),
-        F.size("apart").alias("d"), F.col("n_b").alias("n"), F.explode("apart").alias("element"),
-    )
-    rows = written(rows)
-    rare = rows.groupBy("hub", "element").agg(F.count("*").alias("m")).filter("m > 1")
-    # an element that no other node has cannot meet anything, but it takes a place of the prefix
-    ranked = rows.join(rare, ["hub", "element"], "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn(
-        "place", F.row_number().over(Window.partitionBy("hub", "node").orderBy("m", "element"))
-    )
-    shared = written(ranked.filter("m > 1 and place <= greatest(prefix, long_prefix)"))
-    a = shared.filter("not link and place <= long_prefix").alias("x")
-    b = shared.filter("place <= prefix").alias("y")
-    # what two nodes share before their first common element is nothing, and behind it no more than the shorter rest
-    most = F.floor(F.lit(like.of - like.at_least) * (F.col("x.n") + F.col("y.n")) / F.lit(like.of + like.at_least))
-    overlap = (F.col("x.d") + F.col("y.d") - most) / 2
-    rest = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place"))
-    meet = (
-        (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element"))
-        & (F.col("x.node") != F.col("y.node")) & (1 + rest >= overlap)
-    )
-    return a.join(b, meet).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    ).distinct()
-
-
-def central_stars(stars: DataFrame) -> DataFrame:
-    """Candidate stars (a, b) around a more central node of each group, for groups with nodes that don't link with the hub.
-
-    The consensus of a group is its hub changed in all elements in which most nodes differ from it. The node next to
-    the consensus links with more of the others, and their differences to it have fewer elements in common.
-    """
-    loose = stars.filter("not link").select("a").distinct()
-    group = stars.join(loose, "a", "left_semi").select(
-        F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), "apart"
-    )
-    sizes = group.groupBy("hub").agg(F.count("*").alias("m"))
-    part = F.filter("apart", lambda e: F.pmod(e, F.lit(CENTRE_SHARE)) == 0)
-    some = F.when(F.col("n_hub") > CENTRE_WHOLE, part).otherwise(F.col("apart"))
-    elements = group.select("hub", "node", F.explode(some).alias("element"))
-    common = elements.groupBy("hub", "element").agg(F.count("*").alias("n")).join(sizes, "hub").filter("2 * n > m")
-    common = common.select("hub", "element")
-    agreed = elements.join(common, ["hub", "element"]).groupBy("hub", "node").agg(F.count("*").alias("agreed"))
-    centre = group.select("hub", "node", F.size(some).alias("d")).join(agreed, ["hub", "node"], "left").groupBy("hub").agg(
-        F.min(F.struct((F.col("d") - 2 * F.coalesce("agreed", F.lit(0))).alias("off"), "node")).alias("best")
-    ).select("hub", F.col("best.node").alias("centre"))
-    members = group.select("hub", "node").union(group.select("hub", F.col("hub").alias("node")).distinct())
-    return members.join(centre, "hub").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    return written(rows.mapInArrow(run, "a long, b long, link boolean"))
 
 
 def links(docs: DataFrame, profile: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
-    """Written links (a, b) between nodes: enough of them to connect whatever links connect, each of them verified."""
+    """(node, label) of the linked nodes, from links that connect whatever links connect, each of them verified."""
     nodes = written(
         profile.filter("node is not null").groupBy("node").agg(
             F.min("n").alias("n"), F.min(F.struct("id", "text_key", "sketch")).alias("one")
         ).select("node", "n", "one.*")
     )
     stars = candidate_stars(docs, like, text_col)
-    sized = stars.groupBy("hub").agg(F.count("*").alias("m"))
-    sized = stars.join(sized, "hub")
-    small = sized.filter(F.col("m") <= SMALL).select("hub", "node")
-    large = written(sized.filter(F.col("m") > SMALL).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    around = small.groupBy("hub").agg(F.collect_set("node").alias("near"))  # at most SMALL nodes
-    near = around.select(
-        F.explode(F.transform(F.concat(F.array("hub"), "near"), lambda x, i: F.struct(
-            x.alias("x"), F.slice(F.concat(F.array("hub"), "near"), i + 2, F.lit(SMALL + 1)).alias("ys")
-        ))).alias("p")
-    ).select(F.col("p.x").alias("x"), F.explode("p.ys").alias("y"))
-    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    near = written(pruned(near, nodes, like))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).union(
-        large.select(F.explode(F.array("a", "b")).alias("node"))
-    )
-    sets = candidate_sets(docs, nodes, wanted, like, id_col, text_col)
-    hubs = written(measured(large, sets, like, differences=True))
-    centres = written(measured(written(central_stars(hubs)), sets, like, differences=True))
-    more = written(pruned(around_large_hubs(centres, like), nodes, like))
-    found = measured(near.union(more), sets, like).select("a", "b", "link")
-    for stars in (hubs, centres):
-        found = found.union(stars.select("a", "b", "link"))
-    return written(found.filter("link").select("a", "b"))
+    tried = linked(docs, nodes, around_hubs(stars, nodes, like), like, id_col, text_col)
+    members = written(stars.union(stars.select("hub", F.col("hub").alias("node")).distinct()))
+    found = tried.filter("link").select("a", "b")
+    for few in (FEW, None):
+        labels = components(found)
+        pairs = across(packed(members, nodes, labels), like, few).distinct()
+        pairs = written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        more = linked(docs, nodes, pairs, like, id_col, text_col)
+        tried, found = tried.union(more), found.union(more.filter("link").select("a", "b"))
+    return components(found)
 
 
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id of its class)."""
     profile = profiled(docs, like, id_col, text_col)
-    labels = components(links(docs, profile, like, id_col, text_col))
+    labels = links(docs, profile, like, id_col, text_col)
     placed = profile.join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
     smallest = written(placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id")))
     return placed.join(smallest, "label", "left").select(
@@ -373,7 +373,7 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
 def one_of_each(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; rows without words all stay."""
     profile = profiled(docs, like, id_col, text_col)
-    labels = components(links(docs, profile, like, id_col, text_col))
+    labels = links(docs, profile, like, id_col, text_col)
     row = lambda c, key: F.xxhash64(F.coalesce(c.cast("string"), F.lit("\0")), key)
     placed = written(
         profile.filter("node is not null").join(labels, "node", "left")
