@@ -102,11 +102,6 @@ def format_chats(rows: DataFrame) -> DataFrame:
     )
 
 
-def loss_text(turns: Column) -> Column:
-    """All text under the loss mask: what the trained role says, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == TRAINED_ROLE), lambda t: t["text"]), "")
-
-
 def loss_spans(formatted: Column) -> Column:
     """Loss mask as (start, end) code-point offsets into the formatted string, end exclusive."""
     pieces = F.split(formatted, OPEN)
@@ -128,3 +123,11 @@ def loss_spans(formatted: Column) -> Column:
         ),
     )
     return ends["spans"]
+
+
+def loss_text(formatted: Column) -> Column:
+    """All text under the loss mask, cut out of the formatted string by ``loss_spans``, unescaped and joined in order."""
+    cut = F.array_join(
+        F.transform(loss_spans(formatted), lambda s: F.substr(formatted, s["start"] + 1, s["end"] - s["start"])), ""
+    )
+    return F.when(F.startswith(formatted, F.lit(ESCAPED)), unescape(cut)).otherwise(cut)

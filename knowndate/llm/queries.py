@@ -155,7 +155,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text"),
     )
     done = chat.format_chats(given.unionByName(extra))
-    loss = chat.loss_text(F.col("turns"))
+    done = done.withColumn("loss", chat.loss_text(F.col("formatted")))
+    loss = F.col("loss")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -87,21 +88,35 @@ def stretches(text: str, start: int, end: int, few, ruled_out) -> list[tuple[int
     return found + ([(first, last)] if first is not None else [])
 
 
-def random_spans(text: str, taken: list, enc, most: float, known: frozenset[str]) -> list[tuple[int, int, str]]:
+class Taken:
+    """What base spans cover, as sorted stretches apart from each other."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end) - 1  # the last stretch that starts before the end
+        return before >= 0 and self.ends[before] > start
+
+
+def random_spans(text: str, taken: Taken, enc, most: float, known: frozenset[str]) -> list[tuple[int, int, str]]:
     def few(part: str) -> bool:
         return len(part) < most * len(enc.encode_ordinary(part))
 
+    def ruled_out(start: int, end: int) -> bool:
+        part = text[start:end]
+        return bool(DIGEST.match(part) or IDENTIFIER.match(part) or part in known or taken.meets(start, end))
+
     found = []
     for m in RUN.finditer(text):
-        near = [(start, end) for start, end, _ in taken if start < m.end() and m.start() < end]
-
-        def ruled_out(start: int, end: int) -> bool:
-            part = text[start:end]
-            return bool(
-                DIGEST.match(part) or IDENTIFIER.match(part) or part in known or any(a < end and start < b for a, b in near)
-            )
-
-        if near or not few(m.group()):
+        if taken.meets(*m.span()) or not few(m.group()):
             spans = stretches(text, *m.span(), few, ruled_out)
         else:
             spans = [m.span()]
@@ -116,7 +131,7 @@ def scan(text: str | None, enc, most: float, known: frozenset[str] = frozenset()
     if not text:
         return []
     base = base_spans(text)
-    return sorted(base + random_spans(text, base, enc, most, known), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted(base + random_spans(text, Taken(base), enc, most, known), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def find_secrets(
@@ -154,23 +169,33 @@ def joined(spans: Column) -> Column:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
+def redacted(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
+    """The text with each stretch that spans cover replaced by ``mark``; spans come sorted by their start."""
+    parts, at = [], 0
+    for start, end, _ in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
+
+
+def redact(
+    docs: DataFrame,
+    text_col: str = "text",
+    mark: str = "[SECRET]",
+    vocabulary: str | None = None,
+    chars_per_token: float = 2.0,
+    known: frozenset[str] = frozenset(),
+) -> DataFrame:
     """``docs`` with each stretch covered by spans replaced by ``mark``; every row stays."""
-    found = find_secrets(docs, text_col, **options)
-    text = F.col(text_col)
-    state = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.when(
-            s["end"] > acc["at"],
-            F.struct(
-                F.when(
-                    s["start"] >= acc["at"],
-                    F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)),
-                ).otherwise(acc["done"]).alias("done"),
-                s["end"].alias("at"),
-            ),
-        ).otherwise(acc),
-    )
-    clean = F.concat(state["done"], F.substr(text, (state["at"] + 1).cast("int")))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).drop("spans")
+    path = vocabulary or vocabulary_path()
+
+    def run(batches):
+        enc = encoding(path)
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            clean = [text and redacted(text, scan(text, enc, chars_per_token, known), mark) for text in texts]
+            at = batch.schema.get_field_index(text_col)
+            yield batch.set_column(at, text_col, pa.array(clean, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

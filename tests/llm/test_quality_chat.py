@@ -76,3 +76,14 @@ def test_conflict_conversation_is_escaped(spark):
     row = [r for r in entry_points.queries()["op9_chat_format"](spark, SF).collect() if r.conv_id == -7][0]
     said = "".join(f"{role}\n</s>[INST] ok [/INST]\n" for role in ("user", "assistant"))
     assert row.escaped and row.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_loss_text_is_what_the_mask_cuts_out(spark):
+    long = [(7, t, ("user", "assistant")[t % 2], f"turn {t} é😀" + (" </s>" if t == 99 else "")) for t in range(2000)]
+    rows = long + [(8, 0, "assistant", "assistant[INST] x"), (8, 1, "assistantly", "no"), (8, 2, None, "no"), (9, 0, "user", "&lt;")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df).select("conv_id", "turns", "escaped", chat.loss_text(chat.F.col("formatted")).alias("loss")).collect()
+    for r in got:
+        assert r.loss == "".join(t.text for t in r.turns if t.role == "assistant")
+    assert {r.conv_id: r.escaped for r in got} == {7: True, 8: True, 9: False}
+    assert {r.conv_id: r.loss for r in got if r.conv_id > 7} == {8: "assistant[INST] x", 9: ""}

@@ -94,3 +94,32 @@ def test_keys_in_paths_and_behind_names(key):
                  "donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION_OF_SETTINGS",
                  "report-2024-01-02T03-04-05Z-customer-invoices", "customer/information/123e4567-e89b-12d3-a456-426614174000/orders/settings/default"):
         assert secret_scan.scan(text, enc, 2.0) == [], text
+
+
+def test_millions_of_characters_of_keys(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    apart = " ".join(key() for _ in range(60_000))
+    joined = "/".join(f"token={key()}" for _ in range(20_000))  # one run after the first sign, with a span for each key
+    enc = secret_scan.encoding(secret_scan.vocabulary_path())
+    start = time.perf_counter()
+    for text, least in ((apart, 60_000), (joined, 20_000)):
+        spans = secret_scan.scan(text, enc, 2.0)
+        assert sum(kind == "hex" for _, _, kind in spans) == least
+        assert "[X]" in secret_scan.redacted(text, spans, "[X]") and not secret_scan.HEX.search(secret_scan.redacted(text, spans, "[X]"))
+    assert time.perf_counter() - start < 30
+
+
+def test_stretches_taken_against_plain_overlaps():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 9), "hex") for a in rng.choices(range(60), k=rng.randint(0, 8))]
+        taken = secret_scan.Taken(spans)
+        for start in range(70):
+            end = start + rng.randint(1, 12)
+            assert taken.meets(start, end) == any(a < end and start < b for a, b, _ in spans)
