@@ -266,6 +266,18 @@ def with_rates(mixed: DataFrame, steps: Steps, id_col: str = "doc_id") -> DataFr
     return out.withColumn("copies", (whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
 
 
+#: Copies that one array numbers.
+BLOCK = 1024
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as ``copies`` says, without that column; blocks are numbered first, so no array grows with a rate."""
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / BLOCK))
+    spread = rows.filter("copies > 0").withColumn("__block", F.explode(blocks))
+    inside = F.sequence(F.lit(1).cast("long"), F.least(F.lit(BLOCK).cast("long"), F.col("copies") - BLOCK * F.col("__block")))
+    return spread.withColumn("__copy", F.explode(inside)).drop("__block", "__copy", "copies")
+
+
 def quality_domains(labels: DataFrame) -> DataFrame:
     """Domains of the labelled table: toxic, else good or poor by quality; rows without both labels are left out."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")

@@ -161,3 +161,11 @@ def test_pipeline_keeps_all_good_documents(spark):
     told = {r.doc_id for r in labels.filter("quality = 1 and toxic = 0").join(docs, "doc_id").collect()}
     assert likely - {r.doc_id for r in labels.collect()} and not likely - kept
     assert not told - kept, (len(told), len(told - kept))
+
+
+def test_rows_are_repeated_in_blocks(spark):
+    wanted = {1: 0, 2: 1, 3: 1023, 4: 1024, 5: 1025, 6: 1_000_000}
+    rows = spark.createDataFrame([(k, n) for k, n in wanted.items()] + [(7, None)], "doc_id long, copies long")
+    got = mixing.repeated(rows)
+    assert got.columns == ["doc_id"]
+    assert {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == {k: n for k, n in wanted.items() if n}
