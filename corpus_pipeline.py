@@ -39,7 +39,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = written(mixing.with_posteriors(docs.select("doc_id", "text"), model).drop("text"))
     steps = mixing.fit_rates(mixed, DOMAINS, TARGETS, keep=("good", 1.05), whole="good")
     rows = mixing.with_rates(mixing.with_posteriors(docs, model), steps)
-    return rows.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixing.repeated(rows).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
