@@ -15,7 +15,9 @@ SAMPLE = [
     "s18_positioned_words", "s19_list_source_index", "g08_identifier_promotion", "w03_issuer_market_features",
     "f03_name_similarity", "j15_name_coverage", "a11_candidate_strength", "a12_discovery_comparison", "a18_tie_composition",
     "k01_k02_hard_case_discovery", "p16_depth_probe", "s21_document_text", "s25_cache_audit", "s26_snapshot_check",
-    "f18_logits", "w12_document_selection", "g11_line_fidelity_gate_default",
+    "f18_logits", "w12_document_selection", "g11_line_fidelity_gate_default", "a07_quarter_funnel",
+    "m07_platt_calibration", "m07_isotonic_calibration", "m12_calibration_diagnostics", "m13_probability_evidence",
+    "m14_cluster_bootstrap", "m01_exact_quantiles", "m10_quantile_bins", "w10_security_master_audit",
 ]
 NAMES = sorted(entry_points.oracle_sql()) if os.environ.get("KNOWNDATE_ALL_QUERIES") else SAMPLE
 
