@@ -26,6 +26,7 @@ SECURITY_MARKET_FEATURES = [
     "downside_vol_63d", "max_loss_63d",
 ]
 TRADING_DAYS = 252
+QUARTER_ROWS = 63
 # ----------------------------------------------------------------------------
 
 
@@ -33,7 +34,8 @@ class _History:
     """Window expressions over one price history.
 
     Spark re-reads a sliding frame for every row, so counts come from running totals; values come from frames, whose
-    errors end with the frame. NaN prices and volumes count as missing.
+    errors end with the frame. The high of four quarters is the highest of four quarterly highs, so the longest frame
+    that is re-read has 63 rows. NaN prices and volumes count as missing.
     """
 
     def __init__(self, key: str):
@@ -63,11 +65,19 @@ class _History:
         spread = self.rolling(F.stddev_samp, column, rows, least)
         return F.try_divide(F.col(column) - self.rolling(F.avg, column, rows, least), spread)
 
-    def below_high(self, rows: int, least: int) -> Column:
-        return F.try_divide(F.col("close"), self.rolling(F.max, "close", rows, least)) - 1
+    def quarter_high(self) -> Column:
+        """Highest close of the last 63 rows, however few are known."""
+        return F.max("close").over(self.order.rowsBetween(-(QUARTER_ROWS - 1), W.currentRow))
 
+    def below_high(self, quarters: int, least: int) -> Column:
+        """Distance from the high of the last quarters, made of the column ``__high``."""
+        earlier = [F.lag("__high", k * QUARTER_ROWS).over(self.order) for k in range(1, quarters)]
+        high = F.greatest("__high", *earlier) if earlier else F.col("__high")
+        known = self.enough("close", quarters * QUARTER_ROWS, least)
+        return F.when(known, F.try_divide(F.col("close"), high) - 1)
 
-_WORK = ["__daily", "__loss", "__n_close", "__n_volume", "__n___daily", "__n___loss"]
+
+_WORK = ["__daily", "__high", "__loss", "__n_close", "__n_volume", "__n___daily", "__n___loss"]
 
 
 def _known(prices: DataFrame) -> DataFrame:
@@ -81,12 +91,12 @@ def issuer_market_features(prices: DataFrame, key: str = "cik") -> DataFrame:
     h = _History(key)
     year = math.sqrt(TRADING_DAYS)
     p = _known(prices).withColumn("__daily", h.change("close", 1))
-    p = h.counted(p, ["close", "volume", "__daily"])
+    p = h.counted(p, ["close", "volume", "__daily"]).withColumn("__high", h.quarter_high())
     out = p.withColumns(
         {
             **{f"ret_{n}d": h.change("close", n) for n in (21, 63, 252)},
             "vol_63d": h.rolling(F.stddev_samp, "__daily", 63, 20) * year,
-            "drawdown_252d": h.below_high(252, 20),
+            "drawdown_252d": h.below_high(4, 20),
             "volume_z_63d": h.zscore("volume", 63, 20),
         }
     )
@@ -99,15 +109,15 @@ def security_market_features(prices: DataFrame, key: str = "security_id") -> Dat
     year = math.sqrt(TRADING_DAYS)
     p = _known(prices).withColumn("__daily", h.change("close", 1))
     p = p.withColumn("__loss", F.when(F.col("__daily") < 0, F.col("__daily")))
-    p = h.counted(p, ["close", "volume", "__daily", "__loss"])
+    p = h.counted(p, ["close", "volume", "__daily", "__loss"]).withColumn("__high", h.quarter_high())
     least = {21: max(10, 21 // 3), 63: max(10, 63 // 3)}
     out = p.withColumns(
         {
             **{f"ret_{n}d": h.change("close", n) for n in (5, 21, 63, 126, 252)},
             **{f"vol_{n}d": h.rolling(F.stddev_samp, "__daily", n, m) * year for n, m in least.items()},
             **{f"volume_z_{n}d": h.zscore("volume", n, m) for n, m in least.items()},
-            "drawdown_63d": h.below_high(63, 20),
-            "drawdown_252d": h.below_high(252, 20),
+            "drawdown_63d": h.below_high(1, 20),
+            "drawdown_252d": h.below_high(4, 20),
             "downside_vol_63d": h.rolling(F.stddev_samp, "__loss", 63, 20) * year,
             "max_loss_63d": h.rolling(F.min, "__daily", 63, 20),
         }
