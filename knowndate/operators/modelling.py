@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark import SparkContext
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from knowndate.operators.checks import need_columns
 from knowndate.operators.labels import LABEL
 from knowndate.operators.metrics import ranking_metrics
 from knowndate.operators.sequences import standardized, train_statistics
+from knowndate.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 BASELINE_FEATURES = [
@@ -23,6 +25,7 @@ BASELINE_FEATURES = [
 LEARNING_RATE = 0.05
 MIN_LEAF_ROWS = 40
 VALIDATION_SHARE = 0.15
+PATIENCE = 25
 # ----------------------------------------------------------------------------
 
 
@@ -132,39 +135,99 @@ def train_boosted_tree(
     iterations: int = 300,
     depth: int = 5,
     key: str = "adsh",
+    patience: int = PATIENCE,
 ) -> Trained:
     """Gradient-boosted trees with positive weight (1 - prevalence) / prevalence.
 
-    Early stopping uses a share of the training rows chosen by a hash of ``key``, so the
-    choice survives recomputation. Training ends at the first iteration that doesn't lower
-    their loss: Spark has neither a patience nor an L2 term for leaves.
+    Early stopping watches a share of the training rows chosen by a hash of ``key``, so the choice
+    survives recomputation: training ends once their weighted loss has not fallen for ``patience``
+    iterations, and the trees after the lowest loss are cut off (see ``_boosted``). A share without rows
+    stops nothing. Spark has no L2 term for leaves.
     """
     present = [c for c in features if c in frame.columns]
     n, tp = _train_counts(frame)
     prevalence = tp / n
-    positive = (1 - prevalence) / prevalence
+    weights = {1: (1 - prevalence) / prevalence, 0: 1.0}
     prep = fit_preprocessing(frame, present)
     held_out = F.pmod(F.xxhash64(key), F.lit(10_000)) < int(VALIDATION_SHARE * 10_000)
-    rows = _training_rows(frame, prep, {1: positive, 0: 1.0}).withColumn("__held_out", held_out)
+    rows = cut_lineage(
+        _training_rows(frame, prep, weights).select("__features", "__label", "__weight", held_out.alias("__held_out"))
+    )
     trees = GBTClassifier(
         featuresCol="__features",
         labelCol="__label",
         weightCol="__weight",
-        validationIndicatorCol="__held_out",
-        validationTol=0.0,
         predictionCol="__prediction",
-        maxIter=iterations,
         stepSize=LEARNING_RATE,
         maxDepth=depth,
         minInstancesPerNode=MIN_LEAF_ROWS,
         seed=42,
     )
     trees = trees.setRawPredictionCol("__raw").setProbabilityCol("__probability")
-    model = trees.fit(rows)
-    config = {"positive_weight": positive, "iterations": model.getNumTrees}
+    model, losses = _boosted(trees, rows, weights, iterations, patience)
+    config = {
+        "positive_weight": weights[1],
+        "iterations": len(losses),
+        "kept_iterations": model.getNumTrees,
+        "held_out_loss": losses,
+    }
     return Trained("gradient_boosting", model, prep, present, config)
 
 
+def stopping_point(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(iterations up to the lowest loss before training ends, whether patience ran out).
+
+    Training ends at the first iteration that is ``patience`` iterations past the lowest loss so far; the earliest of
+    equal losses counts.
+    """
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def _boosted(trees: GBTClassifier, rows: DataFrame, weights: dict[int, float], iterations: int, patience: int):
+    """A fitted ensemble, cut at the lowest held-out loss, and the losses of the iterations looked at.
+
+    Spark can neither wait for a later gain nor go on with a fitted ensemble. So a short ensemble is fitted first and
+    twice as long ones while patience lasts: together some two and a half times the longest at most. The loss of all stages comes
+    from one pass per class, weighted here because Spark's staged loss has no weights.
+    """
+    fitting, watched = rows.filter(~F.col("__held_out")), rows.filter("__held_out")
+    counts = {int(r["__label"]): r["n"] for r in watched.groupBy("__label").agg(F.count("*").alias("n")).collect()}
+    size = min(patience + 1, iterations) if counts else iterations
+    while True:
+        model = trees.copy().setMaxIter(size).fit(fitting)
+        if not counts:
+            return model, []
+        share = {y: weights[y] * n / sum(weights[k] * m for k, m in counts.items()) for y, n in counts.items()}
+        staged = {y: model.evaluateEachIteration(watched.filter(F.col("__label") == y)) for y in counts}
+        losses = [sum(share[y] * staged[y][i] for y in counts) for i in range(size)]
+        best, ended = stopping_point(losses, patience)
+        if ended or size == iterations:
+            return _first_trees(model, best), losses[: best + patience]
+        size = min(2 * size, iterations)
+
+
+def _first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble of the first ``n`` trees, with the same columns and parameters."""
+    if n >= model.getNumTrees:
+        return model
+    context = SparkContext.getOrCreate()
+    whole, jvm, gateway = model._java_obj, context._jvm, context._gateway
+    ml = jvm.org.apache.spark.ml
+    kept = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n)
+    steps = gateway.new_array(jvm.double, n)
+    every = whole.trees()
+    for i in range(n):
+        kept[i], steps[i] = every[i], float(whole.treeWeights()[i])
+    part = ml.classification.GBTClassificationModel(whole.uid(), kept, steps)
+    return GBTClassificationModel(whole.copyValues(part, whole.extractParamMap()))
+
+
 def evaluate(model: Trained, frame: DataFrame) -> DataFrame:
     """Ranking metrics per split."""
     scored = model.predict(frame).withColumn("y", F.col(LABEL))
@@ -173,6 +236,22 @@ def evaluate(model: Trained, frame: DataFrame) -> DataFrame:
     )
 
 
+def scored_population(model: Trained, frame: DataFrame) -> DataFrame:
+    """Rows, positives, ids and usable scores per split: a model must score the population it is judged on, and no other.
+
+    ``id_digest`` adds up 32 bits of the MD5 of each ``adsh``, so it knows neither order nor partitions.
+    """
+    p = F.col("p")
+    digest = F.conv(F.substring(F.md5(F.col("adsh").cast("string")), 1, 8), 16, 10).cast("bigint")
+    return model.predict(frame).groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col(LABEL).cast("bigint")).alias("positives"),
+        F.round(F.avg(F.col(LABEL).cast("double")), 8).alias("prevalence"),
+        F.sum(digest).alias("id_digest"),
+        F.count_if((p > 0) & (p < 1)).alias("scored"),
+    )
+
+
 def macro_ablation(
     frame: DataFrame, financial: list[str], macro: list[str], iterations: int = 300
 ) -> DataFrame:

@@ -67,6 +67,25 @@ def boosted(spark, sf_dir):
     return modelling.evaluate(modelling.train_boosted_tree(frame, FEATURES), frame)
 
 
+_POPULATION = f"""WITH {b.WIDE}, {b.EVENTS}, lab AS (SELECT w.*, (SELECT min(e.event_date) FROM ev e WHERE e.cik = w.cik AND e.event_date > w.filed) AS nxt FROM wide w)
+ SELECT {b.SPLIT_SQL} AS split, count(*) AS rows, CAST(count(*) FILTER (nxt <= filed + 365) AS BIGINT) AS positives,
+   round(count(*) FILTER (nxt <= filed + 365) / count(*), 8) AS prevalence,
+   CAST(sum(('0x' || substr(md5(CAST(adsh AS VARCHAR)), 1, 8))::BIGINT) AS BIGINT) AS id_digest, count(*) AS scored
+ FROM lab WHERE filed + 365 <= DATE '{b.CUTOFF}' GROUP BY 1"""
+
+
+@query("m02_scored_population", _POPULATION)
+def logistic_population(spark, sf_dir):
+    frame = cut_lineage(modelling_frame(spark, sf_dir))
+    return modelling.scored_population(modelling.train_logistic(frame, FEATURES), frame)
+
+
+@query("m03_scored_population", _POPULATION)
+def boosted_population(spark, sf_dir):
+    frame = cut_lineage(modelling_frame(spark, sf_dir))
+    return modelling.scored_population(modelling.train_boosted_tree(frame, FEATURES), frame)
+
+
 @query("m04_macro_ablation")
 def ablation(spark, sf_dir):
     frame = modelling_frame(spark, sf_dir)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -5,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from knowndate.operators import bootstrap, calibration, checks, metrics
+from knowndate.operators.labels import LABEL
+from knowndate.session import cut_lineage
 
 
 def frame(spark, y, p):
@@ -180,3 +183,101 @@ def test_bootstrap_in_blocks(spark):
     assert len(drawn) == 50 and all(r.n == 37 and r.brier == 37 and r.log_loss == 74 for r in drawn)  # as many draws as clusters
     at = np.concatenate([bootstrap.draws_of(3, 0, rep, 37, 37) for rep in range(500)])
     assert abs(np.bincount(at, minlength=37) / 500 - 1).max() < 0.25
+
+
+def test_yearly_high_from_quarterly_highs(spark):
+    """Highs, drawdowns and losses against slices of the history, with gaps and a short start."""
+    import datetime
+
+    from knowndate.operators.market import issuer_market_features, security_market_features
+
+    rnd = random.Random(4)
+    day = datetime.date(2020, 1, 1)
+    close = [None if rnd.random() < 0.1 else round(rnd.uniform(5, 50), 2) for _ in range(400)]
+    rows = [("s", day + datetime.timedelta(days=k), c, 1.0) for k, c in enumerate(close)]
+    prices = spark.createDataFrame(rows, "security_id string, date date, close double, volume double")
+    by_security = security_market_features(prices).orderBy("date").collect()
+    by_issuer = issuer_market_features(prices.withColumnRenamed("security_id", "cik")).orderBy("date").collect()
+
+    def below(k, n):
+        known = [c for c in close[max(0, k - n + 1) : k + 1] if c is not None]
+        return close[k] / max(known) - 1 if close[k] is not None and len(known) >= 20 else None
+
+    for k, r in enumerate(by_security):
+        assert r.drawdown_63d == below(k, 63)
+        assert r.drawdown_252d == r.distance_52w_high == below(k, 252) == by_issuer[k].drawdown_252d
+
+
+def test_stopping_point():
+    from knowndate.operators.modelling import stopping_point
+
+    assert stopping_point([3.0, 2.0, 2.5, 2.0, 2.2], 3) == (2, True)  # equal losses: the earliest counts
+    assert stopping_point([3.0, 2.0, 2.5, 1.9, 2.2], 3) == (4, False)
+    assert stopping_point([1.0, 2.0, 0.5], 1) == (1, True)  # a gain after patience ran out is not seen
+    assert stopping_point([1.0], 25) == (1, False)
+
+
+@pytest.fixture(scope="module")
+def learnable(spark):
+    """Rows whose label follows x with noise; an eighth of x is missing."""
+    rnd = random.Random(8)
+    data = []
+    for i in range(1200):
+        x = rnd.gauss(0, 1)
+        y = int(x + rnd.gauss(0, 0.8) > 1.2)
+        split = "train" if i % 3 else "test" if i % 2 else "validation"
+        data.append((i, split, y, None if i % 8 == 0 else x))
+    schema = f"adsh long, split string, {LABEL} int, roa double"
+    return cut_lineage(spark.createDataFrame(data, schema).repartition(2, "adsh"))
+
+
+def test_boosted_trees_wait_and_are_cut_at_the_lowest_loss(spark, learnable):
+    from pyspark.ml.feature import VectorAssembler
+
+    from knowndate.operators import modelling
+
+    fitted = modelling.train_boosted_tree(learnable, ["roa"], iterations=14, depth=2, patience=3)
+    losses = fitted.config["held_out_loss"]
+    kept = fitted.config["kept_iterations"]
+    assert losses.index(min(losses)) + 1 == kept == fitted.model.getNumTrees
+    assert fitted.config["iterations"] == len(losses) <= min(14, kept + 3)
+    # the kept trees alone give the scores, and their weighted loss on the watched rows is the one reported
+    prep = fitted.preprocessing
+    ready = VectorAssembler(inputCols=prep.columns, outputCol="v").transform(prep.transform(learnable))
+    watched = (
+        ready.filter("split = 'train'")
+        .filter(F.pmod(F.xxhash64("adsh"), F.lit(10_000)) < int(modelling.VALIDATION_SHARE * 10_000))
+        .collect()
+    )
+    trees, steps = fitted.model.trees, fitted.model.treeWeights
+    total = weight = 0.0
+    for r in watched:
+        margin = sum(s * t.predict(r["v"]) for s, t in zip(steps, trees))
+        w = fitted.config["positive_weight"] if r[LABEL] else 1.0
+        total += w * 2 * math.log1p(math.exp(-2 * margin * (1 if r[LABEL] else -1)))
+        weight += w
+    assert watched and abs(total / weight - min(losses)) < 1e-9
+    rows = {r.split: r for r in modelling.scored_population(fitted, learnable).collect()}
+    assert sum(r.rows for r in rows.values()) == 1200 and all(r.scored == r.rows for r in rows.values())
+
+
+def test_metrics_of_a_model_are_those_of_its_scores(spark, learnable):
+    """Average precision, AUC and Brier score against plain counting over the scored rows; the fit is at its optimum."""
+    from knowndate.operators import modelling
+
+    fitted = modelling.train_logistic(learnable, ["roa"])
+    reported = {r.split: r for r in modelling.evaluate(fitted, learnable).collect()}
+    scored = fitted.predict(learnable).collect()
+    for split, r in reported.items():
+        part = [(s.p, s[LABEL]) for s in scored if s.split == split]
+        good, bad = [p for p, y in part if y], [p for p, y in part if not y]
+        wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
+        precision = [sum(p >= g for p in good) / sum(p >= g for p, _ in part) for g in good]
+        assert abs(r.roc_auc - wins / len(good) / len(bad)) < 1e-9
+        assert abs(r.pr_auc - sum(precision) / len(good)) < 1e-9
+        assert abs(r.brier - sum((p - y) ** 2 for p, y in part) / len(part)) < 1e-9
+    # balanced classes: at the optimum the weighted residuals add up to nothing
+    train = [(s.p, s[LABEL]) for s in scored if s.split == "train"]
+    positives = sum(y for _, y in train)
+    weight = {1: len(train) / 2 / positives, 0: len(train) / 2 / (len(train) - positives)}
+    assert abs(sum(weight[y] * (y - p) for p, y in train)) < 1e-3 * len(train)
