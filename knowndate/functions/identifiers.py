@@ -152,12 +152,13 @@ def identifier_relationship(observed: Column, candidate: Column) -> Column:
     )
 
 
-def match_start(text: Column, identifier: Column) -> Column:
-    """Zero-based start of the first case-insensitive match, NULL if there is none.
+def ascii_upper(text: Column) -> Column:
+    """Upper case of ASCII letters only, so that positions keep counting characters."""
+    return F.translate(text, _LOWER, _LOWER.upper())
 
-    Only ASCII letters are folded, so that positions keep counting characters.
-    """
-    folded = F.translate(text, _LOWER, _LOWER.upper())
+
+def match_start(folded: Column, identifier: Column) -> Column:
+    """Zero-based start of the first match in a text in ``ascii_upper``, NULL if there is none."""
     at = F.call_function("instr", folded, F.upper(identifier))
     return F.when(at > 0, at - 1)
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knowndate.functions.identifiers import (
+    ascii_upper,
+    bind,
     context_window,
     extract_cusips,
     extract_isins,
@@ -71,8 +73,13 @@ def identifier_evidence(documents: DataFrame) -> DataFrame:
 
     Columns: cik, accession, filing_date, document_type, source, text.
     """
-    found = documents.filter(is_priority_document(F.col("document_type"))).withColumns(
-        {"cusips": extract_cusips(F.col("text")), "isins": extract_isins(F.col("text"))}
+    lists = F.struct(
+        extract_cusips(F.col("text")).alias("cusips"), extract_isins(F.col("text")).alias("isins")
+    )
+    keep = ["cik", "accession", "filing_date", "document_type", "source"]
+    # generated columns: a filter on plain ones would move below and run the patterns again
+    found = documents.filter(is_priority_document(F.col("document_type"))).select(
+        *keep, F.inline(F.array(lists))
     )
     return found.filter((F.size("cusips") > 0) | (F.size("isins") > 0)).select(
         "cik",
@@ -105,14 +112,23 @@ def contextual_evidence(documents: DataFrame) -> DataFrame:
     Columns used: text; all other columns are carried along except the text itself.
     """
     keep = [c for c in documents.columns if c != "text"]
-    tagged = _tagged(extract_cusips(F.col("text")), extract_isins(F.col("text")))
-    rows = documents.select(*keep, "text", F.inline(tagged))
-    start = match_start(F.col("text"), F.col("identifier"))
-    rows = rows.withColumn("identifier_match_start", start)
-    rows = rows.withColumn(
-        "identifier_context",
-        context_window(F.col("text"), F.col("identifier"), F.col("identifier_match_start")),
-    )
+    text = F.col("text")
+    tagged = _tagged(extract_cusips(text), extract_isins(text))
+
+    def placed(found: Column) -> Column:
+        """The identifiers with place and surroundings, built inside the array: no row carries the text further."""
+        around = lambda t: lambda start: F.struct(
+            t["identifier_type"].alias("identifier_type"),
+            t["identifier"].alias("identifier"),
+            start.alias("identifier_match_start"),
+            context_window(text, t["identifier"], start).alias("identifier_context"),
+        )
+        within = lambda folded: F.transform(
+            found, lambda t: bind(match_start(folded, t["identifier"]), around(t))
+        )
+        return F.when(F.size(found) > 0, bind(ascii_upper(text), within))
+
+    rows = documents.select(*keep, F.inline(bind(tagged, placed)))
     kind = security_context(F.col("identifier_context"))
     return rows.select(
         *keep,
@@ -130,7 +146,7 @@ def contextual_evidence(documents: DataFrame) -> DataFrame:
 def pilot_evidence(plan: DataFrame, documents: DataFrame) -> DataFrame:
     """Contextual evidence of the documents that belong to a pilot plan."""
     wanted = plan.select("cik", "accession", "candidate_security_id", "filing_date", "form")
-    return contextual_evidence(documents.join(wanted, ["cik", "accession"]))
+    return contextual_evidence(documents).join(wanted, ["cik", "accession"])  # identifiers are shuffled, texts are not
 
 
 _EVIDENCE_KEY = ["cik", "identifier_type", "identifier"]
