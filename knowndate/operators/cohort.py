@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knowndate.functions.keys import yyyymmdd
-from knowndate.operators.labels import LABEL
+from knowndate.operators.labels import LABEL, label_forward, modelling_population, temporal_split
 
 # --- fixed values -----------------------------------------------------------
 TAG_FEATURES = {
@@ -199,6 +199,24 @@ def fundamentals(sub: DataFrame, num: DataFrame, forms: list[str] = TARGET_FORMS
     return add_ratios(panel)
 
 
+def modelling_cohort(
+    sub: DataFrame,
+    num: DataFrame,
+    events: DataFrame,
+    observed_through: str,
+    train_end: str,
+    validation_end: str,
+    horizon_days: int = 365,
+) -> DataFrame:
+    """Raw submissions, facts and events → labelled filings with ratios and their split, as one lazy plan.
+
+    Left out are filings without a usable fact and those whose outcome window is still open.
+    """
+    panel = fundamentals(sub, num)
+    labelled = label_forward(panel, events, horizon_days, observed_through=observed_through)
+    return temporal_split(modelling_population(labelled), train_end, validation_end)
+
+
 def quarter_funnel(sub: DataFrame, num: DataFrame, forms: list[str] = TARGET_FORMS) -> DataFrame:
     """Counts per stage and source quarter, from raw submissions to panel rows.
 

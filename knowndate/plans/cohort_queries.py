@@ -267,6 +267,19 @@ def fundamentals(spark, sf_dir):
     )
 
 
+@query(
+    "p08_p09_cohort_from_raw_facts",
+    f"""WITH {b.panel_sql()}, {b.EVENTS}, lab AS (SELECT p.*, (SELECT min(e.event_date) FROM ev e WHERE e.cik = p.cik AND e.event_date > p.filed) AS nxt FROM panel p)
+    SELECT adsh, cik, form, CAST(filed AS VARCHAR) AS filed, source_quarter, {b.SPLIT_SQL} AS split, CAST(COALESCE(nxt <= filed + 365, FALSE) AS BIGINT) AS distress_12m,
+    {", ".join(f"round({e}, 6) AS {n}" for n, e in RATIO_SQL.items())} FROM lab WHERE filed + 365 <= DATE '{b.CUTOFF}'""",
+)
+def cohort_from_raw(spark, sf_dir):
+    raw = (b.submissions(spark, sf_dir), b.numeric_facts(spark, sf_dir), b.distress_events(spark, sf_dir))
+    out = cohort.modelling_cohort(*raw, b.CUTOFF, b.TRAIN_END, b.VALIDATION_END)
+    ratios = [_r(n) for n in cohort.RATIOS]
+    return out.select("adsh", "cik", "form", _day("filed"), "source_quarter", "split", labels.LABEL, *ratios)
+
+
 @query(
     "a07_quarter_funnel",
     f"""WITH {b.panel_sql()}, q AS (SELECT DISTINCT source_quarter FROM sub)

@@ -44,3 +44,32 @@ def test_later_quarter_wins(rows):
     p = rows("adsh string, cik string, filed date, source_quarter string",
              [("a", "1", D(2024, 1, 1), "2024q1"), ("a", "1", D(2024, 1, 1), "2024q2")])
     assert cohort.last_per_filing(p).first().source_quarter == "2024q2"
+
+
+def test_cohort_from_raw_tables(rows):
+    """One filing with an event in time, one without, one with an open window, one without usable facts."""
+    from knowndate.operators.cohort import modelling_cohort
+
+    def filing(adsh, cik, filed, period):
+        return (adsh, cik, "Name", "10-K", period, filed, "2019q1")
+
+    sub = rows(
+        "adsh string, cik string, name string, form string, period int, filed int, source_quarter string",
+        [filing("a", "1", 20190301, 20181231), filing("b", "2", 20200301, 20191231),
+         filing("c", "1", 20240301, 20231231), filing("d", "3", 20190301, 20181231)],
+    )
+    fact = lambda adsh, tag, day, value: (adsh, tag, "us-gaap", day, 0, "USD", None, value)
+    num = rows(
+        "adsh string, tag string, version string, ddate int, qtrs int, uom string, coreg string, value double",
+        [fact("a", "Assets", 20181231, 4.0), fact("a", "Liabilities", 20181231, 3.0),
+         fact("b", "Assets", 20191231, 4.0), fact("c", "Assets", 20231231, 4.0), fact("d", "Assets", 20171231, 4.0)],
+    )
+    events = rows(
+        "cik string, event_date date, event_type string",
+        [("0001", dt.date(2019, 9, 1), "bankruptcy"), ("2", dt.date(2020, 3, 1), "bankruptcy")],
+    )
+    got = {
+        r.adsh: (r.split, r.distress_12m, r.liabilities_to_assets)
+        for r in modelling_cohort(sub, num, events, "2024-06-30", "2019-12-31", "2022-12-31").collect()
+    }
+    assert got == {"a": ("train", 1, 0.75), "b": ("validation", 0, None)}

@@ -17,7 +17,8 @@ SAMPLE = [
     "k01_k02_hard_case_discovery", "p16_depth_probe", "s21_document_text", "s25_cache_audit", "s26_snapshot_check",
     "f18_logits", "w12_document_selection", "g11_line_fidelity_gate_default", "a07_quarter_funnel",
     "m07_platt_calibration", "m07_isotonic_calibration", "m12_calibration_diagnostics", "m13_probability_evidence",
-    "m14_cluster_bootstrap", "m01_exact_quantiles", "m10_quantile_bins", "w10_security_master_audit",
+    "m02_scored_population", "m03_scored_population", "p08_p09_cohort_from_raw_facts", "f11_f12_identifier_context",
+    "f21_pilot_evidence", "f07_f20_identifier_evidence", "m14_cluster_bootstrap", "m01_exact_quantiles", "m10_quantile_bins", "w10_security_master_audit",
 ]
 NAMES = sorted(entry_points.oracle_sql()) if os.environ.get("KNOWNDATE_ALL_QUERIES") else SAMPLE
 
