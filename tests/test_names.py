@@ -25,6 +25,25 @@ def test_name_keys(spark, rows):
     assert got == ["ACME HOLDINGS", "SOCIE TE GE NE RALE S A", "A B", "", "FULL"]
 
 
+def test_name_keys_of_any_text(rows):
+    """Random mixtures of scripts, ligatures, widths, combining marks, controls and code points beyond 16 bits."""
+    import re
+    import unicodedata
+
+    rnd = random.Random(7)
+    pieces = ["Acme", "inc", "L P", "plc", " ", "  ", "\t", "\n", "\x00", "é", "e\u0301", "ß", "ﬁ", "Ⅷ", "½", "ı", "İ", "ŉ", "Ａｂ１", "①", "株式会社",
+              "\u00a0", "\u2003", "\u200d", "🏦", "𝐀𝟗", "㏇", "ǆ", "ΐ", "-", "&", "3"]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randrange(9))) for _ in range(400)] + [None]
+
+    def plain(text):
+        upper = unicodedata.normalize("NFKD", text).upper()
+        return " ".join(t for t in re.sub("[^A-Z0-9 ]+", " ", upper).split() if t not in set(names.LEGAL_SUFFIXES))
+
+    keyed = rows("i int, t string", list(enumerate(texts))).select("i", names.entity_name_key(F.col("t")).alias("k"))
+    got = {r.i: r.k for r in keyed.collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
 def test_list_key_width(spark):
     key = names.list_name_key(names.entity_name_key(F.lit("American Safety Insurance Holdings Ltd")))
     assert one(spark, key) == "AMERICAN SAFETY INSURANCE HL"
