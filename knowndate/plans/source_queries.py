@@ -11,6 +11,7 @@ from knowndate.operators import checks, evidence, labels, market
 from knowndate.plans import bindings as b
 from knowndate.plans.cohort_queries import _DELIST, delisting_table
 from knowndate.plans.registry import query
+from knowndate.session import computed_once, spread
 from knowndate.sources import files, lists, readers
 
 
@@ -22,9 +23,11 @@ def _day(name):
 
 
 def _parts(spark, sf_dir):
-    p = b.table(spark, sf_dir, "part")
+    """List rows of the parts; the table is small in bytes, so it is dealt out to all cores before its rows are made."""
     k = F.col("p_partkey")
-    good = b.cusip_of(k)
+    p = spread(b.table(spark, sf_dir, "part"), "p_partkey", least=spark.sparkContext.defaultParallelism)
+    p = computed_once(p, {"good": b.cusip_of(k)})
+    good = F.col("good")
     bad = F.concat(F.substring(good, 1, 8), ((F.substring(good, 9, 1).cast("int") + 1) % 10).cast("string"))
     desc = F.when(k % 9 == 0, "CALL").when(k % 9 == 1, "PUT").otherwise("COM")
     status = F.when(k % 6 == 0, "*A*").when(k % 6 == 1, "*D*").otherwise("")

@@ -1,4 +1,4 @@
-"""Session defaults for tests and benches, and lineage cutting for long plans."""
+"""Session defaults for tests and benches, lineage cutting for long plans, and how work is spread over tasks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,12 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Partitions of a step whose state in a task grows with its rows, whatever the session's count for other steps.
+LEAST_PARTITIONS = 128
 
 
 def local_session(cpus: int | str | None = None, app: str = "knowndate") -> SparkSession:
@@ -49,3 +54,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str, least: int = LEAST_PARTITIONS) -> DataFrame:
+    """Deal rows out by ``keys`` to ``least`` tasks, or to the session's own count if that is larger.
+
+    Aggregations, windows and joins on these keys stay on that partitioning.
+    """
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(own, least), *keys)
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later steps refer to instead of repeating their expressions.
+
+    Catalyst copies an expression into every filter that it pushes below a projection; it pushes none below a generator.
+    """
+    values = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(values)))

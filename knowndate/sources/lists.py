@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from knowndate.functions.identifiers import valid_cusip
 from knowndate.functions.keys import parse_quarter_label, quarter_label
 from knowndate.functions.names import entity_name_key
+from knowndate.session import computed_once
 
 # --- fixed values -----------------------------------------------------------
 LINE_WIDTH = 80
@@ -94,12 +95,13 @@ def parse_pdf_text(lines: DataFrame) -> DataFrame:
     """Flattened PDF rows: CUSIP in three pieces, issuer = first 30 characters of the tail."""
     keys = [c for c in lines.columns if c != "value"]
     part = lambda i: F.regexp_extract("value", PDF_ROW, i)
-    rows = lines.filter(F.col("value").rlike(PDF_ROW)).select(
-        *keys,
-        F.concat(part(1), part(2), part(3)).alias("cusip"),
-        F.trim(F.substring(F.trim(part(4)), 1, 30)).alias("issuer_name"),
-        F.trim(part(4)).alias("row_text"),
-    )
+    tail = F.trim(part(4))
+    pieces = {
+        "cusip": F.concat(part(1), part(2), part(3)),
+        "issuer_name": F.trim(F.substring(tail, 1, 30)),
+        "row_text": tail,
+    }
+    rows = computed_once(lines.filter(F.col("value").rlike(PDF_ROW)), pieces).select(*keys, *pieces)
     return rows.filter(valid_cusip(F.col("cusip")) & _usable_issuer(F.col("issuer_name"))).distinct()
 
 

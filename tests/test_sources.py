@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knowndate.operators import checks, cohort, evidence
+from knowndate.plans import source_queries
 from knowndate.sources import files, lists, readers
 
 
@@ -197,3 +198,19 @@ def test_archives_and_digests_are_streamed(spark, tmp_path):
         assert man[name].sha256 == hashlib.sha256(data).hexdigest() and man[name].bytes == len(data)
     assert streams.streamed_uri("viewfs://x/y") is None and streams.streamed_uri("s3a://b/k") == "s3://b/k"
     assert files.file_manifest(spark, str(tmp_path), "*.none").count() == 0
+
+
+def test_list_pieces_are_computed_once_and_rows_dealt_out(spark, tmp_path, capsys):
+    parts = [(k, "almond blue", "Brand#1", "T", 5, 1.0) for k in range(40)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(parts, schema).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    lines = source_queries._parts(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    out = source_queries.pdf_text(spark, str(tmp_path))
+    out.explain()
+    plan = capsys.readouterr().out
+    # eight characters, each named twice, of the made check digit and of the checked one; five references to a piece of the line
+    assert plan.count("instr(") <= 32 and plan.count("regexp_extract(") <= 5
+    kept = [k for k in range(40) if k % 17 and k % 31]
+    assert out.count() == len(kept)
+    assert {r.row_text for r in out.collect()} <= {f"{n} {d} ADDED" for n in ("ALMOND BLUE BRAND#1", "INC") for d in ("COM", "CALL", "PUT")}
