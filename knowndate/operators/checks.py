@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knowndate.session import spread
+
 # --- fixed values -----------------------------------------------------------
 PRICE_COLUMNS = ["security_id", "date", "close", "volume", "source", "retrieved_at"]
 CANDIDATE_COLUMNS = [
@@ -75,7 +77,9 @@ def contract(df: DataFrame, required: list[str], unique: list[str] | None = None
 
 
 def price_contract(prices: DataFrame) -> DataFrame:
-    return contract(prices, PRICE_COLUMNS, ["security_id", "date"])
+    """Few prices share a key, so nothing is gained by counting before rows are dealt out."""
+    need_columns(prices, PRICE_COLUMNS)
+    return contract(spread(prices, "security_id", "date"), PRICE_COLUMNS, ["security_id", "date"])
 
 
 def candidate_contract(candidates: DataFrame) -> DataFrame:
@@ -89,7 +93,7 @@ def delisting_contract(delistings: DataFrame) -> DataFrame:
 def price_plausibility(prices: DataFrame) -> DataFrame:
     """One row: non-positive closes, negative volumes, duplicate (security, date) rows."""
     need_columns(prices, PRICE_COLUMNS)
-    per_key = prices.groupBy("security_id", "date").agg(
+    per_key = spread(prices, "security_id", "date").groupBy("security_id", "date").agg(
         F.count(F.lit(1)).alias("__n"),
         F.count_if(F.col("close") <= 0).alias("__close"),
         F.count_if(F.col("volume") < 0).alias("__volume"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knowndate.session import spread
+
 # Dates of the bound cohort.
 CUTOFF = "2000-12-31"
 TRAIN_END = "1997-12-31"
@@ -138,8 +140,8 @@ def _tags():
 
 def numeric_facts(spark, sf_dir) -> DataFrame:
     """Long facts of the submissions: mapped and unmapped tags, units, durations."""
-    line = table(spark, sf_dir, "lineitem")
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    order = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     period = F.date_sub(F.to_date("o_orderdate"), 30)
     ddate = F.when(F.col("l_partkey") % 4 != 0, period).otherwise(F.to_date("l_shipdate"))
     names = F.array(*[F.lit(t) for t in _tags()])
@@ -225,9 +227,12 @@ WIDE = f"""{FILINGS}, wide AS (SELECT f.cik, f.adsh, f.filed, f.form, s.assets,
 
 def prices(spark, sf_dir) -> DataFrame:
     """One row per (security, day): mean price and total quantity of the day."""
+    trades = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("security_id"), F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_quantity"
+    )
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("security_id"), F.to_date("l_shipdate").alias("date"))
+        spread(trades, "security_id", "date")
+        .groupBy("security_id", "date")
         .agg(
             F.avg("l_extendedprice").alias("close"),
             F.sum("l_quantity").alias("volume"),
@@ -281,9 +286,12 @@ def macro(spark, sf_dir) -> DataFrame:
 
 def links(spark, sf_dir) -> DataFrame:
     """Dated issuer-to-security links; some reversed, undated or not accepted."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cik"), F.col("o_orderpriority").alias("p"), "o_orderdate", "o_orderkey"
+    )
     return (
-        table(spark, sf_dir, "orders")
-        .groupBy(F.col("o_custkey").alias("cik"), F.col("o_orderpriority").alias("p"))
+        spread(orders, "cik", "p")
+        .groupBy("cik", "p")
         .agg(
             F.to_date(F.min("o_orderdate")).alias("lo"),
             F.to_date(F.max("o_orderdate")).alias("hi"),

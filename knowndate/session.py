@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 #: Partitions of a step whose state in a task grows with its rows, whatever the session's count for other steps.
-LEAST_PARTITIONS = 128
+LEAST_PARTITIONS = 64
 
 
 def local_session(cpus: int | str | None = None, app: str = "knowndate") -> SparkSession:
