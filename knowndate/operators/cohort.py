@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from knowndate.functions.keys import yyyymmdd
 from knowndate.operators.labels import LABEL, label_forward, modelling_population, temporal_split
+from knowndate.session import spread
 
 # --- fixed values -----------------------------------------------------------
 TAG_FEATURES = {
@@ -222,6 +223,7 @@ def quarter_funnel(sub: DataFrame, num: DataFrame, forms: list[str] = TARGET_FOR
 
     Facts are read once and reduced, before they meet their submission, to counts per
     (adsh, period, duration, kind); one aggregate per submission then tells all later stages.
+    Facts and submissions are dealt out by adsh once, for the counts, the join and the aggregate.
     Text samples of the raw columns become their smallest and largest value.
     """
     count = F.count(F.lit(1))
@@ -233,7 +235,7 @@ def quarter_funnel(sub: DataFrame, num: DataFrame, forms: list[str] = TARGET_FOR
         F.max(F.col("form")).alias("form_max"),
         F.count_if(_is_eligible()).alias("eligible_submissions"),
     )
-    chosen = target_forms(eligible, forms).select(*_submission_columns(eligible), "source_quarter")
+    chosen = spread(target_forms(eligible, forms).select(*_submission_columns(eligible), "source_quarter"), "adsh")
     usable = F.coalesce(_is_usable(num), F.lit(False))
     kind = F.when(usable, F.col("feature").isin(INSTANT_FEATURES))
     facts = num.withColumn("feature", _feature()).select(
@@ -242,7 +244,7 @@ def quarter_funnel(sub: DataFrame, num: DataFrame, forms: list[str] = TARGET_FOR
         F.when(usable, yyyymmdd(F.col("ddate"))).alias("ddate"),
         F.when(usable, F.col("qtrs").try_cast("int")).alias("qtrs"),
     )
-    facts = facts.groupBy(*facts.columns).agg(count.alias("n"))
+    facts = spread(facts, "adsh").groupBy(*facts.columns).agg(count.alias("n"))
     fits = F.coalesce(_fits_period(F.col("instant"), F.col("qtrs")), F.lit(False))
     per_submission = chosen.join(facts, "adsh", "left").groupBy(*chosen.columns).agg(
         F.sum("n").alias("numeric_rows"),
