@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from knowndate.session import spread
+
 
 def _day_grain(right: DataFrame, by: list[str], day: str, payload: list[str], tie: str | None):
     """One payload struct per (by, day): the last row by ``tie``, equal ones by the largest payload."""
@@ -116,7 +118,8 @@ def attach_security(filings: DataFrame, links: DataFrame) -> DataFrame:
     ``ambiguous``, none ``unresolved``.  Link rows are counted, so the same security
     twice is ambiguous.  Intervals become +1/-1 steps that are summed per (cik, day);
     the running sum of link hashes names the link when exactly one is active.  No
-    filing × link pairs are formed.
+    filing × link pairs are formed.  Every step is dealt out to enough tasks that its
+    state stays small.
     """
     usable = links.filter(
         (F.col("decision") == "accepted_identifier") & (F.col("valid_from") <= F.col("valid_to"))
@@ -138,7 +141,7 @@ def attach_security(filings: DataFrame, links: DataFrame) -> DataFrame:
         F.col("s.sign").cast("bigint").alias("__n"),
         (F.col("__code") * F.col("s.sign")).cast("decimal(38,0)").alias("__h"),
     )
-    keyed = filings.withColumn("__day", F.to_date("filed"))
+    keyed = spread(filings.withColumn("__day", F.to_date("filed")), "cik", "__day")
     days = keyed.select("cik", "__day").distinct()
     marks = days.select(
         "cik",
@@ -147,9 +150,9 @@ def attach_security(filings: DataFrame, links: DataFrame) -> DataFrame:
         F.lit(0).cast("decimal(38,0)").alias("__h"),
         F.lit(True).alias("__asked"),
     )
+    stacked = steps.withColumn("__asked", F.lit(False)).unionByName(marks)
     grain = (
-        steps.withColumn("__asked", F.lit(False))
-        .unionByName(marks)
+        spread(stacked, "cik", "__day")
         .groupBy("cik", "__day")
         .agg(
             F.sum("__n").alias("__n"),
@@ -159,7 +162,7 @@ def attach_security(filings: DataFrame, links: DataFrame) -> DataFrame:
     )
     until = W.partitionBy("cik").orderBy("__day").rowsBetween(W.unboundedPreceding, W.currentRow)
     active = (
-        grain.withColumns(
+        spread(grain, "cik").withColumns(
             {
                 "__active": F.sum("__n").over(until),
                 "__code": F.sum("__h").over(until).cast("decimal(38,0)"),
@@ -168,11 +171,11 @@ def attach_security(filings: DataFrame, links: DataFrame) -> DataFrame:
         .filter("__asked")
         .select("cik", "__day", "__active", "__code")
     )
-    named = coded.select("cik", "__code", "security_id").dropDuplicates(["cik", "__code"])
-    resolved = active.join(
+    named = spread(coded.select("cik", "__code", "security_id"), "cik", "__code").dropDuplicates(["cik", "__code"])
+    resolved = spread(active, "cik", "__code").join(
         named.withColumn("__active", F.lit(1).cast("bigint")), ["cik", "__code", "__active"], "left"
     ).select("cik", "__day", "__active", "security_id")
-    return keyed.join(resolved, ["cik", "__day"], "left").select(
+    return keyed.join(spread(resolved, "cik", "__day"), ["cik", "__day"], "left").select(
         *filings.columns,
         "security_id",
         F.when(F.col("__active") == 1, "accepted")
