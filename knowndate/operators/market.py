@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knowndate.operators.asof import asof_backward
 from knowndate.operators.checks import DELISTING_COLUMNS, MASTER_COLUMNS, PRICE_COLUMNS, need_columns
@@ -26,58 +29,111 @@ SECURITY_MARKET_FEATURES = [
     "downside_vol_63d", "max_loss_63d",
 ]
 TRADING_DAYS = 252
-QUARTER_ROWS = 63
 # ----------------------------------------------------------------------------
 
 
-class _History:
-    """Window expressions over one price history.
+class _Trailing:
+    """Trailing figures of consecutive rows, several histories one after the other, as (values, known) arrays.
 
-    Spark re-reads a sliding frame for every row, so counts come from running totals; values come from frames, whose
-    errors end with the frame. The high of four quarters is the highest of four quarterly highs, so the longest frame
-    that is re-read has 63 rows. NaN prices and volumes count as missing.
+    Rows of a frame are taken in order, one step for all rows at once, by the updates that Spark's own mean and deviation
+    use: values are those of sliding frames, and no error outlives its frame.
     """
 
-    def __init__(self, key: str):
-        self.order = W.partitionBy(key).orderBy("date")
-        self.past = self.order.rowsBetween(W.unboundedPreceding, W.currentRow)
-
-    def counted(self, prices: DataFrame, columns: list[str]) -> DataFrame:
-        """Add running counts of non-null values."""
-        return prices.withColumns({f"__n_{c}": F.count(c).over(self.past) for c in columns})
-
-    def _within(self, running: str, rows: int) -> Column:
-        return F.col(running) - F.coalesce(F.lag(running, rows).over(self.order), F.lit(0))
-
-    def enough(self, column: str, rows: int, least: int) -> Column:
-        return self._within(f"__n_{column}", rows) >= least
-
-    def change(self, column: str, rows: int) -> Column:
-        """x / x[-rows] - 1; NULL for a zero base."""
-        return F.try_divide(F.col(column), F.lag(column, rows).over(self.order)) - 1
-
-    def rolling(self, aggregate, column: str, rows: int, least: int) -> Column:
-        """Rolling aggregate over non-null values, NULL below ``least`` of them."""
-        frame = self.order.rowsBetween(-(rows - 1), W.currentRow)
-        return F.when(self.enough(column, rows, least), aggregate(column).over(frame))
-
-    def zscore(self, column: str, rows: int, least: int) -> Column:
-        spread = self.rolling(F.stddev_samp, column, rows, least)
-        return F.try_divide(F.col(column) - self.rolling(F.avg, column, rows, least), spread)
-
-    def quarter_high(self) -> Column:
-        """Highest close of the last 63 rows, however few are known."""
-        return F.max("close").over(self.order.rowsBetween(-(QUARTER_ROWS - 1), W.currentRow))
-
-    def below_high(self, quarters: int, least: int) -> Column:
-        """Distance from the high of the last quarters, made of the column ``__high``."""
-        earlier = [F.lag("__high", k * QUARTER_ROWS).over(self.order) for k in range(1, quarters)]
-        high = F.greatest("__high", *earlier) if earlier else F.col("__high")
-        known = self.enough("close", quarters * QUARTER_ROWS, least)
-        return F.when(known, F.try_divide(F.col("close"), high) - 1)
-
-
-_WORK = ["__daily", "__high", "__loss", "__n_close", "__n_volume", "__n___daily", "__n___loss"]
+    def __init__(self, codes: np.ndarray):
+        rows = np.arange(len(codes))
+        first = np.ones(len(codes), dtype=bool)
+        first[1:] = codes[1:] != codes[:-1]
+        self.position = rows - np.maximum.accumulate(np.where(first, rows, 0))
+
+    def lag(self, column, rows: int):
+        """Value and knowledge of so many rows before, unknown before a history begins."""
+        values, known = (np.zeros_like(x) for x in column)
+        if rows < len(values):
+            values[rows:], known[rows:] = (x[: len(x) - rows] for x in column)
+        return values, known & (self.position >= rows)
+
+    @staticmethod
+    def ratio(top, bottom):
+        """top / bottom; unknown for a zero divisor."""
+        known = top[1] & bottom[1] & (bottom[0] != 0)
+        return np.where(known, top[0], 0.0) / np.where(known, bottom[0], 1.0), known
+
+    def change(self, column, rows: int):
+        """x / x[-rows] - 1; unknown for a zero base."""
+        values, known = self.ratio(column, self.lag(column, rows))
+        return values - 1, known
+
+    def moments(self, column, rows: int, least: int):
+        """Mean and sample deviation of known values, unknown below ``least`` of them."""
+        n, total, mean, squares = (np.zeros(len(column[0])) for _ in range(4))
+        for back in range(rows - 1, -1, -1):
+            x, known = self.lag(column, back)
+            n += known
+            total += np.where(known, x, 0.0)
+            delta = np.where(known, x - mean, 0.0)
+            step = delta / np.maximum(n, 1.0)
+            mean += step
+            squares += delta * (delta - step)
+        enough = n >= least
+        return (total / np.maximum(n, 1.0), enough), (np.sqrt(squares / np.maximum(n - 1, 1.0)), enough)
+
+    def deviation(self, column, rows: int, least: int):
+        return self.moments(column, rows, least)[1]
+
+    def zscore(self, column, rows: int, least: int):
+        mean, spread = self.moments(column, rows, least)
+        return self.ratio((column[0] - mean[0], column[1] & mean[1]), spread)
+
+    def extreme(self, better, column, rows: int, least: int):
+        """Highest (np.fmax) or lowest (np.fmin) known value of the last rows, from frames of doubled length."""
+        worst = -np.inf if better is np.fmax else np.inf
+        best, count, have = np.where(column[1], column[0], worst), column[1].astype(np.int64), 1
+        while have < rows:
+            back = min(have, rows - have)
+            earlier, inside = self.lag((best, np.ones(len(best), dtype=bool)), back)
+            best, have = better(best, np.where(inside, earlier, worst)), have + back
+        held = np.cumsum(count)
+        before, _ = self.lag((held, column[1]), rows)
+        began = held - count
+        count = held - np.where(self.position >= rows, before, began[np.arange(len(held)) - self.position])
+        return best, count >= least
+
+    def below_high(self, close, rows: int, least: int):
+        """Distance from the highest close of the last rows."""
+        high, enough = self.extreme(np.fmax, close, rows, least)
+        values, known = self.ratio(close, (high, enough))
+        return values - 1, known
+
+
+def _issuer(h: _Trailing, close, volume) -> dict:
+    daily, low = h.change(close, 1), h.below_high(close, TRADING_DAYS, 20)
+    spread = h.deviation(daily, 63, 20)
+    return {
+        **{f"ret_{n}d": h.change(close, n) for n in (21, 63, 252)},
+        "vol_63d": (spread[0] * math.sqrt(TRADING_DAYS), spread[1]),
+        "drawdown_252d": low,
+        "volume_z_63d": h.zscore(volume, 63, 20),
+        "distance_52w_high": low,
+    }
+
+
+def _security(h: _Trailing, close, volume) -> dict:
+    daily, low = h.change(close, 1), h.below_high(close, TRADING_DAYS, 20)
+    loss = (daily[0], daily[1] & (daily[0] < 0))
+    least = {21: max(10, 21 // 3), 63: max(10, 63 // 3)}
+    spreads = {f"vol_{n}d": h.deviation(daily, n, m) for n, m in least.items()}
+    spreads["downside_vol_63d"] = h.deviation(loss, 63, 20)
+    yearly = {name: (x * math.sqrt(TRADING_DAYS), known) for name, (x, known) in spreads.items()}
+    return {
+        **{f"ret_{n}d": h.change(close, n) for n in (5, 21, 63, 126, 252)},
+        **{name: yearly[name] for name in ("vol_21d", "vol_63d")},
+        **{f"volume_z_{n}d": h.zscore(volume, n, m) for n, m in least.items()},
+        "drawdown_63d": h.below_high(close, 63, 20),
+        "drawdown_252d": low,
+        "downside_vol_63d": yearly["downside_vol_63d"],
+        "max_loss_63d": h.extreme(np.fmin, daily, 63, 20),
+        "distance_52w_high": low,
+    }
 
 
 def _known(prices: DataFrame) -> DataFrame:
@@ -86,43 +142,47 @@ def _known(prices: DataFrame) -> DataFrame:
     return prices.withColumns({c: known(c) for c in ("close", "volume")})
 
 
+def _with_trailing(prices: DataFrame, key: str, features) -> DataFrame:
+    """Add ``features`` of each history in order of date.
+
+    Spark deals histories out and sorts them; a task reads its rows once, in Arrow batches, and keeps the last year of
+    rows from one batch to the next, so a history of any length takes the memory of one batch.
+    """
+    p = _known(prices)
+    kept = p.columns
+    none = np.zeros(0), np.zeros(0, dtype=bool)
+    names = list(features(_Trailing(np.zeros(0)), none, none))
+    work = p.withColumns({f"__{c}": F.col(c).cast("double") for c in ("close", "volume")})
+
+    def column(rows: pa.Table, name: str):
+        x = rows[name].combine_chunks()
+        return x.fill_null(0.0).to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False)
+
+    def add(batches):
+        past = None
+        for batch in batches:
+            new = pa.table({c: batch.column(c) for c in (key, "__close", "__volume")})
+            rows = pa.concat_tables([past, new]).combine_chunks() if past else new
+            codes = rows[key].combine_chunks().dictionary_encode(null_encoding="encode").indices
+            with np.errstate(all="ignore"):
+                made = features(_Trailing(codes.to_numpy()), column(rows, "__close"), column(rows, "__volume"))
+            old = len(rows) - len(new)
+            arrays = [pa.array(made[n][0][old:], mask=~made[n][1][old:]) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + arrays, [*kept, *names])
+            past = rows.slice(max(len(rows) - TRADING_DAYS, 0))
+
+    schema = T.StructType([*p.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return work.repartition(key).sortWithinPartitions(key, "date").mapInArrow(add, schema)
+
+
 def issuer_market_features(prices: DataFrame, key: str = "cik") -> DataFrame:
     """Returns, volatility, distance from the high and volume score per issuer."""
-    h = _History(key)
-    year = math.sqrt(TRADING_DAYS)
-    p = _known(prices).withColumn("__daily", h.change("close", 1))
-    p = h.counted(p, ["close", "volume", "__daily"]).withColumn("__high", h.quarter_high())
-    out = p.withColumns(
-        {
-            **{f"ret_{n}d": h.change("close", n) for n in (21, 63, 252)},
-            "vol_63d": h.rolling(F.stddev_samp, "__daily", 63, 20) * year,
-            "drawdown_252d": h.below_high(4, 20),
-            "volume_z_63d": h.zscore("volume", 63, 20),
-        }
-    )
-    return out.withColumn("distance_52w_high", F.col("drawdown_252d")).drop(*_WORK)
+    return _with_trailing(prices, key, _issuer)
 
 
 def security_market_features(prices: DataFrame, key: str = "security_id") -> DataFrame:
     """The fourteen trailing features per security."""
-    h = _History(key)
-    year = math.sqrt(TRADING_DAYS)
-    p = _known(prices).withColumn("__daily", h.change("close", 1))
-    p = p.withColumn("__loss", F.when(F.col("__daily") < 0, F.col("__daily")))
-    p = h.counted(p, ["close", "volume", "__daily", "__loss"]).withColumn("__high", h.quarter_high())
-    least = {21: max(10, 21 // 3), 63: max(10, 63 // 3)}
-    out = p.withColumns(
-        {
-            **{f"ret_{n}d": h.change("close", n) for n in (5, 21, 63, 126, 252)},
-            **{f"vol_{n}d": h.rolling(F.stddev_samp, "__daily", n, m) * year for n, m in least.items()},
-            **{f"volume_z_{n}d": h.zscore("volume", n, m) for n, m in least.items()},
-            "drawdown_63d": h.below_high(1, 20),
-            "drawdown_252d": h.below_high(4, 20),
-            "downside_vol_63d": h.rolling(F.stddev_samp, "__loss", 63, 20) * year,
-            "max_loss_63d": h.rolling(F.min, "__daily", 63, 20),
-        }
-    )
-    return out.withColumn("distance_52w_high", F.col("drawdown_252d")).drop(*_WORK)
+    return _with_trailing(prices, key, _security)
 
 
 def attach_issuer_market(filings: DataFrame, features: DataFrame) -> DataFrame:
